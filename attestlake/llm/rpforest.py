@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SHARD_ROWS, QUERY_ROWS = 16_384, 65_536
-TREES, LEAF, SHARE = 8, 64, 0.15
+TREES, LEAF, SHARE = 8, 64, 0.2
 
 
 class Forest:
