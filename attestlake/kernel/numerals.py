@@ -1,0 +1,104 @@
+"""Spelled cardinals, roman numerals, grouped numbers, units."""
+
+from __future__ import annotations
+
+import re
+from decimal import Decimal, InvalidOperation
+
+ONES = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+SCALE = {"thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}
+NUMBER_WORDS = set(ONES) | set(TENS) | set(SCALE) | {"hundred"}
+WORD = "(?:" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
+
+
+def spelled(words: list[str]) -> int | None:
+    """Value of a cardinal in words; None if the words are no well-formed one ("and" isn't part of one)."""
+    total = group = 0
+    last_scale, state = 10**15, 0  # state of the group: 0 empty, 1 ones, 2 tens, 3 hundred
+    seen = False
+    for w in (p for x in words for p in x.lower().split("-")):
+        if w in ONES:
+            n = ONES[w]
+            if state == 1 or state == 2 and not 1 <= n <= 9:
+                return None
+            if n == 0 and (seen or len(words) > 1):
+                return None
+            group, state = group + n, 1
+        elif w in TENS:
+            if state in (1, 2):
+                return None
+            group, state = group + TENS[w], 2
+        elif w == "hundred":
+            if state != 1 or not 1 <= group <= 9:
+                return None
+            group, state = group * 100, 3
+        elif w in SCALE:
+            if not group or SCALE[w] >= last_scale:
+                return None
+            last_scale = SCALE[w]
+            total, group, state = total + group * last_scale, 0, 0
+        else:
+            return None
+        seen = True
+    return total + group if seen else None
+
+
+ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def to_roman(n: int) -> str:
+    out = ""
+    for v, s in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        while n >= v:
+            out, n = out + s, n - v
+    return out
+
+
+def from_roman(s: str) -> int | None:
+    """Canonical numerals up to 399 only."""
+    low = s.lower()
+    if not low or set(low) - set(ROMAN):
+        return None
+    n = sum(-ROMAN[a] if ROMAN[a] < ROMAN[b] else ROMAN[a] for a, b in zip(low, low[1:] + low[-1], strict=True))
+    return n if 0 < n < 400 and to_roman(n) == low else None
+
+
+GROUPED = re.compile(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?")
+
+
+def number(s: str) -> Decimal | None:
+    """Plain or properly grouped decimal; 1,2 and 1,23,456 are refused."""
+    if not GROUPED.fullmatch(s):
+        return None
+    try:
+        return Decimal(s.replace(",", ""))
+    except InvalidOperation:
+        return None
+
+
+def plain(d: Decimal) -> str:
+    """One string for equal numbers."""
+    return format(d.normalize(), "f") if d else "0"
+
+
+#: Unit surfaces by dimension, with factors to the dimension's base unit. Units whose meaning depends on
+#: the region have a dimension of their own, and single letters are no units.
+UNITS = {
+    "mass_metric": {"mcg ug µg microgram micrograms": 1, "mg milligram milligrams": 10**3, "gram grams": 10**6, "kg kilogram kilograms": 10**9},
+    "volume_metric": {"mcl µl": 1, "ml milliliter milliliters": 10**3, "cl": 10**4, "dl": 10**5, "liter liters litre litres": 10**6},
+    "distance_metric": {"mm": 1, "cm": 10, "meter meters metre metres": 10**3, "km kilometer kilometers kilometre kilometres": 10**6},
+    "energy": {"wh": 1, "kwh": 10**3, "mwh": 10**6, "gwh": 10**9},
+    "power": {"kw": 10**3, "mw": 10**6, "gw": 10**9},
+    "data_decimal": {"mb": 1, "gb": 10**3, "tb": 10**6, "pb": 10**9},
+    "iu": {"iu": 1},
+    "unit_ton": {"ton tons": 1},
+    "unit_tonne": {"tonne tonnes": 1},
+    "unit_oz": {"oz ounce ounces": 1},
+    "unit_lb": {"lb lbs pound pounds": 1},
+    "unit_gal": {"gal gallon gallons": 1},
+    "unit_barrel": {"barrel barrels": 1},
+    "unit_mile": {"mile miles": 1},
+    "unit_acre": {"acre acres": 1},
+}
+UNIT = {s: (dim, Decimal(f)) for dim, by in UNITS.items() for names, f in by.items() for s in names.split()}

@@ -254,7 +254,8 @@ def _verified(docs: DataFrame, known: DataFrame, reps: DataFrame, clusters: Data
     roots = large.select("node", "cluster", "sig").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = roots.groupBy("cluster", "root").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= BLOCK // 4, F.col("root")))
     pools = sizes.groupBy("cluster", "own").agg(F.ceil(F.sum("n") / (BLOCK / 2)).cast("int").alias("parts"))
-    dealt = sizes.join(pools, (sizes.cluster == pools.cluster) & sizes.own.eqNullSafe(pools.own)).select(sizes.cluster, "root", sizes.own, "parts")
+    pools = pools.select(F.col("cluster").alias("c"), F.col("own").alias("o"), "parts")
+    dealt = sizes.join(pools, (F.col("cluster") == F.col("c")) & F.col("own").eqNullSafe(F.col("o"))).select("cluster", "root", "own", "parts")
     big = roots.join(dealt, ["cluster", "root"]).withColumn("block", F.xxhash64("cluster", "own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("parts"))))
     big = saved(big.select("node", "cluster", "root", "sig", "own", "block"))
     blocks = big.select("cluster", "own", "block").distinct()
@@ -271,7 +272,7 @@ def _run(rows: DataFrame, n: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, the one of least doc_id (and one row of those that repeat it); columns stay.
+    """docs with one document of each class, the one of least doc_id (rows that share an id are one document); columns stay.
 
     Rows of null doc_id and documents without words stay.
     """
