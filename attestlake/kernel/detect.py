@@ -1,0 +1,112 @@
+"""Contradictions inside one text: (detector, verdict, start, detail). Silent where nothing can be proved.
+
+verdict is contradicted (arithmetic proves it) or could_not_verify (the text says it in a way that can't be settled).
+"""
+
+from __future__ import annotations
+
+import re
+from calendar import monthrange
+from datetime import date, timedelta
+
+from attestlake.kernel.anchors import DATE, extract, iso_date
+from attestlake.kernel.numerals import WORD, number, spelled
+from attestlake.kernel.sentences import spans
+
+Finding = tuple[str, str, int, str]
+PAIR = re.compile(rf"\b({WORD}(?:[\s-]+{WORD})*)(\s+dollars)?\s*\(\s*(\$)?\s*(\d[\d,]*)\s*\)", re.I)
+LABEL = re.compile(r"\b(?:section|article|clause|schedule|exhibit|chapter|paragraph|part)\s+$", re.I)
+SPAN = re.compile(r"\b(?:period|term|duration)\s+of\s+(?:[a-z-]+\s+\(?)?(\d{1,5})\)?\s+(business\s+|working\s+)?(day|week|month|year)s?\b", re.I)
+FLOOR = re.compile(r"\b(?:at least|no less than|not less than|no fewer than|(?:a )?minimum of)\s+", re.I)
+CEILING = re.compile(r"\b(?:at most|no more than|not more than|(?:a )?maximum of|(?:shall |may |will )?not exceed(?:ing)?|up to)\s+", re.I)
+DECLARED = re.compile(rf"\b(?:the\s+)?following\s+({WORD}|\d{{1,2}})\s+([a-z]+)\s*:", re.I)
+MARKER = re.compile(r"(?<!\w)\(([a-z])\)\s")
+
+
+def words_figures(text: str) -> list[Finding]:
+    """A spelled number beside another figure in parentheses."""
+    out = []
+    for m in PAIR.finditer(text):
+        if LABEL.search(text[: m.start()][-20:]) or (m.group(3) and not m.group(2)):
+            continue
+        said, figure = spelled(re.split(r"[\s-]+", m.group(1))), number(m.group(4))
+        if said is None or figure is None or (m.group(2) and not m.group(3)):
+            out.append(("words_figures", "could_not_verify", m.start(), m.group()))
+        elif said != figure:
+            out.append(("words_figures", "contradicted", m.start(), f"{m.group(1)} is {said}, not {figure}"))
+    return out
+
+
+def add_months(d: date, n: int) -> date | None:
+    y, m = divmod(d.year * 12 + d.month - 1 + n, 12)
+    return date(y, m + 1, min(d.day, monthrange(y, m + 1)[1])) if 1 <= y <= 9999 else None
+
+
+def date_duration(text: str) -> list[Finding]:
+    """Two dates and the length that the sentence gives for the time between them."""
+    out = []
+    for a, b in spans(text):
+        s = text[a:b]
+        dates, length = list(DATE.finditer(s)), SPAN.findall(s)
+        if len(dates) != 2 or len(length) != 1:
+            continue
+        d1, d2 = (iso_date(m) for m in dates)
+        n, business, unit = int(length[0][0]), length[0][1], length[0][2].lower()
+        if d1 is None or d2 is None or business:
+            out.append(("date_duration", "could_not_verify", a, f"{dates[0].group()} to {dates[1].group()}: {n} {business}{unit}"))
+            continue
+        x, y = date.fromisoformat(d1), date.fromisoformat(d2)
+        detail = f"{d1} to {d2} is not {n} {unit}s"
+        if y < x:
+            out.append(("date_duration", "contradicted", a, f"{d2} is before {d1}"))
+        elif unit in ("day", "week"):
+            off = n * (7 if unit == "week" else 1) - (y - x).days
+            if off not in (0, 1):
+                out.append(("date_duration", "could_not_verify" if off in (-1, 2) else "contradicted", a, detail))
+        else:
+            end = add_months(x, n * (12 if unit == "year" else 1))
+            if end is None:
+                out.append(("date_duration", "could_not_verify", a, detail))
+            elif y not in (end, end - timedelta(days=1)):
+                out.append(("date_duration", "could_not_verify" if abs((y - end).days) <= 3 else "contradicted", a, detail))
+    return out
+
+
+def bounds(text: str) -> list[Finding]:
+    """A floor above a ceiling of the same kind in a sentence."""
+    out = []
+    for a, b in spans(text):
+        s = text[a:b]
+        if not FLOOR.search(s) or not CEILING.search(s):
+            continue
+        at = {x.start: x for x in extract(s) if x.type in ("money", "percent", "duration") and x.canonical}
+        low = [at[m.end()] for m in FLOOR.finditer(s) if m.end() in at]
+        high = [at[m.end()] for m in CEILING.finditer(s) if m.end() in at]
+        for x, y in ((x, y) for x in low for y in high if x.type == y.type):
+            if number(x.canonical) > number(y.canonical):
+                sure = x.subject == y.subject or x.type == "money"
+                out.append(("bounds", "contradicted" if sure else "could_not_verify", a, f"{x.text} is above {y.text}"))
+    return out
+
+
+def enumeration(text: str) -> list[Finding]:
+    """A declared number of items against the run (a), (b), (c) after it."""
+    out = []
+    for m in DECLARED.finditer(text):
+        low = m.group(1).lower()
+        said = int(low) if low.isdigit() else spelled([low])
+        nxt = re.compile(r"\n\s*\n").search(text, m.end())
+        body = text[m.end() : nxt.start() if nxt else len(text)]
+        marks = [x.group(1) for x in MARKER.finditer(body)]
+        if not marks or said is None:
+            continue
+        if marks != [chr(97 + i) for i in range(len(marks))]:
+            out.append(("enumeration", "could_not_verify", m.start(), f"{m.group()} {''.join(marks)}"))
+        elif len(marks) != said:
+            out.append(("enumeration", "contradicted", m.start(), f"{m.group()} has {len(marks)} items"))
+    return out
+
+
+def scan(text: str | None) -> list[Finding]:
+    """All findings of a text, by detector; null has none."""
+    return [f for d in (words_figures, date_duration, bounds, enumeration) for f in d(text)] if text else []

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ("tables", "texts")
+MODULES: tuple[str, ...] = ("tables", "texts", "attestation")
 
 
 def queries() -> dict[str, Query]:
