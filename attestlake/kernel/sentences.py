@@ -17,14 +17,14 @@ def spans(text: str) -> list[tuple[int, int]]:
     out, start = [], 0
     for m in STOP.finditer(text):
         if m.group()[0] != "\n":
-            before = text[start : m.start()]
+            before = text[max(start, m.start() - 40) : m.start()]
             word = re.search(r"[A-Za-z.]+$", before)
             last = word.group() if word else ""
             stop = text[m.start()]
             line_end = re.match(r"\s*(\n|$)", text[m.end() :])
             if stop == "." and not line_end and (last.lower().strip(".") in ABBREVIATIONS or re.fullmatch(r"(?:[A-Za-z]\.)*[A-Z]", last)):
                 continue
-            if stop == "." and not line_end and ENUMERATOR.search(text[max(start - 1, 0) : m.start() + 1]):
+            if stop == "." and not line_end and m.start() - start < 80 and ENUMERATOR.search(text[max(start - 1, 0) : m.start() + 1]):
                 continue
         a, b = start, m.start() if m.group()[0] == "\n" else m.end()
         out.append((a, b))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestlake.kernel import anchors, detect
+from attestlake.kernel.sentences import spans
 
 #: Words of the key that a claim and its sources share.
 WINDOW = 4
@@ -34,20 +35,21 @@ def found_verbatim(claims: DataFrame, sources: DataFrame, claim: str, text: str,
     source rows carry their id through the join, the text is met again only by candidates.
     """
     own = claims.select(F.col(claim).alias("claim")).distinct().withColumn("w", F.split("claim", " "))
-    own = own.select("claim", F.least(F.size("w"), F.lit(WINDOW)).alias("n"), "w").select("claim", "n", F.xxhash64(F.slice("w", 1, F.col("n"))).alias("key"))
+    own = own.select("claim", F.least(F.size("w"), F.lit(WINDOW)).alias("n"), "w").select("claim", "n", F.xxhash64(F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("key"))
     lengths = [r.n for r in own.select("n").distinct().collect()]
     src = sources.select(F.col(source_id).alias("sid"), normal(text).alias("body"))
-    words = F.split("body", " ")
+    if not lengths:
+        return own.select("claim", F.lit(0).cast("long").alias("n_sources"))
 
-    def windows(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, n)).alias("key")))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = body.split(" ")
+                keys = list({" ".join(w[i : i + n]) for n in lengths for i in range(len(w) - n + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(keys), pa.int64()), pa.array(keys, pa.string())], ["sid", "head"])
 
-    keys = [windows(n) for n in lengths]
-    if not keys:
-        return own.select("claim", F.lit(0).cast("long").alias("n_sources"))
-    some = [F.when(F.size("w") >= n, k).otherwise(F.array().cast("array<struct<n:int,key:bigint>>")) for n, k in zip(lengths, keys, strict=True)]
-    at = src.withColumn("w", words).select("sid", F.explode(F.array_distinct(F.concat(*some))).alias("k")).select("sid", F.col("k.n").alias("n"), F.col("k.key").alias("key"))
-    pairs = at.join(own, ["n", "key"]).select("sid", "claim")
+    at = src.select(F.col("sid").cast("long"), "body").mapInArrow(windows, "sid long, head string").select("sid", F.xxhash64("head").alias("key"))
+    pairs = at.join(own, "key").select("sid", "claim")
     held = pairs.join(src, "sid").where(F.concat(F.lit(" "), "body", F.lit(" ")).contains(F.concat(F.lit(" "), "claim", F.lit(" "))))
     return held.groupBy("claim").agg(F.countDistinct("sid").alias("n_sources"))
 
@@ -85,11 +87,14 @@ def findings(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, type, text, start, end, canonical, subject of every typed value in each text. Map-only."""
+    """id, type, text, start, end, canonical, subject of every typed value in each sentence of each text. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, a.type, a.text, a.start, a.end, a.canonical, a.subject) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for a in anchors.extract(t)]
+            rows = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for s, e in spans(t or ""):
+                    rows += [(i, a.type, a.text, s + a.start, s + a.end, a.canonical, a.subject) for a in anchors.extract(t[s:e])]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
     names = [id_, "type", "text", "start", "end", "canonical", "subject"]
