@@ -93,6 +93,8 @@ class DigestArray:
 
 
 _open: dict[str, DigestArray] = {}
+#: Applications and the rule files sent to their nodes.
+_sent: set[tuple[str, str]] = set()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
@@ -100,9 +102,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
     spark: SparkSession = pages.sparkSession
     body = repr(sorted(set(rules))).encode()
     name = f"url-rules-{xxhash.xxh64_hexdigest(body)}.bin"
-    kept = Path(tempfile.mkdtemp(prefix="url-rules-"), name)  # the driver's; addFile serves it to every node
-    DigestArray.write(rules, str(kept))
-    spark.sparkContext.addFile(str(kept))
+    app = spark.sparkContext.applicationId
+    if (app, name) not in _sent:  # a session takes a file name once
+        kept = Path(tempfile.mkdtemp(prefix="url-rules-"), name)  # the driver's; addFile serves it to every node
+        DigestArray.write(rules, str(kept))
+        spark.sparkContext.addFile(str(kept))
+        _sent.add((app, name))
     names = pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

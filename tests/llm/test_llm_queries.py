@@ -21,6 +21,11 @@ def test_same_rows_as_sql(spark, name):
     assert difference(spark, name, queries.QUERIES[name], queries.ORACLE[name], SF) is None
 
 
+def test_url_filter_twice_in_a_session(spark):
+    rows = [sorted(queries.op9_url_filter(spark, SF).collect(), key=str) for _ in range(2)]
+    assert rows[0] == rows[1] and rows[0]
+
+
 def test_bpe_against_tiktoken(spark):
     path = public_tokenizers.path(queries.TOKENIZER)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
