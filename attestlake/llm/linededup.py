@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestlake.llm.common import binary_lists, partitions
+from attestlake.llm.common import binary_lists, partitions, saved
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -137,7 +137,8 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     """uid, pos of the lines that go: of keys found in at least min_docs documents, all, or all but the first one."""
     n = partitions(docs.sparkSession)
     rows = line_hashes(docs, min_chars).repartitionByRange(n, "h1", "h2", "uid").sortWithinPartitions("h1", "h2", "uid", "pos")
-    found = rows.mapInArrow(_stream(min_docs, keep_first), "kind int, h1 long, h2 long, uid long, pos int, n long")
+    # Saved, as the three kinds must come from one and the same dealing out of ranges, whose bounds are sampled.
+    found = saved(rows.mapInArrow(_stream(min_docs, keep_first), "kind int, h1 long, h2 long, uid long, pos int, n long"))
     # Runs at the ends of partitions: two a partition at most, so these sums are small whatever the input.
     sums = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "pos")).alias("first")).where(F.col("n") >= min_docs)
     late = found.where("kind = 1").drop("n").join(F.broadcast(sums), ["h1", "h2"])
@@ -160,7 +161,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
                 keep.append(zlib.compress(np.packbits(bits).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keep, pa.binary())], ["uid", "n_dropped", "keep"])
 
-    gone = frequent_lines(docs, min_docs, min_chars, keep_first).groupBy("uid").agg(F.collect_list("pos").alias("pos"))
+    gone = frequent_lines(docs, min_docs, min_chars, keep_first).groupBy("uid").agg(F.collect_set("pos").alias("pos"))
     return gone.mapInArrow(run, "uid long, n_dropped long, keep binary")
 
 
