@@ -131,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Boost
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow()
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("x").alias("x")).toArrow()  # rows may share an id
     y = rows.column("quality").to_numpy().astype(float)
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     order = np.lexsort([*x.T, y])  # the rows' order in the result is not fixed
