@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(df: DataFrame, *made: str) -> DataFrame:
+    """df without columns of these names (in any case): what an operator makes takes their place."""
+    return df.drop(*[c for c in df.columns if c.lower() in made])
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Lower-cased words of a UTF-8 text: runs of 0-9, a-z and non-ASCII bytes. None has none."""
     return text.translate(WORD_BYTES).split() if text else []

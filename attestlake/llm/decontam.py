@@ -7,6 +7,7 @@ ids of benchmark words, positions whose window has benchmark words only are hash
 confirmed word by word. Documents are not shuffled.
 
 Null or empty texts have no words, so no hits and no windows. Repeated rows, null ids and ties are rows of their own.
+Windows of a benchmark item without an id are hit like others; such an item has no place among the item ids.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ class WindowIndex:
             for i in np.flatnonzero(keys[np.minimum(p, len(keys) - 1)] == h):
                 if (own := found.get(grams[i].tobytes())) is not None:
                     spans.append((int(at[i]), n))
-                    items.update(own)
+                    items.update(x for x in own if x is not None)
         return spans, items
 
 
@@ -114,7 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows:
     out = docs.select("doc_id", F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit_words"), F.array().cast("array<long>").alias("item_ids"))
     for k in range(parts):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).collect()
-        index = WindowIndex([(r.item_id, bytes(r.gram)) for r in own if r.item_id is not None])
+        index = WindowIndex([(r.item_id, bytes(r.gram)) for r in own])
         out = _scan(out, spark.sparkContext.broadcast(index))
     return out
 
@@ -130,7 +131,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_wi
     out = docs
     for k in range(parts):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).collect()
-        index = spark.sparkContext.broadcast(WindowIndex([(r.item_id, bytes(r.gram)) for r in own if r.item_id is not None]))
+        index = spark.sparkContext.broadcast(WindowIndex([(r.item_id, bytes(r.gram)) for r in own]))
 
         def run(batches: Iterator[pa.RecordBatch], index: object = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

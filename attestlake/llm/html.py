@@ -20,6 +20,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from attestlake.llm.common import without
+
 SIGMA = 1.0
 #: Elements that hold no main text.
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "textarea", "iframe", "svg", "canvas", "dialog", "object"}
@@ -137,7 +139,8 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages without the html column, with text and n_chars (code points). Map-only; one page in memory at a time."""
+    """pages without the html column, with text and n_chars (code points), which replace columns so named. Map-only."""
+    pages = without(pages, *{"text", "n_chars"} - {html})
     names = [n for n in pages.columns if n != html]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestlake.llm.common import binary_lists, partitions, saved
+from attestlake.llm.common import binary_lists, partitions, saved, without
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -178,11 +178,15 @@ def apply_bitmaps(text: bytes | None, n_dropped: int | None, keep: bytes | None)
     return b"\n".join(lines)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """docs with text cut, plus n_lines (before), n_dropped, kept_sha256. A text that loses all its lines is empty."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, made: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_sha256")) -> DataFrame:
+    """docs with text cut, plus the columns made (lines before, lines dropped, hash of what is kept), which replace columns so named.
+
+    A text that loses all its lines is empty.
+    """
+    docs = without(docs, *made)
     names = docs.columns
     bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(F.col("uid").alias("__uid"), F.col("n_dropped").alias("__n"), F.col("keep").alias("__keep"))
-    joined = with_uid(docs).join(bitmaps, "__uid", "left").select(*names, "__n", "__keep")
+    joined = with_uid(docs).join(bitmaps, "__uid", "left").drop("__uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +199,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
                 sha.append(hashlib.sha256(kept).hexdigest())
             at = names.index("text")
             cols = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())], [*names, "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sha, pa.string())], [*names, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInArrow(run, f"{kinds}, {made[0]} long, {made[1]} long, {made[2]} string")

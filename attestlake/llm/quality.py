@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestlake.llm.common import binary_lists, words
+from attestlake.llm.common import binary_lists, without, words
 
 MAX_ROWS = 20_000
 BINS, DEPTH, TREES, RATE, L2, LEAST = 64, 3, 60, 0.2, 1.0, 10
@@ -142,14 +142,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Boost
     return model.fit(x, y) if 0 < y.sum() < len(y) else model
 
 
-def score(docs: DataFrame, model: BoostedTrees, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted; the model, a few kB, travels with the task."""
+def score(docs: DataFrame, model: BoostedTrees, threshold: float = THRESHOLD, made: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with the two columns made, which replace columns so named; the model, a few kB, travels with the task."""
+    docs = without(docs, *made)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.score(matrix(binary_lists(batch, "text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, f"{kinds}, {made[0]} double, {made[1]} int")

@@ -22,6 +22,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from attestlake.llm.common import without
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -98,8 +100,9 @@ _sent: set[tuple[str, str]] = set()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """pages with host, path, rule ("host/path" of the longest rule that fits, or null) and verdict."""
+    """pages with host, path, rule ("host/path" of the longest rule that fits, or null) and verdict, which replace columns so named."""
     spark: SparkSession = pages.sparkSession
+    pages = without(pages, "host", "path", "rule", "verdict")
     body = repr(sorted(set(rules))).encode()
     name = f"url-rules-{xxhash.xxh64_hexdigest(body)}.bin"
     app = spark.sparkContext.applicationId

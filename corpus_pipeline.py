@@ -22,13 +22,14 @@ from attestlake.llm.queries import TOKENIZER
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model, made=("__score", "__predicted")).where("__predicted = 1").drop("__score", "__predicted")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines found in ten or more of them; n_chars follows the text."""
-    out = linededup.dedup_lines(docs, min_docs=10, min_chars=1)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    made = ("__lines", "__dropped", "__sha256")
+    out = linededup.dedup_lines(docs, min_docs=10, min_chars=1, made=made).drop(*made)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
