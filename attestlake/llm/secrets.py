@@ -1,6 +1,7 @@
 """Secret scans, with DataFrame functions only; a random forest removes false positives.
 
-Candidates are assigned values (name = value) and runs of 12 or more key characters with a digit, found with their
+Candidates are all values assigned to secret-like names (quoted ones whole, else up to the next space, of any length),
+values of 12 or more key characters assigned to other names, and bare runs of as many with a digit, found with their
 place in code points. A candidate's features are its length, the changes between kinds of character, the part that
 dictionary words cover, the kind of file that its path tells, and the words beside it. A random forest, trained here on
 labelled findings (a fixed generator of real key formats and of things that look like keys), gives the share of its
@@ -23,6 +24,17 @@ from pyspark.sql import functions as F
 
 #: An optional name with = or : and quote, then the candidate; both captured.
 CANDIDATE = r"""(?:([A-Za-z_][A-Za-z0-9_]{1,30}+)[ \t]{0,3}+[:=][ \t]{0,3}+["']?+)?+([A-Za-z0-9+/_.@~-]{12,}+=*+)"""
+#: Key characters before the : or = of a secret-like name belong to it; so does a closing quote.
+_KEY, _SPACE = r"A-Za-z0-9+/_.@~-", r" \t\n\r\f\x0b"
+#: Short words are taken in a uniform case only, since base64 holds the others by chance.
+SECRET_LIKE = r"(?:(?i:password|passwd|secret|apikey|bearer|credential|private|access)|token|Token|TOKEN|pwd|Pwd|PWD|key|Key|KEY|(?:auth|Auth|AUTH)(?!(?i:ors?\b)))"
+#: A secret-like name, then its value: in double quotes, in single quotes, or up to a space; all four captured.
+ASSIGNED = (
+    rf"""(?<![{_KEY}])(?=[{_KEY}]++["']?+[ \t]*+[:=])(?:[{_KEY}]*[+/@~])?(?=[A-Za-z0-9_.-]*?{SECRET_LIKE})([A-Za-z0-9_.-]++)["']?+[ \t]*+[:=]{{1,3}}+>?+[ \t]*+"""
+    rf"""(?:"((?!")[^"\\\n]*+(?:\\.[^"\\\n]*+){{0,100}}+)"|'((?!')[^'\\\n]*+(?:\\.[^'\\\n]*+){{0,100}}+)'"""
+    rf"""|["']?+(?![,;"']*+(?![^{_SPACE}]))([^{_SPACE}]+?)(?=[,;"']*+(?![^{_SPACE}])))"""
+)
+SCAN = f"{ASSIGNED}|{CANDIDATE}"
 #: Common English words, and words that go with secrets, with placeholders and with other long tokens.
 DICTIONARY = "about after also back because come could data day even first from give good have into just know like long look make more most need number only other over people same some system test than that their them then there these they thing this time user value very want well were what when which will with work would year your file name path example sample dummy change".split()
 SECRET_NAMES = "password passwd pwd secret token key apikey auth bearer credential credentials private access"
@@ -42,24 +54,29 @@ def candidates(docs: DataFrame, text: str = "text", path: Column | None = None)
     path = F.lit(None).cast("string") if path is None else path.cast("string")
     base = docs.select(F.col("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), path.alias("path"))
     base = base.where(F.col("t").rlike("[0-9=:]"))
-    pattern = F.lit(CANDIDATE)
-    found = base.select(
-        "doc_id", "path", F.split("t", CANDIDATE, -1).alias("between"), F.regexp_extract_all("t", pattern, F.lit(0)).alias("whole"),
-        F.regexp_extract_all("t", pattern, F.lit(1)).alias("names"), F.regexp_extract_all("t", pattern, F.lit(2)).alias("values"),
-    )
+    # The text is read twice; names and values are found again in the short matches.
+    found = base.select("doc_id", "path", F.split("t", SCAN, -1).alias("between"), F.regexp_extract_all("t", F.lit(SCAN), F.lit(0)).alias("whole"))
+
+    def part(w: Column) -> Column:
+        g = [F.regexp_extract(w, SCAN, k) for k in range(1, 7)]
+        value = F.concat(g[1], g[2], g[3], g[5])
+        closed = ((g[1] != "") | (g[2] != "")).cast("int")
+        return F.struct(F.concat(g[0], g[4]).alias("name"), value.alias("value"), (F.length(value) + closed).alias("back"))
+
+    found = found.where(F.size("whole") > 0).withColumn("parts", F.transform("whole", part))
     # Only whole[i] that can be a secret go on; their starts are sums of what lies before.
-    wanted = F.filter(F.sequence(F.lit(0), F.size("whole") - 1), lambda i: (F.get("names", i) != "") | F.get("values", i).rlike("[0-9]"))
+    wanted = F.filter(F.sequence(F.lit(0), F.size("whole") - 1), lambda i: (F.get("parts", i)["name"] != "") | F.get("parts", i)["value"].rlike("[0-9]"))
     sums = F.aggregate(
         F.zip_with("between", "whole", lambda b, w: F.struct(F.length(b).alias("b"), F.coalesce(F.length(w), F.lit(0)).alias("w"))),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
         lambda acc, x: F.struct((acc["at"] + x["b"] + x["w"]).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x["b"] + x["w"])).alias("ends")),
         lambda acc: acc["ends"],
     )
-    found = found.where(F.size("whole") > 0).withColumn("wanted", wanted).where(F.size("wanted") > 0).withColumn("ends", sums)
+    found = found.withColumn("wanted", wanted).where(F.size("wanted") > 0).withColumn("ends", sums)
     one = F.transform(
         "wanted",
         lambda i: F.struct(
-            (F.get("ends", i) - F.length(F.get("values", i))).alias("start"), F.get("names", i).alias("name"), F.get("values", i).alias("value"),
+            (F.get("ends", i) - F.get("parts", i)["back"]).alias("start"), F.get("parts", i)["name"].alias("name"), F.get("parts", i)["value"].alias("value"),
             F.substring(F.get("between", i), -40, 40).alias("before"),
         ),
     )
@@ -117,6 +134,25 @@ def labelled_findings(n: int = 1500, seed: int = 7) -> list[tuple[str, str, str]
     return out
 
 
+def assigned_findings(n: int = 300, seed: int = 8) -> list[tuple[str, str, str]]:
+    """labelled_findings of short, punctuated or letters-only values that secret-like names are given, JSON keys among them."""
+    r = random.Random(seed)
+    letters = lambda k: "".join(r.choice("bcdfghklmnprstvw") + r.choice("aeiou") for _ in range(k))
+    secret = [
+        lambda: letters(r.randint(2, 4)) + str(r.randint(0, 9999)), lambda: letters(r.randint(2, 4)).capitalize() + str(r.randint(1, 2030)) + r.choice("!?#$%&*"),
+        lambda: letters(r.randint(4, 12)), lambda: " ".join(letters(r.randint(2, 4)) for _ in range(r.randint(3, 5))), lambda: letters(2) + r.choice("!$%^&*()") + letters(2).upper() + str(r.randint(0, 99)),
+    ]
+    plain = "none null true false string required optional value text number int str user name change default empty hidden input public yes no see below".split()
+    harmless = [lambda: r.choice(plain), lambda: r.choice(plain).capitalize(), lambda: r.choice(["changeme", "example", "placeholder", "xxxx", "0000", "dummy1", "your_key", "***", "<example>", "${sample}"]), lambda: r.choice(plain) + "_" + r.choice(plain)]
+    out = []
+    for i in range(n):
+        kind, makers = ("s", secret) if i % 2 else ("h", harmless)
+        name, value = r.choice(SECRET_NAMES.split()), r.choice(makers)()
+        quoted = [f'{name} = "{value}"', f"{name}='{value}'", f'"{name}": "{value}"', f'{name}: "{value}"']
+        out.append((r.choice(quoted if " " in value else [*quoted, f"{name}: {value}", f"{name}={value}"]), r.choice(["", "src/app.py", "config/prod.env"]), kind))
+    return out
+
+
 class Forest:
     """feature, cut, child (left; right is the next), value, roots: flat lists over all trees."""
 
@@ -192,8 +228,8 @@ class Forest:
 
 
 def train(spark: SparkSession, n: int = 1500) -> Forest:
-    """A forest on n generated findings (the bound of what reaches the driver), by the same feature expressions."""
-    rows = json.dumps([{"doc_id": i, "text": t, "path": p, "label": k} for i, (t, p, k) in enumerate(labelled_findings(n))])
+    """A forest on n and n / 5 generated findings (the bound of what reaches the driver), by the same feature expressions."""
+    rows = json.dumps([{"doc_id": i, "text": t, "path": p, "label": k} for i, (t, p, k) in enumerate([*labelled_findings(n), *assigned_findings(n // 5)])])
     made = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<doc_id:long,text:string,path:string,label:string>>")))
     found = features(candidates(made, path=F.col("path"))).join(made.select("doc_id", "label"), "doc_id").orderBy("doc_id", "start").collect()
     return _fitted(tuple((tuple(r.x), r.label) for r in found))

@@ -53,6 +53,28 @@ def test_secret_scan_on_findings_not_trained_on(spark):
     assert right / len(rows) >= 0.93
 
 
+def test_secret_values_of_secret_names_are_whole(spark):
+    want = {
+        'password = "hunter2"': ("password", "hunter2"), 'pwd: "Summer2024!"': ("pwd", "Summer2024!"), '{"password": "correcthorsebattery"}': ("password", "correcthorsebattery"),
+        "DB_PASSWORD=p@ss;w0rd! x": ("DB_PASSWORD", "p@ss;w0rd!"), "spring.datasource.password=abc, y": ("spring.datasource.password", "abc"), "{'client-secret': 'two words'}": ("client-secret", "two words"),
+        '"token":"a\\"b"': ("token", 'a\\"b'), 'é \U0001f600 apiKey:       "ü7", "user": "bob"': ("apiKey", "ü7"), 'password = "open end': ("password", "open"),
+    }
+    none = ['password: ""', "password:\nnext", "author: Ann", "user: bob", '"name": "correcthorsebattery"']
+    texts = dict(enumerate([*want, *none]))
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.name, r.value) for r in secrets.candidates(docs).collect()}
+    assert got == {(i, texts[i].rindex(v), n, v) for i, (n, v) in enumerate(want.values())}
+
+
+def test_short_secrets_not_trained_on(spark):
+    rows = [(i, *x) for i, x in enumerate(secrets.assigned_findings(400, seed=98))]
+    rows += [(1000, 'password = "hunter2"', "", "s"), (1001, 'pwd: "Summer2024!"', "", "s"), (1002, '"password": "correcthorsebattery"', "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string, label string")
+    found = {r.doc_id for r in secrets.scan(docs, secrets.train(spark), path=docs["path"]).collect() if r.secret}
+    assert {1000, 1001, 1002} <= found
+    assert sum((i in found) == (label == "s") for i, _, _, label in rows) / len(rows) >= 0.85
+
+
 def test_made_columns_replace_columns_so_named(spark):
     docs = spark.createDataFrame([(1, "a\nb", "x", "y", "z"), (None, None, None, None, None)], "doc_id long, text string, Score string, n_lines string, url string")
     cut = linededup.dedup_lines(docs)
