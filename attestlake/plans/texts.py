@@ -337,6 +337,24 @@ def F14_relevance_prefilter(s, d):
     return a.join(b, "item_id").select("doc_id", (F.col("digit") | F.arrays_overlap("v", "w")).alias("relevant"))
 
 
+@q("""
+WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark),
+h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) WHERE w IN (SELECT w FROM v))
+SELECT doc_id, coalesce(regexp_matches(text, '[0-9]'), false) OR doc_id IN (SELECT doc_id FROM h) AS relevant FROM documents
+""")
+def F14_relevance_any_item(s, d):
+    # all documents against the tokens of all items; F14_relevance_prefilter meets one item per document
+    return relevant_to_any(t(s, d, "documents"), t(s, d, "benchmark"))
+
+
+def relevant_to_any(docs, items):
+    """doc_id and whether the document has a digit or shares a token with any item."""
+    w = lambda x: x.select("*", F.explode(F.array_distinct(X.matches(F.lower("text"), "[a-z]{4,}"))).alias("w"))
+    digit = F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False))
+    shares = w(docs.where(~digit)).join(w(items).select("w").distinct(), "w", "left_semi").select("doc_id").distinct().withColumn("shares", F.lit(True))
+    return docs.select("doc_id", digit.alias("digit")).join(shares, "doc_id", "left").select("doc_id", (F.col("digit") | F.coalesce("shares", F.lit(False))).alias("relevant"))
+
+
 @q("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')")
 def F16_citation_in_retrieved(s, d):
     li = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
