@@ -54,6 +54,34 @@ def found_verbatim(claims: DataFrame, sources: DataFrame, claim: str, text: str,
     return held.groupBy("claim").agg(F.countDistinct("sid").alias("n_sources"))
 
 
+def containment(needles: DataFrame, sources: DataFrame, needle: str, body: str) -> DataFrame:
+    """Rows of sources without body, with each distinct needle that body contains, also when it starts or ends inside a word.
+
+    Both texts come normalized, with one space between words. The first and last word of a needle may be parts of
+    words, so the WINDOW words after its first (those before its last, if fewer) are hashed and met by the windows of
+    the sources; needles of one or two words, and empty ones, are compared with all sources.
+    """
+    keep = [c for c in sources.columns if c != body]
+    words = F.split("needle", " ")
+    own = needles.select(F.col(needle).alias("needle")).where("needle IS NOT NULL").distinct().withColumn("n", F.least(F.size(words) - 2, F.lit(WINDOW)))
+    keyed = own.where("n > 0").select("needle", "n", F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.col("n")), " ")).alias("key"))
+    lengths = [r.n for r in keyed.select("n").distinct().collect()]
+    src = sources.select(*keep, F.coalesce(F.col(body), F.lit("")).alias("body")).withColumn("of", F.xxhash64("body"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = text.split(" ")
+                heads = list({" ".join(w[i : i + n]) for n in lengths for i in range(len(w) - n + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([of] * len(heads), pa.int64()), pa.array(heads, pa.string())], ["of", "head"])
+
+    at = src.select("of", "body").mapInArrow(windows, "of long, head string").select("of", F.xxhash64("head").alias("key"))
+    pairs = at.join(keyed.select("needle", "key"), "key").select("of", "needle").distinct()
+    held = src.join(pairs, "of").where(F.contains("body", "needle")).select(*keep, "needle")
+    short = src.join(F.broadcast(own.where("n <= 0").select("needle")), F.contains("body", "needle")).select(*keep, "needle")
+    return held.unionByName(short).withColumnRenamed("needle", needle)
+
+
 def fold_states(claims: DataFrame, id_: str, state: str) -> DataFrame:
     """altered before could_not_check before verified; per draft, with counts."""
     rank = F.max(F.when(F.col(state) == "altered", 2).when(F.col(state) == "could_not_check", 1).otherwise(0))

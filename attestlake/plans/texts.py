@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attestlake.functions import text as X
+from attestlake.operators import attest
 from attestlake.plans.base import Book, t
 
 q = Book()
@@ -65,6 +66,24 @@ def X14_verbatim_presence(s, d):
     return j.select("item_id", X.contains_folded("text", "run").alias("present"))
 
 
+@q(r"""
+WITH a AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS run FROM benchmark),
+b AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS body FROM documents)
+SELECT DISTINCT item_id, doc_id, doc_id IS NOT NULL AS present FROM a LEFT JOIN b ON contains(body, run)
+""")
+def X14_verbatim_anywhere(s, d):
+    # each item in every document that holds it; X14_verbatim_presence looks at one document per item
+    return present_in(t(s, d, "benchmark"), t(s, d, "documents"))
+
+
+def present_in(items, docs):
+    """item_id and doc_id of each document that holds the item's text; no doc_id for items found nowhere."""
+    runs = items.select("item_id", X.fold("text").alias("run"))
+    held = attest.containment(runs, docs.select("doc_id", X.fold("text").alias("body")), "run", "body").distinct()
+    found = runs.join(held, "run", "left").select("item_id", "doc_id").distinct()
+    return found.withColumn("present", F.col("doc_id").isNotNull())
+
+
 @q("""SELECT page_id, list_transform(regexp_extract_all(html, '"[^"\n]+"'), lambda x: substr(x, 2, length(x) - 2)) AS quoted FROM pages""")
 def X16_quoted_spans(s, d):
     return t(s, d, "pages").select("page_id", X.quoted_spans("html").alias("quoted"))

@@ -7,3 +7,14 @@ def test_relevance_meets_every_item(spark):
     docs = spark.createDataFrame([(0, "tail word"), (1, "none of it"), (2, "7"), (3, None), (40, "other tail")], "doc_id long, text string")
     items = spark.createDataFrame([(0, "else"), (199, "Tail end"), (200, None)], "item_id long, text string")
     assert {r.doc_id: r.relevant for r in texts.relevant_to_any(docs, items).collect()} == {0: True, 1: False, 2: True, 3: False, 40: True}
+
+
+def test_item_is_found_in_every_document(spark):
+    runs = ["one two  three four five six", "ne two thre", "Three four", "", "not there at all", None]
+    docs = ["zero One two three\nfour five sixteen", "one two three four five", "x", None, "zero one two three four five six"]
+    a = spark.createDataFrame([*enumerate(runs)], "item_id long, text string")
+    b = spark.createDataFrame([(i + 100, x) for i, x in enumerate(docs)], "doc_id long, text string")
+    got = {(r.item_id, r.doc_id, r.present) for r in texts.present_in(a, b).collect()}
+    fold = lambda x: " ".join((x or "").lower().split())
+    pairs = {(i, j + 100, True) for i, x in enumerate(runs) if x is not None for j, y in enumerate(docs) if fold(x) in fold(y)}
+    assert got == pairs | {(4, None, False), (5, None, False)} and len(pairs) == 2 + 3 + 3 + 5
