@@ -417,6 +417,13 @@ def T3_nulls_last_sort(s, d):
     return o.orderBy(F.asc_nulls_last("o_orderdate"), "o_orderkey").limit(50)
 
 
+@q("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders ORDER BY 2 NULLS LAST, 1")
+def T3_nulls_last_all(s, d):
+    # all orders, those without a date at the end; T3_nulls_last_sort stops after 50
+    o = t(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("o_orderdate"))
+    return o.orderBy(F.asc_nulls_last("o_orderdate"), "o_orderkey")
+
+
 @q("SELECT p_brand, arg_max(p_name, (p_retailprice, p_name)) AS best FROM part GROUP BY 1")
 def T6_best_per_key(s, d):
     return t(s, d, "part").groupBy("p_brand").agg(F.max_by("p_name", F.struct("p_retailprice", "p_name")).alias("best"))
@@ -487,6 +494,25 @@ def U5_jaccard(s, d):
     return j.where("size(wa) + size(wb) > 0").select("a", "b", F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6).alias("jaccard"))
 
 
+@q("""
+WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard
+FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) > 0
+""")
+def U5_jaccard_pairs(s, d):
+    # all pairs that share a token; U5_jaccard compares consecutive ids
+    return jaccard_pairs(t(s, d, "benchmark"))
+
+
+def jaccard_pairs(items):
+    """A, b and the Jaccard index of their tokens, for each two items with a token in common."""
+    w = items.select("item_id", F.array_distinct(F.expr("regexp_extract_all(lower(text), '[a-z]{3,}', 0)")).alias("w"))
+    x = w.select("item_id", F.size("w").alias("n"), F.explode("w").alias("w"))
+    a, b = (x.select(F.col("item_id").alias(c), F.col("n").alias("n" + c), "w") for c in "ab")
+    both = a.join(b, "w").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    return both.select("a", "b", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"))
+
+
 @q("SELECT item_id, list_distinct_ordered AS words FROM (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark))")
 def U6_ordered_distinct(s, d):
     return t(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))

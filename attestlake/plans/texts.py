@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from attestlake.functions import text as X
 from attestlake.operators import attest
+from attestlake.plans import attestation
 from attestlake.plans.base import Book, t
 
 q = Book()
@@ -388,6 +389,23 @@ def F17_exact_quote(s, d):
     return x.select("conv_id", "turn", F.contains("text", quote).alias("found"), F.contains("text", F.upper(quote)).alias("found_upper"))
 
 
+@q(rf"""
+WITH c AS (SELECT DISTINCT item_id, quote FROM (SELECT item_id, unnest(string_split(regexp_replace({attestation._N}, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS quote FROM benchmark) WHERE quote <> ''),
+s AS (SELECT conv_id, turn, {attestation._N} AS body FROM conversations)
+SELECT DISTINCT item_id, quote, conv_id, turn, conv_id IS NOT NULL AS found FROM c LEFT JOIN s ON contains(body, quote)
+""")
+def F17_quotes_in_turns(s, d):
+    # sentences of another table in turns of any length; F17_exact_quote cuts its quotes from the same text
+    return quotes_in(t(s, d, "benchmark"), t(s, d, "conversations"))
+
+
+def quotes_in(items, turns):
+    """each sentence of items with each turn that holds it, case kept; no turn for sentences found nowhere."""
+    quotes = attest.claims_of(items, "item_id", "text").select("item_id", F.col("claim").alias("quote")).distinct()
+    held = attest.containment(quotes, turns.select("conv_id", "turn", attest.normal("text").alias("body"), F.lit(True).alias("found")), "quote", "body").distinct()
+    return quotes.join(held, "quote", "left").select("item_id", "quote", "conv_id", "turn", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 @q("SELECT l_orderkey, l_linenumber, (l_linenumber < 4 AND 2 < l_linenumber + l_quantity % 3) AS overlaps FROM lineitem")
 def J19_span_overlap(s, d):
     claimed = F.array(F.struct(F.lit(2.0).alias("s"), F.lit(4.0).alias("e")))

@@ -1,6 +1,6 @@
 """Small cases that queries over a part of the rows would miss."""
 
-from attestlake.plans import texts
+from attestlake.plans import tables, texts
 
 
 def test_relevance_meets_every_item(spark):
@@ -18,3 +18,22 @@ def test_item_is_found_in_every_document(spark):
     fold = lambda x: " ".join((x or "").lower().split())
     pairs = {(i, j + 100, True) for i, x in enumerate(runs) if x is not None for j, y in enumerate(docs) if fold(x) in fold(y)}
     assert got == pairs | {(4, None, False), (5, None, False)} and len(pairs) == 2 + 3 + 3 + 5
+
+
+def test_all_orders_are_sorted_with_nulls_last(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = tables.QUERIES["T3_nulls_last_all"](spark, sf).collect()
+    assert len(rows) == tables.t(spark, sf, "orders").count() and any(r.o_orderdate is None for r in rows)
+    assert rows == sorted(rows, key=lambda r: (r.o_orderdate is None, r.o_orderdate or 0, r.o_orderkey))
+
+
+def test_jaccard_of_items_with_distant_ids(spark):
+    items = spark.createDataFrame([(0, "red sun red"), (7, "red moon"), (90, "moon sun sea"), (91, "none"), (92, None)], "item_id long, text string")
+    assert {tuple(r) for r in tables.jaccard_pairs(items).collect()} == {(0, 7, 0.333333), (0, 90, 0.25), (7, 90, 0.25)}
+
+
+def test_quotes_of_another_table_in_short_turns(spark):
+    items = spark.createDataFrame([(1, "Yes. It was so, they said! Not here."), (2, None)], "item_id long, text string")
+    turns = spark.createDataFrame([(5, 0, "Yes."), (5, 1, "yes. It  was so, they said!"), (6, 0, None)], "conv_id long, turn long, text string")
+    want = {("Yes.", 5, 0, True), ("It was so, they said!", 5, 1, True), ("Not here.", None, None, False)}
+    assert {tuple(r)[1:] for r in texts.quotes_in(items, turns).collect()} == want
