@@ -2,10 +2,10 @@
 
 The standard library's parser streams events; each block of the page is a line with its characters and tags. The ratio
 of characters to tags per line is smoothed by a Gaussian, and a threshold of one standard deviation of the smoothed
-ratios splits lines into content and the rest. The content region is the container (article or main if it holds content
-lines, else the innermost element with most of the content characters) around the content cluster; all its blocks are
-kept, without subtrees that are boilerplate by element, role, class or id. So short paragraphs inside an article stay
-and long adverts outside go.
+ratios splits lines into content and the rest. The content region is the innermost container around the whole content
+cluster: around all outermost article and main elements that hold content lines, else around all content lines, and
+then no list, quote, table or figure, whose lead-in would go. All its blocks are kept, without subtrees that are
+boilerplate by element, role, class or id. So short paragraphs inside an article stay and long adverts outside go.
 
 Null, empty and tag-only pages give the empty text. Open elements at the end of a cut-off page are closed there.
 """
@@ -26,6 +26,7 @@ SIGMA = 1.0
 #: Elements that hold no main text.
 SKIPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "textarea", "iframe", "svg", "canvas", "dialog", "object"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "table", "ul", "ol", "dl", "blockquote", "td", "figure"}
+SECTIONS = {"html", "body", "main", "article", "section", "div"}
 BLOCKS = CONTAINERS | SKIPPED | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "th", "pre", "hr", "figcaption", "caption", "address"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Words in class, id or role of boilerplate.
@@ -107,6 +108,31 @@ def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> list[b
     return [x >= cut for x in s]
 
 
+def cluster(p: Lines, mass: dict[int, int], use: list[bool]) -> list[tuple[int, ...]]:
+    """Paths of the outermost articles and mains with content (of an article that holds all of a main's), else of the content lines."""
+    named = {n for n in mass if p.kinds[n] in ("article", "main")}
+    if not named:
+        return [path for (_, _, path, skip), yes in zip(p.lines, use, strict=True) if yes and not skip]
+    paths: dict[int, tuple[int, ...]] = {}
+    for _, _, path, _ in p.lines:
+        for i, n in enumerate(path):
+            if n in named and n not in paths:
+                paths[n] = path[: i + 1]
+    best: dict[int, int] = {}
+    for n in sorted(named):
+        top = next(k for k in paths[n] if k in named)
+        best.setdefault(top, top)
+        if p.kinds[best[top]] == "main" and p.kinds[n] == "article" and mass[n] == mass[top]:
+            best[top] = n
+    return [paths[n] for n in best.values()]
+
+
+def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """What all paths begin with."""
+    a, b = min(paths), max(paths)
+    return a[: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))]
+
+
 def main_text(html: str | None) -> str:
     """The main text: kept blocks joined by a newline."""
     if not html:
@@ -130,12 +156,10 @@ def main_text(html: str | None) -> str:
             break
     else:
         return ""
-    named = [n for n in mass if p.kinds[n] in ("article", "main")]
-    if named:
-        best = max(named, key=lambda n: (mass[n], p.kinds[n] == "article", -n))
-    else:
-        best = max((n for n in mass if mass[n] >= 0.6 * total), default=None)
-    return "\n".join(text for text, _, path, skip in p.lines if not skip and (best is None or best in path))
+    region = common(cluster(p, mass, use))
+    while region and p.kinds[region[-1]] not in SECTIONS:
+        region = region[:-1]
+    return "\n".join(text for text, _, path, skip in p.lines if not skip and path[: len(region)] == region)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

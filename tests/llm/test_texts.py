@@ -32,6 +32,18 @@ def test_html_long_page():
     assert text.count("\n") == 19_999 and "Menu" not in text
 
 
+def test_html_whole_content_cluster():
+    a, b, c = ("Words of a sentence that goes on for a while, " * k for k in (4, 7, 13))
+    page = lambda body: html.main_text(f"<html><body><nav><a>Menu</a></nav>{body}<footer>Rights</footer></body></html>")
+    want = lambda *x: "\n".join(t.strip() for t in x)
+    assert page(f"<div><p>Intro</p><blockquote><p>{a}</p><p>{b}</p></blockquote></div>") == want("Intro", a, b)
+    assert page(f"<div><p>{a}</p><ul><li>{b}</li><li>{c}</li></ul></div>") == want(a, b, c)
+    assert page(f"<div><p>{c}</p></div><div><p>{b}</p></div>") == want(c, b)
+    assert page(f"<article><h2>One</h2><p>{a}</p></article><article><p>{c}</p></article><article><p>{b}</p></article>") == want("One", a, c, b)
+    assert page(f"<main><p>Site</p><article><p>{a}</p><p>Short.</p><article>{b}</article></article></main><p>Out</p>") == want(a, "Short.", b)
+    assert html.main_text(f"<article>{a}</article><article>{b}</article>") == want(a, b)
+
+
 def test_secret_candidates_match_plain_search(spark):
     texts = {i: t for i, (t, _, _) in enumerate(secrets.labelled_findings(300, seed=21))}
     texts |= {1000: "", 1001: "é \U0001f600 token = abcDEF123456789 x", 1002: "a" * 40_000 + " key: " + "b1" * 3000, 1003: "no candidates here: none"}
