@@ -115,14 +115,18 @@ def findings(docs: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, type, text, start, end, canonical, subject of every typed value in each sentence of each text. Map-only."""
+    """id, type, text, start, end, canonical, subject of every typed value in each sentence of each text, with the terms
+    that the text itself defines, quantities and counts. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                terms = anchors.aliases(t or "")
                 for s, e in spans(t or ""):
-                    rows += [(i, a.type, a.text, s + a.start, s + a.end, a.canonical, a.subject) for a in anchors.extract(t[s:e])]
+                    found = anchors.extract(t[s:e], {x for x in terms if x in t[s:e]})
+                    found += anchors.residue(t[s:e], found)
+                    rows += [(i, a.type, a.text, s + a.start, s + a.end, a.canonical, a.subject) for a in sorted(found, key=lambda a: (a.start, a.end, a.type))]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
     names = [id_, "type", "text", "start", "end", "canonical", "subject"]

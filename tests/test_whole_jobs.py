@@ -1,5 +1,6 @@
 """Small cases that queries over a part of the rows would miss."""
 
+from attestlake.operators import attest
 from attestlake.plans import tables, texts
 
 
@@ -37,3 +38,12 @@ def test_quotes_of_another_table_in_short_turns(spark):
     turns = spark.createDataFrame([(5, 0, "Yes."), (5, 1, "yes. It  was so, they said!"), (6, 0, None)], "conv_id long, turn long, text string")
     want = {("Yes.", 5, 0, True), ("It was so, they said!", 5, 1, True), ("Not here.", None, None, False)}
     assert {tuple(r)[1:] for r in texts.quotes_in(items, turns).collect()} == want
+
+
+def test_anchor_rows_hold_defined_terms_quantities_and_counts(spark):
+    text = 'The cargo (the "Cargo") weighs 20 kg. Inspectors counted 12,500 crates of Cargo for $30.'
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    rows = attest.anchor_rows(docs, "doc_id", "text").collect()
+    assert all(text[r.start : r.end] == r.text for r in rows)
+    assert {(r.type, r.text) for r in rows} >= {("defined_term", "Cargo"), ("quantity", "20 kg"), ("count", "12,500"), ("money", "$30")}
+    assert [r.start for r in rows if r.type == "defined_term"] == [text.index("Cargo"), text.rindex("Cargo")]
