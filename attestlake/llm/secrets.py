@@ -61,7 +61,8 @@ def candidates(docs: DataFrame, text: str = "text", path: Column | None = None)
         g = [F.regexp_extract(w, SCAN, k) for k in range(1, 7)]
         value = F.concat(g[1], g[2], g[3], g[5])
         closed = ((g[1] != "") | (g[2] != "")).cast("int")
-        return F.struct(F.concat(g[0], g[4]).alias("name"), value.alias("value"), (F.length(value) + closed).alias("back"))
+        named = F.struct(F.concat(g[0], g[4]).alias("name"), value.alias("value"), (F.length(value) + closed).alias("back"))
+        return F.when(w.rlike("[:=]"), named).otherwise(F.struct(F.lit("").alias("name"), w.alias("value"), F.length(w).alias("back")))
 
     found = found.where(F.size("whole") > 0).withColumn("parts", F.transform("whole", part))
     # Only whole[i] that can be a secret go on; their starts are sums of what lies before.
