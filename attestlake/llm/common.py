@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,19 +30,65 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put in front until no column of df is called so (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where none is set."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where none is set, a local one serves a local session; on a cluster that is an error, as executors don't see it.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = at or tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     return at or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder: lost executors cost no recomputation, lineage ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables of one job, written once to the shared folder: lost executors cost no recomputation, lineage ends here."""
+
+    live: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, {}
+        self.at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        Scratch.live.append(self)
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{len(self.tables)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing will read again."""
+        for path, table in self.tables.items():
+            if any(table is t for t in tables):
+                delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever Spark's own paths may lie."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what the jobs so far have left in the shared folder; their results can't be read after that."""
+    while Scratch.live:
+        delete(spark, Scratch.live.pop().at)
 
 
 def binary_lists(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -1,14 +1,15 @@
 """Line dedup by range-partitioned line hashes and per-document keep bitmaps.
 
 Each non-empty line key (line stripped of ASCII white space, A-Z lower-cased) becomes a 128-bit hash with its document
-and position. The rows are range-partitioned by (hash, document) and sorted by (hash, document, position): a line that
-a third of all documents hold is spread over many partitions, and a partition is read as a stream. Runs of a hash that
+and position. These rows are written, then range-partitioned by (hash, document) and sorted by (hash, document,
+position): a line that a third of all documents hold is spread over many partitions, and a partition is read as a stream. Runs of a hash that
 end inside a partition are decided there; runs at its two ends are summed over partitions first. What leaves this
 stage is positions, gathered to one zlib-compressed keep bitmap for each document that loses a line; texts meet the
 bitmaps last.
 
-A null or empty text is one empty line, which stays. A document is a row: its identity is a hash of doc_id and text, so
-rows that repeat both count as one document and get the same result; null doc_id is allowed.
+A null or empty text is one empty line, which stays. A document is a row, known by its doc_id and a hash of its text (by
+two hashes of it where the id is null): rows that repeat both count as one document and get the same result. The first
+occurrence of a line is that in the document of least id, rows without an id standing anywhere.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +26,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestlake.llm.common import binary_lists, partitions, saved, without
+from attestlake.llm.common import Scratch, binary_lists, fresh, partitions, without
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__uid", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def row_key(docs: DataFrame) -> list:
+    """u1, u2: the doc_id and a hash of the text, or two hashes of it."""
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return [F.coalesce(own, F.xxhash64(F.lit(3), text)).alias("u1"), F.xxhash64(own.isNull(), text).alias("u2")]
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """h1, h2, uid, pos of every line whose key has at least min_chars code points."""
+    """h1, h2, u1, u2, pos of every line whose key has at least min_chars code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,27 +52,27 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
                         rows.append(row)
                         pos.append(i)
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            uid = np.asarray(batch.column(0))[np.array(rows, np.int64)] if rows else np.array([], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(uid, pa.int64()), pa.array(pos, pa.int32())], ["h1", "h2", "uid", "pos"])
+            at = np.array(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(np.asarray(batch.column(i))[at], pa.int64()) for i in (0, 1)), pa.array(pos, pa.int32())], ["h1", "h2", "u1", "u2", "pos"])
 
-    return with_uid(docs).select("__uid", F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, uid long, pos int")
+    return docs.select(*row_key(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, u1 long, u2 long, pos int")
 
 
 def _stream(min_docs: int, keep_first: bool):
     """Reads a partition in order; gives decided drops (h1 null) and, for the runs at its ends, rows still open.
 
     kind 0: drop this line. kind 1: an open run's line. kind 2: an open run's number of documents in this partition
-    (and, as uid and pos, its first line).
+    (and, as u1, u2 and pos, its first line). A document is a row (u1, u2) of an array.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "h1", "h2", "uid", "pos", "n"]
+        names = ["kind", "h1", "h2", "u1", "u2", "pos", "n"]
         part = TaskContext.get().partitionId()
 
         def made(kind: int, h: tuple[int, int] | None, uid: np.ndarray, pos: np.ndarray, n: int = 0) -> pa.RecordBatch:
             k = len(uid)
             hs = [pa.nulls(k, pa.int64())] * 2 if h is None else [pa.array(np.full(k, x, np.int64)) for x in h]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *hs, pa.array(uid, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.full(k, n, np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *hs, pa.array(uid[:, 0]), pa.array(uid[:, 1]), pa.array(pos, pa.int32()), pa.array(np.full(k, n, np.int64))], names)
 
         class Run:
             def __init__(self, h: tuple[int, int], at_edge: bool) -> None:
@@ -77,7 +81,7 @@ def _stream(min_docs: int, keep_first: bool):
             def add(self, uid: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
                 if self.first is None:
                     self.first = (uid[:1], pos[:1])
-                self.n += int(np.count_nonzero(uid[1:] != uid[:-1])) + (self.last is None or self.last != uid[0])
+                self.n += int(np.count_nonzero((uid[1:] != uid[:-1]).any(1))) + (self.last is None or bool((self.last != uid[0]).any()))
                 self.last = uid[-1]
                 if self.over or (self.n >= min_docs and not (keep_first and self.at_edge)):
                     for u, p in [*self.held, (uid, pos)]:
@@ -88,7 +92,7 @@ def _stream(min_docs: int, keep_first: bool):
 
             def drops(self, uid: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
                 if keep_first:
-                    stay = (uid == self.first[0][0]) & (pos == self.first[1][0])
+                    stay = (uid == self.first[0][0]).all(1) & (pos == self.first[1][0])
                     uid, pos = uid[~stay], pos[~stay]
                 if len(uid):
                     yield made(0, None, uid, pos)
@@ -104,7 +108,8 @@ def _stream(min_docs: int, keep_first: bool):
 
         open_run, seen = None, False
         for batch in batches:
-            h1, h2, uid, pos = (np.asarray(batch.column(i)) for i in range(4))
+            h1, h2, u1, u2, pos = (np.asarray(batch.column(i)) for i in range(5))
+            uid = np.stack([u1, u2], 1)
             if not len(uid):
                 continue
             cut = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
@@ -112,7 +117,7 @@ def _stream(min_docs: int, keep_first: bool):
             whole = np.ones(len(starts), bool)
             whole[[0, -1]] = False
             # runs wholly inside this batch, all at once
-            new_doc = np.concatenate(([True], (uid[1:] != uid[:-1])))
+            new_doc = np.concatenate(([True], (uid[1:] != uid[:-1]).any(1)))
             new_doc[starts] = True
             n_docs = np.add.reduceat(new_doc.astype(np.int64), starts)
             drop = np.repeat(whole & (n_docs >= min_docs), ends - starts)
@@ -134,35 +139,38 @@ def _stream(min_docs: int, keep_first: bool):
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """uid, pos of the lines that go: of keys found in at least min_docs documents, all, or all but the first one."""
+    """u1, u2, pos of the lines that go: of keys found in at least min_docs documents, all, or all but the first one."""
+    scratch = Scratch(docs.sparkSession)
     n = partitions(docs.sparkSession)
-    rows = line_hashes(docs, min_chars).repartitionByRange(n, "h1", "h2", "uid").sortWithinPartitions("h1", "h2", "uid", "pos")
+    hashed = scratch.save(line_hashes(docs, min_chars))  # the sample for the bounds and the sort read this, not the texts
+    rows = hashed.repartitionByRange(n, "h1", "h2", "u1", "u2").sortWithinPartitions("h1", "h2", "u1", "u2", "pos")
     # Saved, as the three kinds must come from one and the same dealing out of ranges, whose bounds are sampled.
-    found = saved(rows.mapInArrow(_stream(min_docs, keep_first), "kind int, h1 long, h2 long, uid long, pos int, n long"))
+    found = scratch.save(rows.mapInArrow(_stream(min_docs, keep_first), "kind int, h1 long, h2 long, u1 long, u2 long, pos int, n long"))
+    scratch.drop(hashed)
     # Runs at the ends of partitions: two a partition at most, so these sums are small whatever the input.
-    sums = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "pos")).alias("first")).where(F.col("n") >= min_docs)
+    sums = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "pos")).alias("first")).where(F.col("n") >= min_docs)
     late = found.where("kind = 1").drop("n").join(F.broadcast(sums), ["h1", "h2"])
     if keep_first:
-        late = late.where(~((F.col("uid") == F.col("first.uid")) & (F.col("pos") == F.col("first.pos"))))
-    return found.where("kind = 0").select("uid", "pos").unionByName(late.select("uid", "pos"))
+        late = late.where(F.struct("u1", "u2", "pos") != F.col("first"))
+    return found.where("kind = 0").select("u1", "u2", "pos").unionByName(late.select("u1", "u2", "pos"))
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """uid, n_dropped, keep: zlib-compressed bits (1: the line stays; lines after the last bit stay). Only documents that lose lines."""
+    """u1, u2, n_dropped, keep: zlib-compressed bits (1: the line stays; lines after the last bit stay). Only documents that lose lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keep = [], []
-            for pos in batch.column(1).to_pylist():
+            for pos in batch.column(2).to_pylist():
                 p = np.unique(np.array(pos, np.int64))
                 bits = np.ones(int(p[-1]) + 1, np.uint8)
                 bits[p] = 0
                 n.append(len(p))
                 keep.append(zlib.compress(np.packbits(bits).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keep, pa.binary())], ["uid", "n_dropped", "keep"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(keep, pa.binary())], ["u1", "u2", "n_dropped", "keep"])
 
-    gone = frequent_lines(docs, min_docs, min_chars, keep_first).groupBy("uid").agg(F.collect_set("pos").alias("pos"))
-    return gone.mapInArrow(run, "uid long, n_dropped long, keep binary")
+    gone = frequent_lines(docs, min_docs, min_chars, keep_first).groupBy("u1", "u2").agg(F.collect_set("pos").alias("pos"))
+    return gone.mapInArrow(run, "u1 long, u2 long, n_dropped long, keep binary")
 
 
 def apply_bitmaps(text: bytes | None, n_dropped: int | None, keep: bytes | None) -> bytes:
@@ -171,11 +179,10 @@ def apply_bitmaps(text: bytes | None, n_dropped: int | None, keep: bytes | None)
         return text or b""
     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))
     lines = text.split(b"\n")
+    stays = np.ones(len(lines), bool)
     # packbits pads with zeros; the last bit kept is that of the last dropped line
-    gone = np.flatnonzero(bits == 0)[:n_dropped].tolist()
-    for i in reversed(gone):
-        del lines[i]
-    return b"\n".join(lines)
+    stays[np.flatnonzero(bits == 0)[:n_dropped]] = False
+    return b"\n".join(compress(lines, stays.tolist()))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, made: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_sha256")) -> DataFrame:
@@ -185,8 +192,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
     """
     docs = without(docs, *made)
     names = docs.columns
-    bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first).select(F.col("uid").alias("__uid"), F.col("n_dropped").alias("__n"), F.col("keep").alias("__keep"))
-    joined = with_uid(docs).join(bitmaps, "__uid", "left").drop("__uid")
+    u1, u2, n_gone, bits = fresh(docs, "u1", "u2", "n_gone", "keep_bits")
+    bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first).toDF(u1, u2, n_gone, bits)
+    own = [c.alias(n) for c, n in zip(row_key(docs), (u1, u2), strict=True)]
+    joined = docs.select("*", *own).join(bitmaps, [u1, u2], "left").select(*names, n_gone, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
