@@ -81,23 +81,22 @@ _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),
 
 ORACLE = {
     "op1_perspective_rotation": """
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text, coalesce(CAST(floor(turn / 256) AS BIGINT), 0) AS segment FROM conversations
-), p AS (SELECT DISTINCT conv_id AS c, who AS speaker FROM t WHERE who <> 'system'),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id AS c, who AS speaker FROM t WHERE who <> 'system'),
 r AS (
   SELECT t.*, speaker, who = speaker AS own,
     CASE WHEN who = 'system' THEN '<|system|>' WHEN who = speaker THEN '<|assistant|>' ELSE '<|user name=' || who || '|>' END || chr(10) AS head,
     chr(10) || '<|end|>' || chr(10) AS tail
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.c
 ), s AS (
-  SELECT *, coalesce(sum(length(head) + length(text) + length(tail)) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, who, text
+  SELECT *, coalesce(sum(length(head) + length(text) + length(tail)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, who, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a,
-    row_number() OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn NULLS FIRST, who, text) AS n
+    row_number() OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, who, text) AS n
   FROM r
 )
-SELECT conv_id, speaker, segment, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own, string_agg(head || text || tail, '' ORDER BY n) AS text,
+SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own, string_agg(head || text || tail, '' ORDER BY n) AS text,
   coalesce(string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(a AS BIGINT) + length(text) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE own), '') AS spans
-FROM s GROUP BY conv_id, speaker, segment
+FROM s GROUP BY conv_id, speaker
 """,
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
