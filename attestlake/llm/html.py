@@ -2,12 +2,16 @@
 
 The standard library's parser streams events; each block of the page is a line with its characters and tags. The ratio
 of characters to tags per line is smoothed by a Gaussian, and a threshold of one standard deviation of the smoothed
-ratios splits lines into content and the rest. The content region is the innermost container around the whole content
-cluster: around all outermost article and main elements that hold content lines, else around all content lines, and
-then no list, quote, table or figure, whose lead-in would go. All its blocks are kept, without subtrees that are
-boilerplate by element, role, class or id. So short paragraphs inside an article stay and long adverts outside go.
+ratios splits lines into content and the rest. The content lines choose the region: the article and main elements that
+hold most of their characters, else the innermost section around all of them, whose own sections stay only if content
+lines lie in them. Everything else in the region stays, so short paragraphs, lists and tables of a chosen section do.
+
+Taken out beforehand is what HTML itself names as navigation, forms, scripts and page headers and footers, and what is
+boilerplate by role, class or id. A header inside an article or a section belongs to it. Words such as sidebar in the
+class of a wrapper (has-sidebar, or any element that holds the page's h1 or main and most of its content) don't count.
 
 Null, empty and tag-only pages give the empty text. Open elements at the end of a cut-off page are closed there.
+Repeated pages give their text again; a page of one very long line is one block.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,61 +29,116 @@ from attestlake.llm.common import without
 
 SIGMA = 1.0
 #: Elements that hold no main text.
-SKIPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "textarea", "iframe", "svg", "canvas", "dialog", "object"}
-CONTAINERS = {"html", "body", "main", "article", "section", "div", "table", "ul", "ol", "dl", "blockquote", "td", "figure"}
+SKIPPED = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "menu", "button", "select", "textarea", "iframe", "svg", "canvas", "dialog", "object"}
 SECTIONS = {"html", "body", "main", "article", "section", "div"}
+CONTAINERS = SECTIONS | {"table", "ul", "ol", "dl", "blockquote", "td", "figure", "header"}
 BLOCKS = CONTAINERS | SKIPPED | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "th", "pre", "hr", "figcaption", "caption", "address"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Start tags that end an open element of the first kind inside the nearest of the others.
+IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dd", {"dl"}), "dd": ("dd", {"dl"}), "td": ("td", {"table", "tr"}), "tr": ("td", {"table"})}
 #: Words in class, id or role of boilerplate.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "footer", "comment", "comments", "disqus", "share", "sharing", "social", "related", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "pagination", "pager", "contentinfo", "complementary", "toolbar"}
-NEVER_MARKED = {"html", "body", "main", "article", "p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "span", "a", "br", "li"}
+#: First words of classes that tell how a page is laid out, and those of an article's own header.
+LAYOUT, OWN_HEADER = {"has", "with", "no", "without", "is", "js", "show", "hide"}, {"entry", "post", "article", "story", "content", "title", "section"}
+INLINE = {"b", "i", "em", "strong", "span", "a", "br", "small", "sup", "sub", "u", "s", "font", "code", "abbr", "mark", "img", "input"}
+
+
+def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether class, id or role call the element boilerplate."""
+    if tag in INLINE or tag in ("html", "body", "main"):
+        return False
+    for k, v in attrs:
+        if k not in ("class", "id", "role") or not v:
+            continue
+        for name in v.lower().split():
+            parts = re.split(r"[_-]+", name)
+            if tag == "article":  # an article's classes hold words of all kinds
+                parts = parts if len(parts) == 1 else []
+            elif parts[0] in LAYOUT:
+                continue
+            elif parts[0] in OWN_HEADER and "header" in parts:
+                parts = [x for x in parts if x != "header"]
+            if not MARKS.isdisjoint(parts):
+                return True
+    return False
+
+
+class Element(NamedTuple):
+    tag: str
+    number: int
+    skipped: bool  # by the element itself or one around it that HTML names
+    marks: tuple[int, ...]  # marked elements around, itself included
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    path: tuple[int, ...]
+    skipped: bool
+    marks: tuple[int, ...]
+    tag: str  # the block's
 
 
 class Lines(HTMLParser):
-    """Lines (text, tags, path of open containers, skipped) of one page, in order."""
+    """The lines of one page, in order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # element, its number, skipped
+        self.lines: list[Line] = []
+        self.stack: list[Element] = []
         self.kinds: list[str] = []
+        self.heads: set[int] = set()  # elements that hold an h1 or main
         self.held: list[str] = []
-        self.tags = 0
+        self.tags, self.block = 0, ""
 
     def flush(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.lines.append((text, max(self.tags, 1), tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2]))
+            top = self.stack[-1] if self.stack else Element("", 0, False, ())
+            self.lines.append(Line(text, max(self.tags, 1), tuple(e.number for e in self.stack), top.skipped, top.marks, self.block))
             self.tags = 0
         self.held.clear()
 
+    def pop(self, tag: str, within: set[str]) -> None:
+        """Closes the innermost open element of this tag, unless one of `within` lies inside it."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i].tag == tag:
+                self.flush()
+                del self.stack[i:]
+                return
+            if self.stack[i].tag in within:
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.held.append(" ")
-        marked = tag not in NEVER_MARKED and any(
-            k in ("class", "id", "role") and v and not MARKS.isdisjoint(re.split(r"[\s_-]+", v.lower())) for k, v in attrs
-        )
         if tag in BLOCKS:
             self.flush()
+            self.block = tag
+            if self.stack and self.stack[-1].tag == "p":
+                self.stack.pop()
+            if tag in IMPLIED:
+                self.pop(*IMPLIED[tag])
         self.tags += 1
-        if tag not in VOID and (marked or tag in CONTAINERS or tag in SKIPPED):
-            skip = marked or tag in SKIPPED or bool(self.stack) and self.stack[-1][2]
-            if tag in ("body", "article", "main") and self.stack and self.stack[-1][0] in ("head", "title"):
-                while self.stack and self.stack[-1][0] in ("head", "title"):
-                    self.stack.pop()
-                skip = bool(self.stack) and self.stack[-1][2]
-            self.stack.append((tag, len(self.kinds), skip))
+        if tag in ("h1", "main"):
+            self.heads.update(e.number for e in self.stack)
+        if tag in ("body", "article", "main"):
+            while self.stack and self.stack[-1].tag in ("head", "title"):
+                self.stack.pop()
+        mark = marked(tag, attrs)
+        if tag not in VOID and tag not in INLINE and (mark or tag in CONTAINERS or tag in SKIPPED):
+            top = self.stack[-1] if self.stack else Element("", 0, False, ())
+            page_header = tag == "header" and not any(e.tag in ("article", "main", "section") for e in self.stack)
+            n = len(self.kinds)
+            self.stack.append(Element(tag, n, top.skipped or tag in SKIPPED or page_header, (*top.marks, n) if mark else top.marks))
             self.kinds.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
+            self.block = ""
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.flush()
-                del self.stack[i:]
-                break
+        self.pop(tag, set())
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,31 +160,21 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...], bool]]) -> list[bool]:
+def content_lines(lines: list[Line]) -> list[bool]:
     """Threshold clustering of the smoothed ratios."""
-    s = smoothed([len(t) / n for t, n, _, _ in lines])
+    s = smoothed([len(x.text) / x.tags for x in lines])
     mean = sum(s) / len(s)
     cut = math.sqrt(sum((x - mean) ** 2 for x in s) / len(s))
     return [x >= cut for x in s]
 
 
-def cluster(p: Lines, mass: dict[int, int], use: list[bool]) -> list[tuple[int, ...]]:
-    """Paths of the outermost articles and mains with content (of an article that holds all of a main's), else of the content lines."""
-    named = {n for n in mass if p.kinds[n] in ("article", "main")}
-    if not named:
-        return [path for (_, _, path, skip), yes in zip(p.lines, use, strict=True) if yes and not skip]
-    paths: dict[int, tuple[int, ...]] = {}
-    for _, _, path, _ in p.lines:
-        for i, n in enumerate(path):
-            if n in named and n not in paths:
-                paths[n] = path[: i + 1]
-    best: dict[int, int] = {}
-    for n in sorted(named):
-        top = next(k for k in paths[n] if k in named)
-        best.setdefault(top, top)
-        if p.kinds[best[top]] == "main" and p.kinds[n] == "article" and mass[n] == mass[top]:
-            best[top] = n
-    return [paths[n] for n in best.values()]
+def masses(lines: list[Line]) -> dict[int, int]:
+    """Characters of the lines in each element."""
+    mass: dict[int, int] = {}
+    for x in lines:
+        for n in x.path:
+            mass[n] = mass.get(n, 0) + len(x.text)
+    return mass
 
 
 def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
@@ -133,6 +183,19 @@ def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
     return a[: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))]
 
 
+def named_regions(p: Lines, content: list[Line]) -> list[tuple[int, ...]]:
+    """Paths of the outermost articles and mains with content lines; of an article instead that holds all of a main's."""
+    mass = masses(content)
+    best: dict[int, tuple[int, ...]] = {}
+    for x in content:
+        named = [i for i, n in enumerate(x.path) if p.kinds[n] in ("article", "main")]
+        if named:
+            top = x.path[named[0]]
+            inner = next((i for i in named if p.kinds[x.path[i]] == "article" and mass[x.path[i]] == mass[top]), named[0])
+            best[top] = x.path[: inner + 1]
+    return list(best.values())
+
+
 def main_text(html: str | None) -> str:
     """The main text: kept blocks joined by a newline."""
     if not html:
@@ -141,25 +204,31 @@ def main_text(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.flush()
-    if not p.lines:
+    shown = [x for x in p.lines if not x.skipped]
+    if not shown:
         return ""
-    content = content_lines(p.lines)
-    for use in (content, [True] * len(content)):
-        mass: dict[int, int] = {}
-        total = 0
-        for (text, _, path, skip), yes in zip(p.lines, use, strict=True):
-            if yes and not skip:
-                total += len(text)
-                for n in path:
-                    mass[n] = mass.get(n, 0) + len(text)
-        if total:
-            break
-    else:
+    chosen = {id(x) for x, yes in zip(p.lines, content_lines(p.lines), strict=True) if yes and not x.skipped} or {id(x) for x in shown}
+    mass, whole = masses([x for x in shown if id(x) in chosen]), sum(len(x.text) for x in shown if id(x) in chosen)
+    wrappers = {n for n in p.heads if 2 * mass.get(n, 0) > whole}  # these hold the page, whatever they are called
+    shown = [x for x in shown if wrappers.issuperset(x.marks)]
+    content = [x for x in shown if id(x) in chosen] or shown
+    if not content:
         return ""
-    region = common(cluster(p, mass, use))
+    regions = {r[-1] for r in named_regions(p, content)}
+    inside = [x for x in content if not regions.isdisjoint(x.path)]
+    if 2 * sum(len(x.text) for x in inside) >= sum(len(x.text) for x in content):
+        return "\n".join(x.text for x in shown if not regions.isdisjoint(x.path))
+    region = common([x.path for x in content])
     while region and p.kinds[region[-1]] not in SECTIONS:
         region = region[:-1]
-    return "\n".join(text for text, _, path, skip in p.lines if not skip and path[: len(region)] == region)
+    holds = masses(content)
+    k = len(region)
+
+    def stays(x: Line) -> bool:
+        below = x.path[k:]
+        return not below or below[0] in holds or p.kinds[below[0]] not in SECTIONS
+
+    return "\n".join(x.text for x in shown if x.path[:k] == region and stays(x))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
