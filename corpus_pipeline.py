@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestlake.llm import bagminhash, bpe, decontam, linededup, quality
-from attestlake.llm.common import ensure_checkpoint_dir, table
+from attestlake.llm.common import delete, ensure_checkpoint_dir, release, table
 from attestlake.llm.queries import TOKENIZER
 
 
@@ -60,10 +60,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what the next one has read goes."""
     at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        release(spark)
+        if last is not None:
+            delete(spark, last)
+        last = f"{at}/{name}"
     return docs
