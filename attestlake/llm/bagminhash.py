@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestlake.llm.common import Scratch, binary_lists, fresh, grouped, partitions, words
+from attestlake.llm.common import Scratch, binary_lists, fresh, grouped, partitions, row_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**6)**32, about 6e-5.
@@ -123,12 +123,6 @@ def signature(d: np.ndarray, w: np.ndarray, m: int = COMPONENTS, mean: float = 1
         mean *= 2
 
 
-def _keyed(docs: DataFrame, k1: str = "k1", k2: str = "k2") -> list:
-    """Two hashes of doc_id and text, which find a row again."""
-    own = [F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))]
-    return [F.xxhash64(*own).alias(k1), F.xxhash64(F.lit(1), *reversed(own)).alias(k2)]
-
-
 def content(d: np.ndarray, w: np.ndarray) -> tuple[int, int]:
     """The 128-bit hash of a multiset, as two longs."""
     h = np.frombuffer(xxhash.xxh3_128_digest(d.tobytes() + w.tobytes()), np.int64)
@@ -147,7 +141,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h1.append(a), h2.append(b), sigs.append((signature(d, w) >> U(8)).astype(np.uint8).tobytes() if len(d) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())], ["k1", "k2", "doc_id", "h1", "h2", "sig"])
 
-    rows = docs.select(*_keyed(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(*row_hashes(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, h1 long, h2 long, sig binary")
 
 
@@ -308,7 +302,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 1, 4, 5, 6)], ["text", "node", "sig", "cluster", "blocks"])
 
-    rows = docs.select(*_keyed(docs), F.col("text").cast("string").alias("text"))
+    rows = docs.select(*row_hashes(docs), F.col("text").cast("string").alias("text"))
     met = rows.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("text", "node", "h1", "h2", "sig", "cluster", "blocks")
     return met.mapInArrow(run, "text string, node long, sig binary, cluster long, blocks int")
 
@@ -389,7 +383,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = classes(docs).where("class_key IS NOT NULL AND class_size > 1")
     stays = (F.col("k1") == F.col("first1")) & (F.col("k2") == F.col("first2"))
     marks = scratch.save(found.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.max(stays).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"))
-    keyed = docs.select("*", *_keyed(docs, k1, k2))
+    keyed = docs.select("*", *row_hashes(docs, k1, k2))
     out = keyed.join(marks.select(k1, k2).hint("shuffle_hash"), [k1, k2], "left_anti")
     twice = marks.where("stays").select(k1, k2)
     if not twice.isEmpty():

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes 0-9, a-z and everything outside ASCII stay, A-Z are lower-cased, all else becomes a space.
 WORD_BYTES = bytes(
@@ -85,12 +86,18 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes what the jobs so far have left in the shared folder; their results can't be read after that."""
-    while Scratch.live:
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Removes what jobs have left in the shared folder since Scratch.live had that length; their results can't be read after that."""
+    while len(Scratch.live) > since:
         delete(spark, Scratch.live.pop().at)
 
 
+def row_hashes(docs: DataFrame, k1: str = "k1", k2: str = "k2") -> list[Column]:
+    """Two hashes of doc_id and text, which find a row again."""
+    own = [F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))]
+    return [F.xxhash64(*own).alias(k1), F.xxhash64(F.lit(1), *reversed(own)).alias(k2)]
+
+
 def binary_lists(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as bytes objects, without decoding."""
     col = batch.column(batch.schema.get_field_index(name))

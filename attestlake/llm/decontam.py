@@ -1,10 +1,11 @@
 """Benchmark decontamination: windows of benchmark words, looked up in every document.
 
 Windows are n consecutive words of an item (an item of fewer words, but not none, is one window of all its words).
-The set of windows is broadcast when it has at most max_windows of them; a larger set is split by window hash into
-parts of that size, which are looked up one after the other, so no executor ever holds more. A document is mapped to
-ids of benchmark words, positions whose window has benchmark words only are hashed at once, and hash hits are
-confirmed word by word. Documents are not shuffled.
+The set of windows is broadcast when it has at most max_windows of them, and documents are then not shuffled. A larger
+set is split by hash into parts of about that size. Each is looked up by a job of its own, which writes the hits alone
+and ends before the next part is read, so neither the driver nor an executor ever holds more than a part; documents meet
+their hits last. A document is mapped to ids of benchmark words, positions whose window has benchmark words only are
+hashed at once, and hash hits are confirmed word by word.
 
 Null or empty texts have no words, so no hits and no windows. Repeated rows, null ids and ties are rows of their own.
 Windows of a benchmark item without an id are hit like others; such an item has no place among the item ids.
@@ -12,15 +13,17 @@ Windows of a benchmark item without an id are hit like others; such an item has
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestlake.llm.common import binary_lists, words
+from attestlake.llm.common import Scratch, binary_lists, fresh, row_hashes, words
 
 #: Windows in one broadcast, about 150 MB in a Python worker.
 MAX_WINDOWS = 500_000
@@ -86,67 +89,105 @@ class WindowIndex:
         return spans, items
 
 
-def _scan(docs: DataFrame, index: object) -> DataFrame:
-    """docs with columns text, n_words, hit_words (sorted positions), item_ids: hits of one part of the index added."""
-    names = docs.columns
+def _parts(benchmark: DataFrame, n: int, max_windows: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The windows with their part, and the number of parts."""
+    grams = scratch.save(benchmark_windows(benchmark, n))
+    parts = max(1, -(-grams.count() // max_windows))
+    return grams.withColumn("part", F.pmod(F.xxhash64("gram", "item_id"), F.lit(parts))), parts
+
+
+def _broadcast(grams: DataFrame, part: int) -> Broadcast:
+    """The index of one part, on all executors."""
+    rows = grams.where(F.col("part") == part).select("item_id", "gram").collect()
+    return grams.sparkSession.sparkContext.broadcast(WindowIndex([(r.item_id, bytes(r.gram)) for r in rows]))
+
+
+def _words_hit(spans: list[tuple[int, int]]) -> list[int]:
+    return sorted({i for s, n in spans for i in range(s, s + n)})
+
+
+def _scan(docs: DataFrame, index: Broadcast) -> DataFrame:
+    """docs' doc_id and text with n_words, hit_words (sorted positions), item_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
         for batch in batches:
             n_words, hit_words, item_ids = [], [], []
-            before = zip(batch.column(names.index("hit_words")).to_pylist(), batch.column(names.index("item_ids")).to_pylist(), strict=True)
-            for text, (hit, items) in zip(binary_lists(batch, "text"), before, strict=True):
+            for text in binary_lists(batch, "text"):
                 w = words(text)
-                spans, got = own.hits(w)
+                spans, items = index.value.hits(w)
                 n_words.append(len(w))
-                hit_words.append(sorted({*hit, *(i for s, n in spans for i in range(s, s + n))}) if spans else hit)
-                item_ids.append(sorted({*items, *got}) if got else items)
-            made = {"n_words": pa.array(n_words, pa.int64()), "hit_words": pa.array(hit_words, pa.list_(pa.int64())), "item_ids": pa.array(item_ids, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(i)) for i, n in enumerate(names)], names)
+                hit_words.append(_words_hit(spans))
+                item_ids.append(sorted(items))
+            made = [pa.array(n_words, pa.int64()), pa.array(hit_words, pa.list_(pa.int64())), pa.array(item_ids, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc_id", "text", "n_words", "hit_words", "item_ids"])
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text string, n_words long, hit_words array<long>, item_ids array<long>")
+
+
+def _hits(docs: DataFrame, grams: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """k1, k2 (the row's hashes), hit_words, item_ids of the documents with hits, part after part."""
+    found = None
+    for k in range(parts):
+        index = _broadcast(grams, k)
+
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, hit_words, item_ids = [], [], []
+                for i, text in enumerate(binary_lists(batch, "text")):
+                    spans, items = index.value.hits(words(text))
+                    if spans:
+                        rows.append(i), hit_words.append(_words_hit(spans)), item_ids.append(sorted(items))
+                keys = [batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(hit_words, pa.list_(pa.int64())), pa.array(item_ids, pa.list_(pa.int64()))], ["k1", "k2", "hit_words", "item_ids"])
+
+        rows = docs.select(*row_hashes(docs), F.col("text").cast("string").alias("text"))
+        own = scratch.save(rows.mapInArrow(run, "k1 long, k2 long, hit_words array<long>, item_ids array<long>"))
+        index.destroy()
+        found = own if found is None else found.unionByName(own)
+    # Rows that repeat have the same hits, so the union over rows is that of each.
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return found.groupBy("k1", "k2").agg(merged("hit_words"), merged("item_ids"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs' columns doc_id and text with n_words, hit_words (positions of words inside a window found) and item_ids."""
-    spark = docs.sparkSession
-    grams = benchmark_windows(benchmark, n)
-    parts = max(1, -(-grams.count() // max_windows))
-    out = docs.select("doc_id", F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hit_words"), F.array().cast("array<long>").alias("item_ids"))
-    for k in range(parts):
-        own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).collect()
-        index = WindowIndex([(r.item_id, bytes(r.gram)) for r in own])
-        out = _scan(out, spark.sparkContext.broadcast(index))
-    return out
+    scratch = Scratch(docs.sparkSession)
+    grams, parts = _parts(benchmark, n, max_windows, scratch)
+    if parts == 1:
+        return _scan(docs, _broadcast(grams, 0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row_hashes(docs))
+    joined = rows.join(_hits(docs, grams, parts, scratch).hint("shuffle_hash"), ["k1", "k2"], "left")
+    none = F.array().cast("array<long>")
+    low = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n_words = F.size(F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
+    return joined.select("doc_id", "text", n_words.alias("n_words"), F.coalesce("hit_words", none).alias("hit_words"), F.coalesce("item_ids", none).alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without the documents in which a benchmark window occurs; all columns and their order stay.
 
-    Documents are looked up by content, not by id, so null and repeated ids are safe; the scan goes over docs itself.
+    Documents are looked up by content, not by id, so null and repeated ids are safe.
     """
-    spark = docs.sparkSession
-    grams = benchmark_windows(benchmark, n)
-    parts = max(1, -(-grams.count() // max_windows))
-    out = docs
-    for k in range(parts):
-        own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).collect()
-        index = spark.sparkContext.broadcast(WindowIndex([(r.item_id, bytes(r.gram)) for r in own]))
+    scratch = Scratch(docs.sparkSession)
+    grams, parts = _parts(benchmark, n, max_windows, scratch)
+    if parts > 1:
+        k1, k2 = fresh(docs, "k1", "k2")
+        gone = _hits(docs, grams, parts, scratch).select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+        return docs.select("*", *row_hashes(docs, k1, k2)).join(gone.hint("shuffle_hash"), [k1, k2], "left_anti").select(*docs.columns)
+    index = _broadcast(grams, 0)
 
-        def run(batches: Iterator[pa.RecordBatch], index: object = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not index.value.hits(words(t))[0] for t in binary_lists(batch, "text")], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not index.value.hits(words(t))[0] for t in binary_lists(batch, "text")], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """doc_id and text without the words inside windows found, and what stands between two such words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         for batch in batches:
             out = []
             for text, hit in zip(binary_lists(batch, "text"), batch.column(2).to_pylist(), strict=True):
