@@ -4,7 +4,8 @@ Rules (host, path, verdict) are stored as "host/path" strings: their 64-bit xxha
 offsets, their verdicts and their UTF-8 strings. The four arrays are one file that Spark ships to every node
 (SparkContext.addFile) and each worker memory-maps. A batch of urls is probed at once: every suffix of the host at a
 label boundary, joined to every prefix of the path that has the length of some rule's path, is hashed and looked up by
-binary search; a key found is confirmed against the stored string. The longest rule wins. Without a rule the verdict is
+binary search; a key found is confirmed against the stored string. Only suffixes and prefixes of lengths that rules have
+are built, so a host of very many labels costs no more than the rules. The longest rule wins. Without a rule the verdict is
 the method's: allow, as the url is not in the array.
 
 Null urls and urls without :// have empty host and path and so match no rule. Map-only: hot hosts cost nothing.
@@ -61,6 +62,8 @@ class DigestArray:
         self.keys, self.offsets, self.lengths = data[at[0] : at[1]].view(np.uint64), data[at[1] : at[2]].view(np.int64), data[at[2] : at[3]].view(np.int64)
         self.block, self.strings = data[at[3] : at[4]], data[at[4] :]
         self.path_lengths = sorted({int(x) for x in np.unique(self.lengths)})
+        #: Code points of the rules' hosts.
+        self.host_lengths = sorted({len(self.string(k).decode()) - int(self.lengths[k]) for k in range(n)})
 
     def probe(self, hosts: list[str], paths: list[str]) -> list[int]:
         """The index of the longest rule that fits each url, or -1."""
@@ -68,10 +71,7 @@ class DigestArray:
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             if not host:
                 continue
-            at, suffixes = 0, []
-            while at >= 0:
-                suffixes.append(host[at + bool(at) :])
-                at = host.find(".", at + 1)
+            suffixes = [host[len(host) - n :] for n in self.host_lengths if n == len(host) or 0 < n < len(host) and host[len(host) - n - 1] == "."]
             for n in self.path_lengths:
                 if n <= len(path):
                     for s in suffixes:
