@@ -8,7 +8,8 @@ labelled findings (a fixed generator of real key formats and of things that look
 trees that call the candidate a secret. Trees are flattened into literal arrays, which an aggregate expression walks.
 
 Null and empty texts give no candidates, a null path is no path. Every candidate of a text is returned, however long
-the text is; repeated rows give their findings again. The scan is map-only.
+the text is; repeated rows give their findings again. The characters U+0001 and U+0002, which mark candidates on the
+way, come out as U+FFFD. The scan is map-only and reads each text with the pattern once.
 """
 
 from __future__ import annotations
@@ -36,7 +37,16 @@ ASSIGNED = (
 )
 SCAN = f"{ASSIGNED}|{CANDIDATE}"
 #: Common English words, and words that go with secrets, with placeholders and with other long tokens.
-DICTIONARY = "about after also back because come could data day even first from give good have into just know like long look make more most need number only other over people same some system test than that their them then there these they thing this time user value very want well were what when which will with work would year your file name path example sample dummy change".split()
+DICTIONARY = (
+    "able about above account action active add address after again all allow also always amount another answer any app area array article ask author back base because before begin best better between big "
+    "block body book both bottom box branch build button call can case change check child city class clean clear client close code color come common company config content copy could count country create "
+    "current data date day default delete detail different direct display document down each edit empty end enter error event every example false field file find first folder form found from full general "
+    "get give good great group hand have head help here high home host house how image index info input into item job join just keep know label large last later left less let level life light like line link "
+    "list little load local log long look made mail main make many map mark market master may member menu message method might model more most move much must name need never new next night node none note "
+    "number object off old only open option order other our out over page parent part path people place plan point post power print process public query read ready real record remove report request result "
+    "right root row run same sample save search section see send server service set shall short should show side simple size small some source space start state step still stop store string such system table "
+    "take task team test text than that their them then there these they thing this time title today tool top total tree true try two type under update use user value version very view want water way week well were what when where which while who will window with word work world would write year your dummy"
+).split()
 SECRET_NAMES = "password passwd pwd secret token key apikey auth bearer credential credentials private access"
 HARMLESS_NAMES = "commit sha checksum md5 hash version uuid guid id build revision etag digest phone card isbn date"
 PLACEHOLDERS = "example|changeme|placeholder|dummy|sample|xxxx|0000|1234567|your_"
@@ -54,8 +64,9 @@ def candidates(docs: DataFrame, text: str = "text", path: Column | None = None)
     path = F.lit(None).cast("string") if path is None else path.cast("string")
     base = docs.select(F.col("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), path.alias("path"))
     base = base.where(F.col("t").rlike("[0-9=:]"))
-    # The text is read twice; names and values are found again in the short matches.
-    found = base.select("doc_id", "path", F.split("t", SCAN, -1).alias("between"), F.regexp_extract_all("t", F.lit(SCAN), F.lit(0)).alias("whole"))
+    # Candidates get marks around them; cut at the marks, every second piece is one. Names and values are found again in these.
+    marked = F.regexp_replace(F.translate("t", "\u0001\u0002", "\ufffd\ufffd"), F.lit(SCAN), F.lit("\u0001$0\u0002"))
+    cut = base.select("doc_id", "path", F.split(marked, "[\u0001\u0002]", -1).alias("pieces"))
 
     def part(w: Column) -> Column:
         g = [F.regexp_extract(w, SCAN, k) for k in range(1, 7)]
@@ -64,26 +75,36 @@ def candidates(docs: DataFrame, text: str = "text", path: Column | None = None)
         named = F.struct(F.concat(g[0], g[4]).alias("name"), value.alias("value"), (F.length(value) + closed).alias("back"))
         return F.when(w.rlike("[:=]"), named).otherwise(F.struct(F.lit("").alias("name"), w.alias("value"), F.length(w).alias("back")))
 
-    found = found.where(F.size("whole") > 0).withColumn("parts", F.transform("whole", part))
-    # Only whole[i] that can be a secret go on; their starts are sums of what lies before.
-    wanted = F.filter(F.sequence(F.lit(0), F.size("whole") - 1), lambda i: (F.get("parts", i)["name"] != "") | F.get("parts", i)["value"].rlike("[0-9]"))
-    sums = F.aggregate(
-        F.zip_with("between", "whole", lambda b, w: F.struct(F.length(b).alias("b"), F.coalesce(F.length(w), F.lit(0)).alias("w"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, x: F.struct((acc["at"] + x["b"] + x["w"]).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x["b"] + x["w"])).alias("ends")),
-        lambda acc: acc["ends"],
-    )
-    found = found.withColumn("wanted", wanted).where(F.size("wanted") > 0).withColumn("ends", sums)
+    odd = F.when(F.size("pieces") > 1, F.sequence(F.lit(1), F.size("pieces") - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(odd, lambda i: F.struct(i.alias("i"), part(F.get("pieces", i)).alias("p")))
+    found = cut.select("doc_id", "path", "pieces", F.filter(parts, lambda x: (x["p"]["name"] != "") | x["p"]["value"].rlike("[0-9]")).alias("parts"))
+    found = found.select("*", running(F.transform("pieces", lambda x: F.length(x))).alias("ends"))
     one = F.transform(
-        "wanted",
-        lambda i: F.struct(
-            (F.get("ends", i) - F.get("parts", i)["back"]).alias("start"), F.get("parts", i)["name"].alias("name"), F.get("parts", i)["value"].alias("value"),
-            F.substring(F.get("between", i), -40, 40).alias("before"),
+        "parts",
+        lambda x: F.struct(
+            (F.get("ends", x["i"]) - x["p"]["back"]).alias("start"), x["p"]["name"].alias("name"), x["p"]["value"].alias("value"),
+            F.substring(F.get("pieces", x["i"] - 1), -40, 40).alias("before"),
         ),
     )
     return found.select("doc_id", "path", F.explode(one).alias("c")).select("doc_id", "path", "c.*")
 
 
+def running(a: Column) -> Column:
+    """The running sums of an array of whole numbers, by blocks of about the square root of its size: each step copies a block only."""
+
+    def within(x: Column, base: Column) -> Column:
+        def step(acc: Column, v: Column) -> Column:
+            return F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"] + v)).alias("out"))
+
+        return F.aggregate(x, F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    b = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / b).cast("int")), lambda k: F.slice(a, k * b + 1, b))
+    sums = within(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda p, q: p + q)), F.lit(0))
+    heads = F.concat(F.array(F.lit(0)), sums)
+    return F.flatten(F.transform(blocks, lambda x, k: within(x, F.get(heads, k))))
+
+
 def features(found: DataFrame) -> DataFrame:
     """found with x, an array of FEATURES."""
     v, low = F.col("value"), F.lower("value")
