@@ -98,11 +98,16 @@ def running(a: Column) -> Column:
 
         return F.aggregate(x, F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
 
-    b = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / b).cast("int")), lambda k: F.slice(a, k * b + 1, b))
-    sums = within(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda p, q: p + q)), F.lit(0))
-    heads = F.concat(F.array(F.lit(0)), sums)
-    return F.flatten(F.transform(blocks, lambda x, k: within(x, F.get(heads, k))))
+    def let(x: Column, f) -> Column:  # what a lambda reads from outside is computed again for each element
+        return F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def by_blocks(a: Column) -> Column:
+        b = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / b).cast("int")), lambda k: F.slice(a, k * b + 1, b))
+        heads = lambda x: F.concat(F.array(F.lit(0)), within(F.transform(x, lambda v: F.aggregate(v, F.lit(0), lambda p, q: p + q)), F.lit(0)))
+        return let(blocks, lambda x: F.flatten(F.zip_with(x, F.slice(heads(x), F.lit(1), F.size(x)), within)))
+
+    return let(a, by_blocks)
 
 
 def features(found: DataFrame) -> DataFrame:
