@@ -66,6 +66,46 @@ def simple_sentences(x: Column | str) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+#: Abbreviations whose full stop doesn't end a sentence.
+ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|No|Nos|Art|Arts|Sec|Secs|Fig|Figs|Ch|Para|Paras|Cl|pp|vs|v|al|Inc|Corp|Ltd|Co|cf|e\\.g|i\\.e|ed|eds|Rev|vol|approx|dept|est|U\\.S|U\\.K|Ct|Supp|Ed"
+#: The end of a sentence with the space after it: stops before an opening of the next one, or line breaks.
+SENTENCE_END = (
+    rf"(?<!(?i:\b(?:{ABBREVIATIONS})))(?<!\b[A-Z])(?<!^\s{{0,4}}\d{{1,3}})[.!?]+[\"'\u201d\u2019)\]]*(?:\s+(?=[\"'\u201c\u2018(\[]*[A-Z0-9\u00c0-\u00dc\u00a7])|\s*\n\s*|\s*$)|\s*\n\s*"
+)
+
+
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once: what a lambda reads from outside is computed again for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running(a: Column) -> Column:
+    """The running sums of an array of whole numbers, by blocks of about the square root of its size: each step copies a block only."""
+
+    def within(x: Column, base: Column) -> Column:
+        zero = F.struct(base.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, zero, lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"] + v)).alias("out")), lambda acc: acc["out"])
+
+    def by_blocks(a: Column) -> Column:
+        b = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / b).cast("int")), lambda k: F.slice(a, k * b + 1, b))
+        heads = lambda x: F.concat(F.array(F.lit(0)), within(F.transform(x, lambda v: F.aggregate(v, F.lit(0), lambda p, q: p + q)), F.lit(0)))
+        return let(blocks, lambda x: F.flatten(F.zip_with(x, F.slice(heads(x), F.lit(1), F.size(x)), within)))
+
+    return let(a, by_blocks)
+
+
+def sentence_spans(x: Column | str) -> Column:
+    """Array of start, sentence. A line break is a boundary; abbreviations, initials and a line's own number are not."""
+    cut = F.split(F.regexp_replace(F.translate(F.coalesce(_c(x), F.lit("")), "\u0001", " "), F.lit(SENTENCE_END), F.lit("$0\u0001")), "\u0001", -1)
+
+    def span(p: Column, end: Column) -> Column:
+        return F.struct((end - F.length(F.regexp_replace(p, r"^\s+", ""))).alias("start"), F.regexp_replace(p, r"^\s+|\s+$", "").alias("sentence"))
+
+    spans = let(cut, lambda c: F.zip_with(c, running(F.transform(c, lambda p: F.length(p))), span))
+    return F.filter(spans, lambda s: s["sentence"] != "")
+
+
 def strip_footnotes(x: Column | str) -> Column:
     """A number of one or two digits that is glued to the end of a word or closing mark goes."""
     return F.regexp_replace(_c(x), r"(?<=[a-z.,;:!?)\u201d\"])\d{1,2}(?=\s|$)", "")
@@ -139,6 +179,13 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 
 # --- N: numbers ----------------------------------------------------------------------------------------------------
 
+#: Number words.
+ONES = {
+    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16,
+    "seventeen": 17, "eighteen": 18, "nineteen": 19,
+}
+TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+BIG = {"thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}
 #: Scale words and suffixes of money.
 SCALES = {"thousand": 10**3, "k": 10**3, "million": 10**6, "mm": 10**6, "mn": 10**6, "m": 10**6, "billion": 10**9, "bn": 10**9, "b": 10**9, "trillion": 10**12}
 MONEY = r"(?i)\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s?(thousand|million|billion|trillion|mm|mn|bn|k|m|b)?\b"

@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestlake.kernel import anchors, detect
-from attestlake.kernel.sentences import spans
+from attestlake.functions import anchors as A
+from attestlake.functions import text as X
 
-#: Words of the key that a claim and its sources share.
-WINDOW = 4
+#: Words of the key that a claim and its sources share, and the largest set of texts that is broadcast (about 100 MB).
+WINDOW, MOST_NEEDLES = 4, 200_000
 
 
 def normal(text: str | Column) -> Column:
@@ -27,58 +27,73 @@ def claims_of(drafts: DataFrame, id_: str, text: str) -> DataFrame:
     return drafts.select(id_, F.posexplode(cut).alias("ord", "claim")).where("claim <> ''")
 
 
-def found_verbatim(claims: DataFrame, sources: DataFrame, claim: str, text: str, source_id: str) -> DataFrame:
-    """Claim texts and the number of sources that hold them whole, at word boundaries.
+def _held(own: DataFrame, src: DataFrame, whole_words: bool) -> DataFrame:
+    """src's columns but body, with each needle of own (needle, n, head: n of its words) that body holds, once a row of src.
 
-    Both sides meet on the hash of a claim's first WINDOW words (all, if fewer), so only sources that hold that window
-    are compared; the window lengths in use, at most WINDOW values, are read first. Equal claims are looked up once, and
-    source rows carry their id through the join, the text is met again only by candidates.
+    Needles are few as a rule: a counted set of at most MOST_NEEDLES is broadcast by head, the windows of a text are
+    looked up where it is read, and only hits leave the task. A larger set meets the hashed windows in a join; the text
+    is met again by candidates only.
     """
-    own = claims.select(F.col(claim).alias("claim")).distinct().withColumn("w", F.split("claim", " "))
-    own = own.select("claim", F.least(F.size("w"), F.lit(WINDOW)).alias("n"), "w").select("claim", "n", F.xxhash64(F.array_join(F.slice("w", 1, F.col("n")), " ")).alias("key"))
-    lengths = [r.n for r in own.select("n").distinct().collect()]
-    src = sources.select(F.col(source_id).alias("sid"), normal(text).alias("body"))
-    if not lengths:
-        return own.select("claim", F.lit(0).cast("long").alias("n_sources"))
+    keep = [c for c in src.columns if c != "body"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "body")
+    lengths = sorted(r.n for r in own.select("n").distinct().collect())  # at most WINDOW values
+    if own.count() <= MOST_NEEDLES:
+        heads: dict[str, list[str]] = {}
+        for r in own.collect():
+            heads.setdefault(r.head, []).append(r.needle)
+        known = src.sparkSession.sparkContext.broadcast(heads)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            edge = " " if whole_words else ""
+            for batch in batches:
+                rows, found = [], []
+                for i, body in enumerate(batch.column(len(keep)).to_pylist()):
+                    w = body.split(" ")
+                    met = {" ".join(w[k : k + n]) for n in lengths for k in range(len(w) - n + 1)} & known.value.keys()
+                    own = sorted(x for h in met for x in known.value[h] if f"{edge}{x}{edge}" in f"{edge}{body}{edge}")
+                    rows += [i] * len(own)
+                    found += own
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(keep)]), pa.array(found, pa.string())], [*keep, "needle"])
+
+        return src.select(*keep, "body").mapInArrow(run, f"{kinds}{', ' if kinds else ''}needle string")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = body.split(" ")
-                keys = list({" ".join(w[i : i + n]) for n in lengths for i in range(len(w) - n + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * len(keys), pa.int64()), pa.array(keys, pa.string())], ["sid", "head"])
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = text.split(" ")
+                heads = list({" ".join(w[i : i + n]) for n in lengths for i in range(len(w) - n + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([of] * len(heads), pa.int64()), pa.array(heads, pa.string())], ["of", "head"])
+
+    src = src.withColumn("of", F.xxhash64("body"))
+    at = src.select("of", "body").mapInArrow(windows, "of long, head string").select("of", F.xxhash64("head").alias("key"))
+    pairs = at.join(own.select("needle", F.xxhash64("head").alias("key")), "key").select("of", "needle").distinct()
+    edge = F.lit(" " if whole_words else "")
+    return src.join(pairs, "of").where(F.concat(edge, "body", edge).contains(F.concat(edge, "needle", edge))).select(*keep, "needle")
+
 
-    at = src.select(F.col("sid").cast("long"), "body").mapInArrow(windows, "sid long, head string").select("sid", F.xxhash64("head").alias("key"))
-    pairs = at.join(own, "key").select("sid", "claim")
-    held = pairs.join(src, "sid").where(F.concat(F.lit(" "), "body", F.lit(" ")).contains(F.concat(F.lit(" "), "claim", F.lit(" "))))
-    return held.groupBy("claim").agg(F.countDistinct("sid").alias("n_sources"))
+def found_verbatim(claims: DataFrame, sources: DataFrame, claim: str, text: str, source_id: str) -> DataFrame:
+    """Claim texts and the number of sources that hold them whole, at word boundaries; equal claims are looked up once."""
+    w = F.split("needle", " ")
+    own = claims.select(F.col(claim).alias("needle")).where("needle IS NOT NULL").distinct().withColumn("n", F.least(F.size(w), F.lit(WINDOW)))
+    own = own.withColumn("head", F.array_join(F.slice(w, F.lit(1), F.col("n")), " "))
+    held = _held(own, sources.select(F.col(source_id).alias("sid"), normal(text).alias("body")), True)
+    return held.groupBy(F.col("needle").alias("claim")).agg(F.countDistinct("sid").alias("n_sources"))
 
 
 def containment(needles: DataFrame, sources: DataFrame, needle: str, body: str) -> DataFrame:
     """Rows of sources without body, with each distinct needle that body contains, also when it starts or ends inside a word.
 
     Both texts come normalized, with one space between words. The first and last word of a needle may be parts of
-    words, so the WINDOW words after its first (those before its last, if fewer) are hashed and met by the windows of
-    the sources; needles of one or two words, and empty ones, are compared with all sources.
+    words, so it is looked up by the WINDOW words after its first (those before its last, if fewer); needles of one or
+    two words, and empty ones, are compared with all sources.
     """
     keep = [c for c in sources.columns if c != body]
     words = F.split("needle", " ")
     own = needles.select(F.col(needle).alias("needle")).where("needle IS NOT NULL").distinct().withColumn("n", F.least(F.size(words) - 2, F.lit(WINDOW)))
-    keyed = own.where("n > 0").select("needle", "n", F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.col("n")), " ")).alias("key"))
-    lengths = [r.n for r in keyed.select("n").distinct().collect()]
-    src = sources.select(*keep, F.coalesce(F.col(body), F.lit("")).alias("body")).withColumn("of", F.xxhash64("body"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = text.split(" ")
-                heads = list({" ".join(w[i : i + n]) for n in lengths for i in range(len(w) - n + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([of] * len(heads), pa.int64()), pa.array(heads, pa.string())], ["of", "head"])
-
-    at = src.select("of", "body").mapInArrow(windows, "of long, head string").select("of", F.xxhash64("head").alias("key"))
-    pairs = at.join(keyed.select("needle", "key"), "key").select("of", "needle").distinct()
-    held = src.join(pairs, "of").where(F.contains("body", "needle")).select(*keep, "needle")
-    short = src.join(F.broadcast(own.where("n <= 0").select("needle")), F.contains("body", "needle")).select(*keep, "needle")
+    src = sources.select(*keep, F.coalesce(F.col(body), F.lit("")).alias("body"))
+    held = _held(own.where("n > 0").withColumn("head", F.array_join(F.slice(words, F.lit(2), F.col("n")), " ")), src, False)
+    short = src.join(own.where("n <= 0").select("needle"), F.contains("body", "needle")).select(*keep, "needle")
     return held.unionByName(short).withColumnRenamed("needle", needle)
 
 
@@ -101,35 +116,15 @@ def attest_verbatim(drafts: DataFrame, sources: DataFrame, id_: str, text: str,
     return out.select(id_, F.coalesce("n_claims", zero).alias("n_claims"), F.coalesce("n_verified", zero).alias("n_verified"), F.coalesce("state", F.lit("could_not_check")).alias("state"))
 
 
-def findings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, detector, verdict, start, detail: contradictions inside each text. Map-only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, *f) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in detect.scan(t)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-
-    names = [id_, "detector", "verdict", "start", "detail"]
-    schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)))
-    return docs.select(F.col(id_).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"`{id_}` long, detector string, verdict string, start long, detail string")
+def sentences(docs: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
+    """id, start, sentence of each sentence of each text."""
+    return docs.select(id_, *keep, F.explode(X.sentence_spans(text)).alias("s")).select(id_, *keep, "s.start", "s.sentence")
 
 
 def anchor_rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, type, text, start, end, canonical, subject of every typed value in each sentence of each text, with the terms
-    that the text itself defines, quantities and counts. Map-only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms = anchors.aliases(t or "")
-                for s, e in spans(t or ""):
-                    found = anchors.extract(t[s:e], {x for x in terms if x in t[s:e]})
-                    found += anchors.residue(t[s:e], found)
-                    rows += [(i, a.type, a.text, s + a.start, s + a.end, a.canonical, a.subject) for a in sorted(found, key=lambda a: (a.start, a.end, a.type))]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-
-    names = [id_, "type", "text", "start", "end", "canonical", "subject"]
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
-    return docs.select(F.col(id_).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"`{id_}` long, type string, text string, start long, end long, canonical string, subject string")
+    """id, type, text, start, end, canonical, subject of every typed value in each sentence of each text, with the uses of
+    the terms that the text itself defines. Map-only and native; sentences without a hint of a value are left at once."""
+    found = sentences(docs, id_, text).where(F.col("sentence").rlike(A.HINT)).select(id_, "start", F.explode(A.anchors("sentence")).alias("a"))
+    out = found.select(id_, "a.type", "a.text", (F.col("start") + F.col("a.start")).alias("start"), (F.col("start") + F.col("a.end")).alias("end"), "a.canonical", "a.subject")
+    defining = docs.where(F.col(text).rlike(A.DEFINED)).select(id_, F.col(text).alias("body"), F.explode(A.defined_terms(text)).alias("term"))
+    return out.unionByName(defining.select(id_, F.inline(A.uses_of(F.col("body"), F.col("term")))))

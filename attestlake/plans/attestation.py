@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestlake.operators import attest
+from attestlake.operators import attest, detect
 from attestlake.plans.base import Book, t
 
 book = Book()
@@ -24,9 +24,5 @@ def V3_benchmark_leak_verification(s, d):
 
 @book()
 def C1_C4_contradictions(s, d):
-    return attest.findings(t(s, d, "documents"), "doc_id", "text")
-
-
-@book()
-def E_anchors(s, d):
-    return attest.anchor_rows(t(s, d, "documents"), "doc_id", "text")
+    # C1 to C8 by now
+    return detect.scan(t(s, d, "documents"), "doc_id", "text")

@@ -1,27 +1,72 @@
+"""Detectors on small texts: what contradicts, what has to be refused, what is silent."""
+
 import pytest
 
-from attestlake.kernel.detect import scan
-from attestlake.operators.attest import attest_verbatim
+from attestlake.operators import attest, detect
+
+C, R = "contradicted", "could_not_verify"
+TEXTS = {
+    "words_figures": [
+        ("Pay five (5) times.", None), ("Pay five (6) times.", C), ("Pay thirty thousand (30,000) units.", None), ("Pay twenty thirty (50) times.", R), ("See Section five (6).", None),
+        ("Pay five dollars ($6).", C), ("Pay five dollars (6).", R), ("Pay five ($6).", None), ("Pay five (1,2) times.", R),
+    ],
+    "date_duration": [
+        ("It runs from 2021-01-01 to 2021-01-31, 30 days.", None), ("It runs from 2021-01-01 to 2021-01-31, or 31 days.", None), ("It runs from 2021-01-01 to 2021-01-31, or 32 days.", R), ("It runs from 2021-01-01 to 2021-01-31, or 45 days.", C),
+        ("It runs from 2021-01-15 to 2021-07-14, 6 months.", None), ("It runs from 2021-01-15 to 2021-07-17, 6 months.", R), ("It runs from 2021-01-15 to 2021-09-15, 6 months.", C), ("It runs from 01/02/2021 to 2021-09-15, 6 months.", R),
+        ("It runs from 2021-03-01 to 2021-01-01, 30 days.", C), ("It runs from March 1, 2021 to March 15, 2021, 2 weeks.", None), ("It runs from 2021-01-01 to 2021-01-31, 10 business days.", R),
+    ],
+    "bound_pair": [
+        ("A fee of at least $500 and at most $400 applies.", C), ("A fee of at least $400 and at most $500 applies.", None), ("At least 30 days and not more than 2 months.", R), ("At least 5% and no more than $3 apply.", None),
+        ("Not less than 5% and up to 4.5%.", C), ("At least 3 weeks and at most 20 days.", C), ("A minimum of 500 kg and a maximum of 499 kg.", C),
+    ],
+    "list_count": [
+        ("Deliver the following three items: (a) one; (b) two; (c) three.", None), ("Deliver the following three items: (a) one; (b) two.", C), ("Deliver the following 2 items: (1) one; (2) two; (3) three.", C),
+        ("Deliver the following two items: (a) one; (c) two.", R), ("Deliver the following three items, such as: (a) one; (b) two.", None), ("Deliver the following three items: (a) one; (b) two and", R), ("Deliver the following three items: none.", None),
+    ],
+    "dangling_reference": [
+        ("1. Scope\nAs in Section 2.1 above.\n2. Terms\nAs in Section 1.", None), ("1. Scope\nAs in Section 3 above.\n2. Terms", C), ("1. Scope\nAs in Section 9 of the Act.", None), ("As in Section 3 above.", None), ("2.1 Scope\nAs in Section 2.", None),
+    ],
+    "clashing_definition": [('"Fee" means the price. "Fee" means the  Price.', None), ('"Fee" means the price. Later "Fee" means the cost.', C)],
+    "time_conflict": [
+        ("Closing shall occur before Filing. Filing shall occur before Closing.", C), ("Closing shall occur before Filing. Filing shall occur before Audit.", None),
+        ("Audit shall occur at least 10 days after Closing. Audit shall occur no later than 5 days after Closing.", C), ("Audit shall occur at least 5 days after Closing. Audit shall occur no later than 5 days after Closing.", None),
+        ("Audit must occur exactly 3 days after Closing. Closing must occur exactly 3 days after Filing. Audit must occur no later than 5 days after Filing.", C),
+    ],
+    "footing": [
+        ("Rent 100.00\nWater 20.50\nTotal 120.50", None), ("Rent 100.00\nWater 20.50\nTotal 121.50", C), ("Rent $1,000\nRebate (200)\nTotal $800", None), ("Rent 1,00\nWater 20\nTotal 120", R), ("Rent 100\nTotal 90", None),
+        ("A 1\nB 2\nSubtotal 3\nC 4\nD 5\nSubtotal 9\nTotal 12", None), ("A 1\nB 2\nTotal 3\nC 4\nD 5\nTotal 10", R), ("A: 1 million\nB: 500 thousand\nTotal: 1.5 million", None),
+    ],
+    "fact": [
+        ('"Cap" means $500. The "Cap" is $600.', C), ('"Cap" means $500. The "Cap" is $500.00.', None), ('"Cap" means about $500. The "Cap" is $600.', R), ('"Term" means 30 days. The "Term" is 2 months.', R), ('"Cap" means $500. The "Rate" is 5%.', None),
+        ('"Cap" means up to $500. "Cap" means up to $600.', C),
+    ],
+}
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+
 
-CASES = [
-    ("Notice runs for thirty (60) days.", ["contradicted"]), ("Notice runs for thirty (30) days.", []), ("As Section three (4) says.", []),
-    ("It pays five hundred dollars (500).", ["could_not_verify"]),
-    ("From January 1, 2024 to January 31, 2024, a period of 45 days.", ["contradicted"]), ("From January 1, 2024 to January 31, 2024, a period of 30 days.", []),
-    ("From January 31, 2024 to February 29, 2024, a term of 1 month.", []), ("From 2024-05-01 to 2024-04-01, a period of 30 days.", ["contradicted"]),
-    ("From 03/04/2024 to 05/06/2024, a period of 60 days.", ["could_not_verify"]),
-    ("The fee is at least $500 and not more than $300.", ["contradicted"]), ("The fee is at least $300 and not more than $500.", []),
-    ("Deliver the following three items: (a) one; (b) two.", ["contradicted"]), ("Deliver the following two items: (a) one; (b) two.", []),
-    ("Deliver the following three items: (a) one; (c) two.", ["could_not_verify"]), ("", []), (None, []),
-]
+@pytest.mark.parametrize("name", sorted(TEXTS))
+def test_verdicts(spark, name):
+    df = docs(spark, [t for t, _ in TEXTS[name]] + [None, ""])
+    per_sentence = {"words_figures": detect.words_figures, "date_duration": detect.date_durations, "bound_pair": detect.bound_pairs}
+    per_text = {"list_count": detect.list_counts, "dangling_reference": detect.dangling_references, "clashing_definition": detect.clashing_definitions, "time_conflict": detect.time_conflicts, "footing": detect.footing, "fact": detect.facts}
+    got = per_sentence[name](attest.sentences(df, "id", "text"), "id") if name in per_sentence else per_text[name](df, "id", "text")
+    found = {r.id: (r.detector, r.verdict) for r in got.collect()}
+    wrong = [(t, want, found.get(i)) for i, (t, want) in enumerate(TEXTS[name]) if found.get(i, (name, None)) != (name, want)]
+    assert not wrong and set(found) <= set(range(len(TEXTS[name]))), wrong
 
 
-@pytest.mark.parametrize(("text", "verdicts"), CASES)
-def test_findings(text, verdicts):
-    assert [f[1] for f in scan(text)] == verdicts
+def test_facts_across_documents(spark):
+    rows = [
+        (1, "a", '"Cap" means $500.', False), (1, "b", 'The "Cap" is $600.', False), (2, "a", '"Cap" means $500.', False), (2, "b", 'The "Cap" is $500.', False), (3, "a", '"Cap" means $500.', True), (3, "b", 'The "Cap" is $600.', False),
+        (4, "a", '"Cap" means $500. "Cap" is $700.', False), (4, "b", 'The "Cap" is $600.', False), (5, "a", '"Cap" means about $500.', False), (5, "b", 'The "Cap" is $600.', None),
+    ]
+    got = detect.facts_across(spark.createDataFrame(rows, "s int, d string, text string, v boolean"), "s", "d", "text", "v").collect()
+    assert {r.s: r.verdict for r in got} == {1: C, 3: R, 4: R, 5: R}
 
 
-def test_attest_verbatim(spark):
-    drafts = spark.createDataFrame([(1, "The cat sat. It slept."), (2, "The cat sat. It ran."), (3, None), (4, "Yes"), (4, "Yes")], "draft_id long, text string")
-    sources = spark.createDataFrame([(1, "Once  the sun rose, The cat\nsat. It slept. Yes sir"), (2, None), (3, "")], "source_id long, text string")
-    got = {r.draft_id: (r.n_claims, r.n_verified, r.state) for r in attest_verbatim(drafts, sources, "draft_id", "text", "text", "source_id").collect()}
-    assert got == {1: (2, 2, "verified"), 2: (2, 1, "altered"), 3: (0, 0, "could_not_check"), 4: (2, 2, "verified")}
+def test_scan_unites(spark):
+    got = detect.scan(docs(spark, ["Pay five (6) times. A fee of at least $500 and at most $400 applies.", "Nothing."]), "id", "text").collect()
+    assert {(r.id, r.detector) for r in got} == {(0, "words_figures"), (0, "bound_pair")}
