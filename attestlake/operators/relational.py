@@ -129,6 +129,24 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
     return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
 
 
+def upsert_unsealed(old: DataFrame, new: DataFrame, key: str, body: str, sealed: str) -> DataFrame:
+    """key, body, sealed, outcome: new replaces old but where old is sealed; sealing it again changes nothing, taking the seal off is refused."""
+    o, n = old.select(key, F.struct(body, sealed).alias("o")), new.select(key, F.struct(body, sealed).alias("n"))
+    was, will = F.coalesce(F.col(f"o.{sealed}"), F.lit(False)), F.coalesce(F.col(f"n.{sealed}"), F.lit(False))
+    keeps = was | F.col("n").isNull()
+    outcome = F.when(F.col("n").isNull(), "kept").when(F.col("o").isNull(), "inserted").when(was & will, "unchanged").when(was, "refused").otherwise("updated")
+    return o.join(n, key, "full").select(key, F.when(keeps, F.col(f"o.{body}")).otherwise(F.col(f"n.{body}")).alias(body), (was | will).alias(sealed), outcome.alias("outcome"))
+
+
+def joined_spans(df: DataFrame, keys: Sequence[str], start: str, end: str, order: str, gap: int) -> DataFrame:
+    """keys, piece, n, start, end: spans that begin at most gap after all before them have ended are one piece."""
+    w = Window.partitionBy(*keys).orderBy(start, order)
+    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = df.withColumn("new", F.when(F.col(start) <= before + gap, 0).otherwise(1))
+    pieces = new.withColumn("piece", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return pieces.groupBy(*keys, "piece").agg(F.count("*").alias("n"), F.min(start).alias(start), F.max(end).alias(end))
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, value: str, at: str) -> DataFrame:
     """Key-value table: the value written last."""
     return old.unionByName(new).groupBy(key).agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
