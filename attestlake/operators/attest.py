@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
+from attestlake.operators.relational import exploded
 
 #: Words of the key that a claim and its sources share, and the largest set of texts that is broadcast (about 100 MB).
 WINDOW, MOST_NEEDLES = 4, 200_000
@@ -118,13 +119,13 @@ def attest_verbatim(drafts: DataFrame, sources: DataFrame, id_: str, text: str,
 
 def sentences(docs: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
     """id, start, sentence of each sentence of each text."""
-    return docs.select(id_, *keep, F.explode(X.sentence_spans(text)).alias("s")).select(id_, *keep, "s.start", "s.sentence")
+    return exploded(docs, X.sentence_spans(text), "s", id_, *keep).select(id_, *keep, "s.start", "s.sentence")
 
 
 def anchor_rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """id, type, text, start, end, canonical, subject of every typed value in each sentence of each text, with the uses of
     the terms that the text itself defines. Map-only and native; sentences without a hint of a value are left at once."""
-    found = sentences(docs, id_, text).where(F.col("sentence").rlike(A.HINT)).select(id_, "start", F.explode(A.anchors("sentence")).alias("a"))
+    found = exploded(sentences(docs, id_, text).where(F.col("sentence").rlike(A.HINT)), A.anchors("sentence"), "a", id_, "start")
     out = found.select(id_, "a.type", "a.text", (F.col("start") + F.col("a.start")).alias("start"), (F.col("start") + F.col("a.end")).alias("end"), "a.canonical", "a.subject")
     defining = docs.where(F.col(text).rlike(A.DEFINED)).select(id_, F.col(text).alias("body"), F.explode(A.defined_terms(text)).alias("term"))
     return out.unionByName(defining.select(id_, F.inline(A.uses_of(F.col("body"), F.col("term")))))

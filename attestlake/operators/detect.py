@@ -15,6 +15,7 @@ from attestlake.functions import anchors as A
 from attestlake.functions import text as X
 from attestlake.operators import attest
 from attestlake.operators.lineage import cut
+from attestlake.operators.relational import exploded
 
 CONTRADICTED, REFUSED = "contradicted", "could_not_verify"
 #: Days by which an interval may differ before it is called wrong: days and weeks, months and years.
@@ -26,8 +27,7 @@ def _finding(name: str, verdict: Column, detail: Column) -> Column:
 
 
 def _findings(df: DataFrame, id_: str, found: Column) -> DataFrame:
-    out = df.select(id_, F.explode(found).alias("f")).select(id_, "f.*")
-    return out.where("verdict IS NOT NULL")
+    return exploded(df, found, "f", id_).select(id_, "f.*").where("verdict IS NOT NULL")
 
 
 def words_figures(s: DataFrame, id_: str) -> DataFrame:

@@ -41,6 +41,11 @@ def is_due(due: Column, today: Column) -> Column:
     return due.isNull() | (due <= today)
 
 
+def exploded(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """keep and a row for each element. An inner explode of a costly array has it computed twice, once for a filter on its size."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
