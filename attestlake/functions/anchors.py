@@ -84,7 +84,7 @@ GRAMMAR = (
 )
 FIGURE = "(?i)" + "|".join(f"(?:{p})" for _, p in GRAMMAR)
 #: A sentence without any of these holds no anchor.
-HINT = r"(?i)[0-9\"“§]|slip|dollars|usd|govern|construed|" + "|".join((*QUALIFIERS, *COMPANY_FORMS, *ROLES))
+HINT = r"[0-9\"“§]|\b(?i:slip|govern|construed|law|" + "|".join(("dollars", "usd", *(rf"(?:non-?|ir)?{w}" for w in QUALIFIERS), *COMPANY_FORMS, *ROLES)) + ")"
 
 
 def pieces(s: Column, pattern: str) -> Column:

@@ -43,8 +43,7 @@ def tokens(x: Column | str) -> Column:
 
 def fact_tokens(x: Column | str) -> Column:
     """Distinct words of three or more letters without TOPIC_STOP_WORDS."""
-    stop = F.array(*map(F.lit, TOPIC_STOP_WORDS))
-    return F.array_distinct(F.filter(matches(F.lower(_c(x)), "[a-z]+"), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
+    return F.array_except(F.filter(matches(F.lower(_c(x)), "[a-z]+"), lambda w: F.length(w) >= 3), F.array(*map(F.lit, TOPIC_STOP_WORDS)))  # set operations hash; both sides count once
 
 
 def topic_tokens(x: Column | str, stop: list[str]) -> Column:
@@ -68,9 +67,10 @@ def simple_sentences(x: Column | str) -> Column:
 
 #: Abbreviations whose full stop doesn't end a sentence.
 ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|No|Nos|Art|Arts|Sec|Secs|Fig|Figs|Ch|Para|Paras|Cl|pp|vs|v|al|Inc|Corp|Ltd|Co|cf|e\\.g|i\\.e|ed|eds|Rev|vol|approx|dept|est|U\\.S|U\\.K|Ct|Supp|Ed"
+SPACE = " \t\n\r\f\x0b"
 #: The end of a sentence with the space after it: stops before an opening of the next one, or line breaks.
 SENTENCE_END = (
-    rf"(?<!(?i:\b(?:{ABBREVIATIONS})))(?<!\b[A-Z])(?<!^\s{{0,4}}\d{{1,3}})[.!?]+[\"'\u201d\u2019)\]]*(?:\s+(?=[\"'\u201c\u2018(\[]*[A-Z0-9\u00c0-\u00dc\u00a7])|\s*\n\s*|\s*$)|\s*\n\s*"
+    rf"(?=[.!?])(?<!(?i:\b(?:{ABBREVIATIONS})))(?<!\b[A-Z])(?<!^\s{{0,4}}\d{{1,3}})[.!?]+[\"'\u201d\u2019)\]]*(?:\s+(?=[\"'\u201c\u2018(\[]*[A-Z0-9\u00c0-\u00dc\u00a7])|\s*\n\s*|\s*$)|\s*\n\s*"
 )
 
 
@@ -100,7 +100,7 @@ def sentence_spans(x: Column | str) -> Column:
     cut = F.split(F.regexp_replace(F.translate(F.coalesce(_c(x), F.lit("")), "\u0001", " "), F.lit(SENTENCE_END), F.lit("$0\u0001")), "\u0001", -1)
 
     def span(p: Column, end: Column) -> Column:
-        return F.struct((end - F.length(F.regexp_replace(p, r"^\s+", ""))).alias("start"), F.regexp_replace(p, r"^\s+|\s+$", "").alias("sentence"))
+        return F.struct((end - F.length(F.ltrim(p, F.lit(SPACE)))).alias("start"), F.btrim(p, F.lit(SPACE)).alias("sentence"))
 
     spans = let(cut, lambda c: F.zip_with(c, running(F.transform(c, lambda p: F.length(p))), span))
     return F.filter(spans, lambda s: s["sentence"] != "")
@@ -266,3 +266,43 @@ def days_of(n: Column, unit: Column) -> Column:
     """Approximate days: years 365, months 30, weeks 7."""
     u = F.lower(F.regexp_replace(unit, "s$", ""))
     return n.cast("long") * F.when(u == "year", 365).when(u == "month", 30).when(u == "week", 7).when(u == "day", 1)
+
+
+def date_readings(x: Column | str) -> Column:
+    """Struct of month_first, day_first (ISO; each the only reading where the other is none) and ambiguous, for d/m/y or m/d/y."""
+    part = [F.regexp_extract(F.trim(_c(x)), r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4})$", k).try_cast("int") for k in (1, 2, 3)]
+    iso = lambda m, d: F.date_format(F.try_to_date(F.format_string("%d-%d-%d", part[2], m, d), "y-M-d"), "yyyy-MM-dd")
+    a, b = iso(part[0], part[1]), iso(part[1], part[0])
+    return F.struct(F.coalesce(a, b).alias("month_first"), F.coalesce(b, a).alias("day_first"), (a.isNotNull() & b.isNotNull() & (a != b)).alias("ambiguous"))
+
+
+def to_roman(n: Column) -> Column:
+    """A number below 1000 in lower-case roman numerals."""
+    digit = lambda k, one, five, ten: F.element_at(F.array(*[F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), (F.floor(n / k) % 10).cast("int") + 1)
+    return F.concat(digit(100, "c", "d", "m"), digit(10, "x", "l", "c"), digit(1, "i", "v", "x"))
+
+
+def from_roman(x: Column | str) -> Column:
+    """The value of a well-formed numeral below 1000, in either case; null for others."""
+    values = F.create_map(*[F.lit(v) for kv in {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}.items() for v in kv])
+    digits = F.transform(F.filter(F.split(F.lower(_c(x)), ""), lambda c: c != ""), lambda c: F.element_at(values, c))
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last"))
+    # A smaller digit before a larger one is taken away: twice, as it was added.
+    total = F.aggregate(digits, zero, lambda a, v: F.struct((a["sum"] + v - F.when(a["last"] < v, 2 * a["last"]).otherwise(0)).alias("sum"), v.alias("last")), lambda a: a["sum"])
+    return F.when(to_roman(total) == F.lower(_c(x)), total)
+
+
+def simple_stem(x: Column | str) -> Column:
+    """A word without a plural or a common ending."""
+    w = _c(x)
+    cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+    return (
+        F.when(w.rlike("ies$") & (F.length(w) > 5), F.concat(cut(3), F.lit("y"))).when(w.rlike("(?:ing|est)$") & (F.length(w) > 6), cut(3)).when(w.rlike("ed$") & (F.length(w) > 5), cut(2))
+        .when(w.rlike("[^s]s$"), cut(1)).otherwise(w)
+    )
+
+
+def strip_artifacts(x: Column | str) -> Column:
+    """No slide or page prefix, glyph codes and soft hyphens; spaces collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(_c(x), r"^(?:Slide|Page) [0-9]+[:.] *", ""), r"\(cid:[0-9]+\)", " "), "\u00ad", "")
+    return F.trim(F.regexp_replace(bare, r"[ \t\n\r]+", " "))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
+from attestlake.operators.lineage import spread
 from attestlake.operators.relational import exploded
 
 #: Words of the key that a claim and its sources share, and the largest set of texts that is broadcast (about 100 MB).
@@ -18,7 +19,8 @@ WINDOW, MOST_NEEDLES = 4, 200_000
 
 def normal(text: str | Column) -> Column:
     """Space runs become one space, typographic quotes and dashes plain ones; case stays."""
-    folded = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "‘’“”‐‑‒–—", "''\"\"-----")
+    raw = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    folded = F.when(raw.rlike("[‘’“”‐‑‒–—]"), F.translate(raw, "‘’“”‐‑‒–—", "''\"\"-----")).otherwise(raw)
     return F.trim(F.regexp_replace(folded, r"[ \t\n\r]+", " "))
 
 
@@ -57,7 +59,7 @@ def _held(own: DataFrame, src: DataFrame, whole_words: bool) -> DataFrame:
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(keep)]), pa.array(found, pa.string())], [*keep, "needle"])
 
-        return src.select(*keep, "body").mapInArrow(run, f"{kinds}{', ' if kinds else ''}needle string")
+        return spread(src.select(*keep, "body")).mapInArrow(run, f"{kinds}{', ' if kinds else ''}needle string")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +127,7 @@ def sentences(docs: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
 def anchor_rows(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """id, type, text, start, end, canonical, subject of every typed value in each sentence of each text, with the uses of
     the terms that the text itself defines. Map-only and native; sentences without a hint of a value are left at once."""
-    found = exploded(sentences(docs, id_, text).where(F.col("sentence").rlike(A.HINT)), A.anchors("sentence"), "a", id_, "start")
+    found = exploded(sentences(spread(docs).where(F.col(text).rlike(A.HINT)), id_, text).where(F.col("sentence").rlike(A.HINT)), A.anchors("sentence"), "a", id_, "start")
     out = found.select(id_, "a.type", "a.text", (F.col("start") + F.col("a.start")).alias("start"), (F.col("start") + F.col("a.end")).alias("end"), "a.canonical", "a.subject")
     defining = docs.where(F.col(text).rlike(A.DEFINED)).select(id_, F.col(text).alias("body"), F.explode(A.defined_terms(text)).alias("term"))
     return out.unionByName(defining.select(id_, F.inline(A.uses_of(F.col("body"), F.col("term")))))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
 from attestlake.operators import attest
-from attestlake.operators.lineage import cut
+from attestlake.operators.lineage import cut, spread
 from attestlake.operators.relational import exploded
 
 CONTRADICTED, REFUSED = "contradicted", "could_not_verify"
@@ -269,7 +269,8 @@ def facts_across(docs: DataFrame, set_id: str, id_: str, text: str, verbatim: st
 
 def scan(docs: DataFrame, id_: str, text: str) -> DataFrame:
     """All findings of single texts."""
-    s = attest.sentences(docs, id_, text)
+    docs = spread(docs)
+    s = attest.sentences(docs.where(F.col(text).rlike(r"\d")), id_, text)  # the three need a number
     out = words_figures(s, id_)
     for more in (date_durations(s, id_), bound_pairs(s, id_), *(f(docs, id_, text) for f in (list_counts, dangling_references, clashing_definitions, time_conflicts, footing, facts))):
         out = out.unionByName(more)

@@ -16,3 +16,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files give fewer partitions than there are cores: a table of one small file. Larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from attestlake.functions import text as X
 from attestlake.operators import attest
+from attestlake.operators.lineage import spread
 from attestlake.plans import attestation
 from attestlake.plans.base import Book, t
 
@@ -37,7 +38,7 @@ _STOP = ", ".join(f"'{w}'" for w in X.TOPIC_STOP_WORDS)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) >= 3 AND NOT list_contains([{_STOP}], w)))), ' ') AS tokens FROM documents
 """)
 def X4_fact_tokens(s, d):
-    return t(s, d, "documents").select("doc_id", F.array_join(F.array_sort(X.fact_tokens("text")), " ").alias("tokens"))
+    return spread(t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.array_sort(X.fact_tokens("text")), " ").alias("tokens"))
 
 
 @q("""
@@ -261,22 +262,29 @@ def S5_json_with_fallback(s, d):
 
 
 #: Fragments of property names that are never recorded.
-DENIED = "text content body prompt answer quote title name path file url email token secret password key note query".split()
+DENIED = ("answer", "api_key", "content", "document_text", "email", "filename", "file_name", "name", "path", "question", "query", "quote", "secret", "selected", "snippet", "text", "token", "user")
 
 
-def privacy_filter(props, extra=()):
-    """properties with plain names, no denied fragment, strings up to 120 or finite numbers; over 4000 bytes: none."""
+def privacy_filter(props):
+    """properties with plain names, no denied fragment, strings up to 120 or finite numbers, values as strings; over 4000 bytes: none."""
     m = F.from_json(props, "map<string,string>")
-    denied = "|".join([*DENIED, *extra])
-    fine = F.map_filter(m, lambda k, v: k.rlike("^[a-z][a-z0-9_]{0,39}$") & ~k.rlike(denied) & v.isNotNull() & (F.length(v) <= 120) & ~F.lower(v).isin("nan", "infinity", "-infinity"))
-    out = F.to_json(fine)
-    return F.when(F.octet_length(out) <= 4000, out).otherwise("{}")
+    fine = F.map_filter(m, lambda k, v: k.rlike("^[a-z][a-z0-9_]{0,63}$") & ~k.rlike("|".join(DENIED)) & v.isNotNull() & (F.length(F.trim(v)) <= 120) & ~F.lower(v).isin("nan", "infinity", "-infinity"))
+    out = F.to_json(F.transform_values(fine, lambda k, v: F.trim(v)))
+    return F.coalesce(F.when(F.octet_length(out) <= 4000, out), F.lit("{}"))
 
 
-@q("SELECT event_id, '{\"count\":\"' || event_id || '\"}' AS kept FROM events")
+@q("""
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 9 THEN '{}' ELSE '{"count":"' || c_custkey || '","segment":"' || c_mktsegment || '"' || CASE WHEN length(c_name) * (c_custkey % 12) <= 120 THEN ',"note":"' || repeat(c_name, (c_custkey % 12)::INT) || '"' ELSE '' END || '}' END AS kept FROM customer
+""")
 def F15_privacy_filter(s, d):
-    props = F.concat(F.lit('{"count": '), F.col("event_id").cast("string"), F.lit(', "user_email": "a@b.c", "Bad Key": 1, "long": "'), F.repeat(F.lit("x"), F.lit(121)), F.lit('"}'))
-    return t(s, d, "events").select("event_id", privacy_filter(props).alias("kept"))
+    # denied names, names that aren't plain, long values and broken JSON among what every customer sends
+    k = F.col("c_custkey")
+    note = F.expr("repeat(c_name, CAST(c_custkey % 12 AS INT))")
+    props = F.concat(
+        F.lit('{"count": '), k.cast("string"), F.lit(', "user_id": 5, "Segment": "x", "segment": " '), "c_mktsegment", F.lit(' ", "selected_part": "y", "snippet": "z", "reply_token": 1, "bad key": 2, "note": "'), note,
+        F.lit('", "file_names": "a", "gone": null'), F.when(k % 10 == 9, "").otherwise("}"),
+    )
+    return t(s, d, "customer").select("c_custkey", privacy_filter(props).alias("kept"))
 
 
 LINES = "(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
