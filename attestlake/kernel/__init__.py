@@ -1,5 +1 @@
-"""Pure functions over single texts and pairs of texts; operators/attest.py and operators/detect.py run them on Spark.
-
-They may accuse only on arithmetic or on identical text, confirm only when every check confirms, and refuse otherwise.
-Offsets are code points.
-"""
+"""Small pure helpers on single values."""

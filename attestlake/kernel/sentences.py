@@ -1,4 +1,4 @@
-"""Sentence splitting for contracts and reports, verbatim normal forms, quotes."""
+"""Normal forms of quotes and what a quote has changed: small helpers on pairs of texts that have met already."""
 
 from __future__ import annotations
 
@@ -6,57 +6,6 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
-#: Abbreviations whose full stop doesn't end a sentence.
-ABBREVIATIONS = set("mr mrs ms dr prof sr jr st no nos art arts sec secs fig figs ch para paras cl pp p v vs al etc inc corp ltd co llc llp plc cf e.g i.e id ed eds rev vol approx dept est u.s u.k u.n".split())
-ENUMERATOR = re.compile(r"(?:^|\n)\s*(?:(?:section|article|clause|schedule|exhibit)\s+)?(?:\d+(?:\.\d+)*|[A-Z]|[ivxlc]+|[IVXLC]+)\.$", re.IGNORECASE)
-STOP = re.compile("[.!?]+[\"'\u201d\u2019)\\]]*(?=\\s+[\"'\u201c\u2018(\\[]*[A-Z0-9\u00c0-\u00dc]|\\s*\n|\\s*$)|\n+")
-
-
-def spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence. A line break is a boundary; abbreviations, initials and list markers are not."""
-    out, start = [], 0
-    for m in STOP.finditer(text):
-        if m.group()[0] != "\n":
-            before = text[max(start, m.start() - 40) : m.start()]
-            word = re.search(r"[A-Za-z.]+$", before)
-            last = word.group() if word else ""
-            stop = text[m.start()]
-            line_end = re.match(r"\s*(\n|$)", text[m.end() :])
-            if stop == "." and not line_end and (last.lower().strip(".") in ABBREVIATIONS or re.fullmatch(r"(?:[A-Za-z]\.)*[A-Z]", last)):
-                continue
-            if stop == "." and not line_end and m.start() - start < 80 and ENUMERATOR.search(text[max(start - 1, 0) : m.start() + 1]):
-                continue
-        a, b = start, m.start() if m.group()[0] == "\n" else m.end()
-        out.append((a, b))
-        start = m.end()
-    out.append((start, len(text)))
-    fine = []
-    for a, b in out:
-        piece = text[a:b]
-        a, b = a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())
-        if a < b:
-            fine.append((a, b))
-    return fine
-
-
-def sentences(text: str) -> list[str]:
-    return [text[a:b] for a, b in spans(text)]
-
-
-def logical_groups(text: str) -> list[tuple[str, int]]:
-    """(line piece, number of its logical sentence): pieces of a sentence that wraps over lines share a number."""
-    whole = [" ".join(s.split()) for s in sentences(re.sub(r"(?<![.!?:;\n])\n(?=\s*[a-z(])", " ", text))]
-    out, group, held = [], 0, ""
-    for piece in sentences(text):
-        held = f"{held} {' '.join(piece.split())}".strip()
-        if group >= len(whole) or not whole[group].startswith(held):
-            return [(p, i) for i, p in enumerate(sentences(text))]  # a mismatch: every piece stands alone
-        out.append((piece, group))
-        if held == whole[group]:
-            group, held = group + 1, ""
-    return out
-
-
 FOLD = str.maketrans({**dict.fromkeys("\u2018\u2019\u201a\u201b\u2032", "'"), **dict.fromkeys("\u201c\u201d\u201e\u201f\u2033", '"'), **dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-"), **dict.fromkeys("\u00ad\u200b\u200c\u200d\ufeff", "")})
 
 
@@ -90,16 +39,6 @@ def find_verbatim(source: str, run: str) -> tuple[int, int] | None:
     return None if i < 0 else (at[i], at[i + len(r) - 1] + 1)
 
 
-def strip_footnotes(text: str) -> str:
-    return re.sub(r"(?<=[a-z.,;:!?)\u201d\"])\d{1,2}(?=\s|$)", "", text)
-
-
-def present(source: str, run: str) -> bool:
-    """Verbatim presence; footnote numbers may be glued to the source's words. An empty run is present."""
-    r = verbatim(run)
-    return not r or r in verbatim(source) or r in verbatim(strip_footnotes(source))
-
-
 def repair_quote(quote: str, source: str) -> str | None:
     """The source's own text for a quote: exact if found, else the longest common run if it covers 95 % and 40 characters."""
     got = find_verbatim(source, quote)
@@ -113,40 +52,6 @@ def repair_quote(quote: str, source: str) -> str | None:
     return None
 
 
-QUOTE = re.compile("\u201c([^\u201d]+)\u201d|\"([^\"]+)\"")
-
-
-def quotes(text: str) -> list[tuple[str, int, int]]:
-    """Quoted text and its span, marks excluded; a pair doesn't reach over a blank line, an open quote is none."""
-    out = []
-    for m in QUOTE.finditer(text):
-        g = 1 if m.group(1) is not None else 2
-        if not re.search(r"\n\s*\n", m.group(g)) and re.search(r"\w", m.group(g)):
-            out.append((m.group(g), m.start(g), m.end(g)))
-    return out
-
-
-def phrases(quote: str) -> list[str]:
-    """Parts of a quote between declared edits."""
-    parts = re.split(r"\[[^\]]*\]|\.{3,}|\u2026|(?:\. ){2,}\.", quote)
-    return [p for p in (re.sub(r"^[\s,;:.]+|[\s,;:.]+$", "", x) for x in parts) if re.search(r"\w", p)]
-
-
-def quote_state(quote: str, sources: list[tuple[str, bool]]) -> str:
-    """verified: every phrase in one source. altered: some phrase nowhere and all sources complete. Else could_not_check."""
-    own = phrases(quote)
-    if not own or not sources:
-        return "could_not_check"
-
-    def holds(source: str, p: str) -> bool:
-        return any(present(source, v) for v in {p, p[:1].upper() + p[1:], p[:1].lower() + p[1:]})
-
-    if any(all(holds(s, p) for p in own) for s, _ in sources):
-        return "verified"
-    absent = [p for p in own if not any(holds(s, p) for s, _ in sources)]
-    return "altered" if absent and all(complete for _, complete in sources) else "could_not_check"
-
-
 def quote_segments(quote: str, source: str) -> list[tuple[str, str]]:
     """(kind, text) tiles of a quote: verbatim in the source, altered, or neutral (marks and space only)."""
     a, b = quote.split(), source.split()

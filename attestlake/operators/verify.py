@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
+from attestlake.kernel.sentences import quote_segments, repair_quote
 from attestlake.operators.attest import normal
 from attestlake.operators.relational import exploded
 
@@ -275,3 +276,24 @@ def attest_drafts(claims: DataFrame, sentences: DataFrame, scope: str, most: int
     rank = F.max(F.when(F.col("state") == ALTERED, 2).when(F.col("state") == OPEN, 1).otherwise(0))
     whole = per.groupBy(scope).agg(F.count("*").alias("n_claims"), F.count_if(F.col("state") == VERIFIED).alias("n_verified"), F.when(rank == 2, ALTERED).when(rank == 1, OPEN).otherwise(VERIFIED).alias("state"))
     return per, whole
+
+
+def quote_repairs(pairs: DataFrame, quote: str, source: str) -> DataFrame:
+    """Pairs with repaired: the source's own text for a quote, found by its normal form (NFKC, plain marks, case
+    and spaces folded), else by the longest common run of 95 % and 40 characters; null if neither."""
+
+    @F.pandas_udf("string")
+    def own_text(q: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([repair_quote(a or "", b or "") for a, b in zip(q, s, strict=True)])
+
+    return pairs.withColumn("repaired", own_text(quote, source))
+
+
+def quote_autopsy(pairs: DataFrame, quote: str, source: str) -> DataFrame:
+    """V4: pairs with segments: the quote in tiles (kind: verbatim, altered or neutral; text), word by word."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def tiles(q: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "text": t} for k, t in quote_segments(a or "", b or "")] for a, b in zip(q, s, strict=True)])
+
+    return pairs.withColumn("segments", tiles(quote, source))

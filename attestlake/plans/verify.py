@@ -249,3 +249,15 @@ def structural(docs, id_, text):
     p = docs.select(id_, F.explode(A.figures(text)).alias("a")).where("a.type = 'percent' AND a.subject IS NOT NULL")
     g = p.groupBy(id_, F.lower("a.subject").alias("s")).agg(F.min("a.canonical").alias("lo"), F.max("a.canonical").alias("hi")).where("lo <> hi")
     return unused.unionByName(g.select(id_, F.lit("percent_clash").alias("kind"), F.concat_ws(" ", "s", "lo", "hi").alias("detail")))
+
+
+@q("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'the “Order K' || o_orderkey || '” was paid at the northern warehouse' END AS repaired, CASE WHEN o_orderkey % 3 = 2 THEN 'altered' ELSE 'verbatim' END AS last_kind FROM orders
+""")
+def X15_V4_quote_repairs(s, d):
+    # typographic marks, spaces and case differ (0), or nothing does (1), or the words do (2)
+    own = say("the “Order K", K(), "” was paid at the northern warehouse")
+    quote = F.when(M() == 0, say('The "order K', K(), '"  was paid at the northern warehouse')).when(M() == 1, own).otherwise("some other words that nobody ever wrote")
+    pairs = t(s, d, "orders").select("o_orderkey", quote.alias("quote"), F.concat(F.lit("We heard that "), own, F.lit(" as agreed.")).alias("source"))
+    x = V.quote_autopsy(V.quote_repairs(pairs, "quote", "source"), "quote", "source")
+    return x.select("o_orderkey", "repaired", F.element_at("segments", -1)["kind"].alias("last_kind"))
