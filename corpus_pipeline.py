@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestlake.llm import bagminhash, bpe, decontam, linededup, quality
-from attestlake.llm.common import delete, ensure_checkpoint_dir, release, table
+from attestlake.llm.common import Scratch, delete, ensure_checkpoint_dir, release, table
 from attestlake.llm.queries import TOKENIZER
 
 
@@ -64,9 +64,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        before = len(Scratch.live)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
-        release(spark)
+        release(spark, before)
         if last is not None:
             delete(spark, last)
         last = f"{at}/{name}"
