@@ -186,7 +186,8 @@ def figures(s: Column | str) -> Column:
         refused = ((kind == "percent") & p["before"].rlike(r"(?i)(?:^|[\d%])\s*(?:[-‐-―]|to|and|or|through)\s*$")) | ((kind == "money") & ~p["text"].contains("$") & p["before"].rlike(number_word))
         return _anchor(kind, p["text"], p["start"], F.when(~refused, _canonical(kind, p["text"])), subject)
 
-    return F.filter(F.transform(typed, made), lambda a: a["canonical"].isNotNull())
+    found = F.filter(F.transform(typed, made), lambda a: a["canonical"].isNotNull())
+    return F.when(s.rlike(r"\d|(?i:dollars|usd|slip)"), found).otherwise(F.array().cast(f"array<{ANCHOR}>"))
 
 
 def _named(s: Column, kind: str, pattern: str, canonical, keep=lambda p: F.lit(True)) -> Column:
