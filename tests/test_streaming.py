@@ -32,3 +32,21 @@ def test_cursor_states_verdicts(spark):
     claims = spark.createDataFrame([(1,), (2,)], "claim int")
     found = spark.createDataFrame([(1, "verified"), (1, "altered")], "claim int, verdict string")
     assert {(r.claim, r.verdict) for r in events.verdicts(claims, found, "claim", "verdict").collect()} == {(1, "altered"), (2, "could_not_check")}
+
+
+def test_mastery_over_batches(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "up"), (3, "a", "down"), (2, "a", "up"), (1, "b", "odd"), (1, None, "up")], "seq int, key string, kind string")
+    more = spark.createDataFrame([(4, "a", "up"), (2, "b", None)], rows.schema)
+    (tmp_path / "in").mkdir()
+    stream = events.mastery(events.read_stream(spark, str(tmp_path / "in"), rows.schema), "key", "seq", "kind", {"up": 0.4, "down": -0.3}, -0.05)
+    for part in (rows, more):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), mode="update").awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    last = {r.key: (r.mastery, r.n) for r in sorted(out, key=lambda r: r.n)}
+    assert last == {"a": (1.0, 4), "b": (0.4, 2), None: (0.9, 1)}
+
+
+def test_unfinished_jobs(spark):
+    log = spark.createDataFrame([(1, "j", "queued"), (2, "j", "running"), (3, "k", "queued"), (4, "k", "ready")], "id int, job string, state string")
+    assert [(r.job, r.id) for r in events.unfinished(log, "job", "id", "state").collect()] == [("j", 2)]
