@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestlake.llm import bagminhash, bpe, chat, decontam, html, linededup, quality, rpforest, secrets, urls
+from attestlake.llm import bagminhash, balltree, bpe, chat, decontam, html, linededup, phrases, quality, rpforest, runs, secrets, urls
 from attestlake.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -68,11 +68,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return balltree.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.planted(table(spark, sf_dir, "documents")), keep_text=False))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_perspective_rotation, op2_decontamination, op3_bagminhash, op4_rp_forest, op5_byte_bpe, op6_line_dedup, op7_html_text, op8_secret_scan,
-        op9_url_filter, op10_quality,
+        op9_url_filter, op10_quality, op11_ball_tree, op12_periodic_runs, op13_collocations,
     )
 }
 
@@ -130,5 +143,35 @@ m AS (
   FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
 )
 SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (page_id)
+""",
+    "op11_ball_tree": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+QUALIFY rank <= 5
+""",
+    "op13_collocations": rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM t),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(ws[i + 1:i + k], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM w, range(1, 6) r(k) WHERE len(ws) >= k) GROUP BY ALL HAVING count(*) >= 100
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM g WHERE k > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, (1000 * c.a::HUGEINT * n) // (x.f::HUGEINT * y.f) AS score, cut
+  FROM c JOIN totals USING (lang) JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+    JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:c.k], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.lang = s.lang AND g.k > 2 AND g.f >= s.a AND length(g.phrase) > length(s.phrase) AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))
+QUALIFY rank <= 2000
 """,
 }
