@@ -147,7 +147,7 @@ def routing(sample: pa.Table, cells: int) -> dict[int, tuple[int, np.ndarray]]:
     """For each length of vectors in the sample: the number of its first cell, and the pivots."""
     dims, out, at = np.asarray(sample.column("dim")), {}, 0
     for dim in np.unique(dims):
-        x = np.array([v for v in sample.column("v").take(np.flatnonzero(dims == dim)).to_pylist()], np.float64).reshape(-1, dim)
+        x = np.array(sample.column("v").take(np.flatnonzero(dims == dim)).to_pylist(), np.float64).reshape(int((dims == dim).sum()), dim)
         share = max(1, cells * len(x) // len(dims))
         pivots = np.stack([x[g].mean(0) for g in groups_of(x, -(-len(x) // share))])
         out[int(dim)] = (at, pivots)

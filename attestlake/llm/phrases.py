@@ -105,17 +105,21 @@ class PerfectHash:
 Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+#: 64 bits of a language's word under a seed.
+WordHash = Callable[[str, bytes, int], int]
+
+
 def word_hash(lang: str, word: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b" " + word, seed) - (1 << 63)
 
 
-def word_keys(seed: int) -> Keys:
+def word_keys(seed: int, hashed: WordHash) -> Keys:
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out, ends, known = [], [0], {}
         for lang, text in zip(batch.column("lang").to_pylist(), binary_lists(batch, "text"), strict=True):
             have, row = known.setdefault(lang, {_BREAK: None}), tokens(text)
             for w in set(row).difference(have):
-                have[w] = word_hash(lang, w, seed)
+                have[w] = hashed(lang, w, seed)
             out += [have[w] for w in row]
             out.append(None)
             ends.append(len(out))
@@ -210,12 +214,12 @@ def slot_counts(spark: SparkSession, rows: DataFrame, read: Keys, perfect: Perfe
     shared = spark.sparkContext.broadcast(perfect)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = shared.value
-        held = np.zeros(hashed.n, np.int64)
+        perfect = shared.value
+        held = np.zeros(perfect.n, np.int64)
         for batch in batches:
             keys, fine, _ = read(batch)
-            slots = hashed.slots(keys[fine])
-            held += np.bincount(slots[slots >= 0], minlength=hashed.n)
+            slots = perfect.slots(keys[fine])
+            held += np.bincount(slots[slots >= 0], minlength=perfect.n)
         yield from blocks(held, "int64")
 
     out = gathered(tree_sum(rows.mapInArrow(count, ARRAYS), tasks(rows), "int64"), perfect.n, "int64")
@@ -234,11 +238,11 @@ def relabelled(spark: SparkSession, rows: DataFrame, read: Keys, parts: list[tup
         names = [] if last else [c for c in rows.columns if c != "found"]
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last, names=names) -> Iterator[pa.RecordBatch]:
-            hashed, given = shared.value
+            perfect, given = shared.value
             for batch in batches:
                 keys, fine, ends = read(batch)
                 found = np.full(len(keys), -1, np.int64) if first else batch.column("found").flatten().to_numpy().astype(np.int64)
-                slots = hashed.slots(keys[fine])
+                slots = perfect.slots(keys[fine])
                 mine = np.flatnonzero(fine)[slots >= 0]
                 found[mine] = given[slots[slots >= 0]]
                 if last:
@@ -255,7 +259,7 @@ def relabelled(spark: SparkSession, rows: DataFrame, read: Keys, parts: list[tup
     return rows
 
 
-def word_counts(docs: DataFrame, seed: int) -> DataFrame:
+def word_counts(docs: DataFrame, seed: int, hashed: WordHash) -> DataFrame:
     """lang, word, h, f."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +268,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, c in held.items():
                 c.pop(_BREAK, None)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array([word_hash(lang, w, seed) for w in c], pa.int64()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "h", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array([hashed(lang, w, seed) for w in c], pa.int64()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "h", "f"])
             held.clear()
 
         for batch in batches:
@@ -277,13 +281,13 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(count, "lang string, word string, h long, f long").groupBy("lang", "word", "h").agg(F.sum("f").alias("f"))
 
 
-def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, part: int = PART, scratch: Scratch | None = None) -> list[DataFrame]:
+def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, part: int = PART, hashed: WordHash = word_hash) -> list[DataFrame]:
     """Frequent phrases of 1, 2, ... words: id, lang, phrase, tail (last word), a, firsts, lasts (counts of the first and of the last 1, 2, ... words), n."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = Scratch(spark)
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for seed in range(99):
-        counted = scratch.save(word_counts(docs, seed))
+        counted = scratch.save(word_counts(docs, seed, hashed))
         if counted.groupBy("h").count().where("count > 1").isEmpty():
             break
         scratch.drop(counted)
@@ -291,7 +295,7 @@ def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, part: int =
     cells = 1 << int(np.clip(np.ceil(np.log2(max(1, counted.agg(F.sum("f")).first()[0] or 0) / 8)), 12, np.log2(MOST_CELLS)))
     frequent = counted.where(F.col("f") >= min_count)
     level = scratch.save(frequent.select("h", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), F.col("f").alias("a")).join(totals, "lang"))
-    keys, base, rows, read = level.select(F.col("h").alias("key"), F.col("a").alias("f")), 0, docs, word_keys(seed)
+    keys, base, rows, read = level.select(F.col("h").alias("key"), F.col("a").alias("f")), 0, docs, word_keys(seed, hashed)
     out, here = [], None
     for k in range(1, longest + 1):
         if k > 1:
@@ -342,14 +346,14 @@ def _score(a: Column | str, n: Column | str, left: Column, right: Column) -> Col
     return F.call_function("div", F.lit(1000).cast("decimal(4,0)") * wide(a) * wide(n), wide(left) * wide(right)).cast("long")
 
 
-def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, share: int = 100, top: int = 2000, part: int = PART) -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, share: int = 100, top: int = 2000, part: int = PART, hashed: WordHash = word_hash) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best `top` phrases of each language.
 
     A phrase goes if a longer one that holds it has at least share percent of its count: with any such longer phrase,
     the one with one word more that lies within it is frequent too, so those alone are asked (share 100; for a lower
     one, counts only fall with length, so they still suffice).
     """
-    levels = phrases(docs, min_count, longest, part)
+    levels = phrases(docs, min_count, longest, part, hashed)
     kept = []
     for k in range(2, len(levels) + 1):
         rows = levels[k - 1]

@@ -44,7 +44,7 @@ def test_clusters_are_not_all_met():
     for n in range(64):
         s = (x @ q[n]).astype(np.int64)
         s[n] = balltree.LOWEST
-        best = np.lexsort((np.arange(4096), -s))[:5]
+        best = np.lexsort((np.arange(4096), ~s))[:5]
         assert ids[who == n].tolist() == best.tolist() and score[who == n].tolist() == s[best].tolist()
     assert len(opened) < 0.5 * 64 * len(tree.leaves)
     held = len(opened)
