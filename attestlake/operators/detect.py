@@ -7,6 +7,10 @@ clauses, table rows) meets by keys of its own text, so no text is gathered in on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +18,7 @@ from pyspark.sql.window import Window
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
 from attestlake.operators import attest
-from attestlake.operators.lineage import cut, spread
+from attestlake.operators.lineage import spread
 from attestlake.operators.relational import exploded
 
 CONTRADICTED, REFUSED = "contradicted", "could_not_verify"
@@ -135,48 +139,136 @@ def clashing_definitions(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return out.select(id_, F.lit("clashing_definition").alias("detector"), F.lit(CONTRADICTED).alias("verdict"), F.col("term").alias("detail"))
 
 
-EVENT = r"([A-Z]\w+)"
-#: Clause shapes; each gives edges (later, earlier, most days by which the first may precede): t(first) - t(second) <= days.
-ORDERS = ((rf"\b{EVENT} (?:shall|must|will) occur before {EVENT}\b", "before"), (rf"\b{EVENT} (?:shall|must|will) occur on or before {EVENT}\b", "on or before"),
-          (rf"\b{EVENT} (?:shall|must|will) occur at least (\d+) days after {EVENT}\b", "at least"), (rf"\b{EVENT} (?:shall|must|will) occur no later than (\d+) days after {EVENT}\b", "no later"),
-          (rf"\b{EVENT} (?:shall|must|will) occur exactly (\d+) days after {EVENT}\b", "exactly"))
+NAME = r'(?:"[^"\n]{1,60}"|[A-Z]\w+(?: [A-Z]\w+){0,3})'
+#: A clause that orders two events: name, how, count in words, count (in brackets or bare), kind of day, unit, side, name.
+ORDERED = (
+    rf"({NAME})(?: [a-z]+){{0,6}}? (?:(at least|no later than|no earlier than|within) )?(?:(?:([a-z-]+) \((\d{{1,4}})\)|(\d{{1,4}})) (?:(business|working|court|calendar) )?(day|week|month)s? )?"
+    rf"(on or before|on or after|no later than|no earlier than|prior to|before|after|following|of) (?:the )?({NAME})"
+)
+#: A clause that dates an event: name, date (without a year in the last form).
+DATED = rf"({NAME}) (?:is|are|falls|occurs|takes place|(?:shall|must|will) (?:be|occur|fall|take place))(?: (?:scheduled|set|due|held|made|filed|completed))?(?: (?:on|for))? (\d{{4}}-\d\d-\d\d|\d{{1,2}}/\d{{1,2}}/\d{{4}}|(?:{'|'.join(A.MONTHS)}) \d{{1,2}}(?:, \d{{4}})?)"
+#: Least and most days of a unit.
+UNIT_DAYS = {"day": (1, 1), "week": (7, 7), "month": (28, 31)}
+MOST_CYCLES, DAY_ZERO = 32, "(day zero)"
 
 
-def time_edges(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """Id, a, b, w with t(b) - t(a) <= w, from each clause that orders two events."""
-    one = None
-    for pattern, kind in ORDERS:
-        timed = kind not in ("before", "on or before")
-        x, y = X.matches(text, pattern, 1), X.matches(text, pattern, 3 if timed else 2)
-        n = F.transform(X.matches(text, pattern, 2), lambda v: v.cast("int")) if timed else F.transform(x, lambda _: F.lit(0))
-        rows = docs.select(id_, F.explode(F.arrays_zip(x.alias("x"), y.alias("y"), n.alias("n"))).alias("c")).select(id_, "c.*")
-        edge = lambda a, b, w: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), w.cast("int").alias("w"))
-        # before: t(x) - t(y) <= -1; at least n after: t(y) - t(x) <= -n; no later than n after: t(x) - t(y) <= n
-        made = {"before": [edge("y", "x", F.lit(-1))], "on or before": [edge("y", "x", F.lit(0))], "at least": [edge("x", "y", -F.col("n"))], "no later": [edge("y", "x", F.col("n"))], "exactly": [edge("x", "y", -F.col("n")), edge("y", "x", F.col("n"))]}[kind]
-        rows = rows.select(id_, F.explode(F.array(*made)).alias("e")).select(id_, "e.*")
-        one = rows if one is None else one.unionByName(rows)
-    return one.groupBy(id_, "a", "b").agg(F.min("w").alias("w"))
+def time_clauses(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """Id, clauses: for each clause a, b (event names; b null for dates), low and high (bounds of a - b in days, or of a's date), business, clash, undated.
 
+    Weeks are seven days and months 28 to 31, so bounds only ever get wider. Phrasings that bound nothing give null bounds.
+    """
+    flat = F.regexp_replace(F.col(text), r"\s+", " ")
+    get = lambda c, pattern, i: F.regexp_extract(c, f"^(?:{pattern})$", i)
+    name = lambda x: F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), "^[Tt]he ", "")
+
+    def read(c: Column) -> Column:
+        how, side, unit, kind = (get(c, ORDERED, i) for i in (2, 8, 7, 6))
+        n = F.coalesce(get(c, ORDERED, 4).try_cast("int"), get(c, ORDERED, 5).try_cast("int"))
+        said = A.cardinal(F.nullif(get(c, ORDERED, 3), F.lit("")))
+        least, most = (n * F.element_at(F.create_map(*[F.lit(v) for u, d in UNIT_DAYS.items() for v in (u, d[i])]), F.nullif(unit, F.lit(""))) for i in (0, 1))
+        side = F.when(side == "prior to", "before").when(side == "following", "after").otherwise(side)
+        plain, none = (how == "") & n.isNull(), F.lit(None).cast("int")
+        counted = lambda h, v: n.isNotNull() & (how == h) & (side == v)
+        low = (
+            F.when(plain & (side == "after"), 1).when(plain & side.isin("on or after", "no earlier than"), 0).when(counted("", "before"), -most).when(counted("", "after"), least).when(counted("", "of") | counted("within", "of"), -most)
+            .when(counted("at least", "after") | counted("no earlier than", "after"), least).when(counted("within", "after"), 0).otherwise(none)
+        )
+        high = (
+            F.when(plain & (side == "before"), -1).when(plain & side.isin("on or before", "no later than"), 0).when(counted("", "before"), -least).when(counted("", "after"), most).when(counted("", "of") | counted("within", "of"), most)
+            .when(counted("at least", "before"), -least).when(counted("no later than", "after") | counted("within", "after"), most).otherwise(none)
+        )
+        dated = c.rlike(f"^(?:{DATED})$")
+        day = F.unix_date(F.to_date(X.unambiguous_date(get(c, DATED, 2))))
+        return F.struct(
+            name(F.when(dated, get(c, DATED, 1)).otherwise(get(c, ORDERED, 1))).alias("a"), F.when(~dated, name(get(c, ORDERED, 9))).alias("b"), F.when(dated, day).otherwise(low).cast("int").alias("low"), F.when(dated, day).otherwise(high).cast("int").alias("high"),
+            (~dated & kind.isin("business", "working", "court")).alias("business"), F.coalesce(~dated & (said != n), F.lit(False)).alias("clash"), (dated & day.isNull()).alias("undated"),
+        )
+
+    some = docs.where(F.col(text).rlike(r"\b(?:before|after|prior to|following|of|later|earlier)\b") & flat.rlike(ORDERED))
+    return some.select(id_, F.transform(X.matches(flat, f"{DATED}|{ORDERED}"), read).alias("clauses"))
 
-def time_conflicts(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """Texts whose clauses can't all hold: a cycle of negative length among their constraints.
 
-    Shortest paths by squaring: after k rounds paths of up to 2**k clauses are known, until none gets shorter; texts with
-    a cycle leave the rounds. Joins stay inside a text. Each round is checkpointed, so plans don't grow.
+def negative_cycles(u: np.ndarray, v: np.ndarray, w: np.ndarray, clause: np.ndarray, n: int) -> list[np.ndarray]:
+    """Cycles of negative length among edges t(v) - t(u) <= w over n nodes, as the clauses on them; each one's clauses leave the search.
+
+    All nodes start at 0 (a source before all of them); a round relaxes every edge, until nothing gets shorter, or after n
+    rounds what still does hangs on a cycle.
     """
-    paths, state, found = cut(time_edges(docs, id_, text)), None, None
-    while True:
-        bad = cut(paths.where("a = b AND w < 0").groupBy(id_).agg(F.min("a").alias("detail")))
-        found = bad if found is None else found.unionByName(bad)
-        now = paths.agg(F.count("*"), F.sum("w")).first()
-        if now == state:
+    found, alive = [], np.ones(len(u), bool)
+    while len(found) < MOST_CYCLES:
+        e = np.flatnonzero(alive)
+        e = e[np.argsort(v[e], kind="stable")]
+        if not len(e):
             break
-        state = now
-        paths = paths.join(bad, id_, "left_anti")
-        onward = paths.select(id_, F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("v"))
-        longer = paths.where("a <> b").join(onward.where("b <> c"), [id_, "b"]).select(id_, "a", F.col("c").alias("b"), (F.col("w") + F.col("v")).alias("w"))
-        paths = cut(paths.unionByName(longer).groupBy(id_, "a", "b").agg(F.min("w").alias("w")))
-    return found.select(id_, F.lit("time_conflict").alias("detector"), F.lit(CONTRADICTED).alias("verdict"), "detail")
+        heads = np.flatnonzero(np.append(True, v[e][1:] != v[e][:-1]))
+        dist, by, at = np.zeros(n, np.int64), np.full(n, -1), v[e][heads]
+        for _ in range(n + 1):
+            reach = dist[u[e]] + w[e]
+            best = np.minimum.reduceat(reach, heads)
+            shorter = best < dist[at]
+            if not shorter.any():
+                break
+            first = np.flatnonzero(reach == np.repeat(best, np.diff(np.append(heads, len(e)))))
+            to = v[e][first]
+            pick = first[np.append(True, to[1:] != to[:-1])]
+            by[at[shorter]] = e[pick[shorter]]
+            dist[at[shorter]] = best[shorter]
+        else:
+            node = at[shorter][0]
+            for _ in range(n):
+                node = u[by[node]]
+            on, x = [], node
+            while True:
+                on.append(by[x])
+                x = u[by[x]]
+                if x == node:
+                    break
+            gone = np.unique(clause[on])
+            found.append(gone)
+            alive &= ~np.isin(clause, gone)
+            continue
+        break
+    return found
+
+
+def time_conflicts(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """Clauses of a text that can't all hold: cycles of negative length among what they say of pairs of events, of any
+    length, dates being distances from one day. A cycle with business days is left open, as are dates that can't be read
+    of events that are ordered elsewhere, and counts whose words and figures differ. The detail names the events.
+
+    A text's clauses are in one row and are relaxed there: no shuffle, no rounds of jobs.
+    """
+    x = time_clauses(docs, id_, text)
+    edge = lambda a, b, w, i, c: F.struct(a.alias("u"), b.alias("v"), w.cast("long").alias("w"), i.alias("i"), c["business"].alias("business"))
+
+    def edges_of(c: Column, i: Column) -> Column:
+        b = F.coalesce(c["b"], F.lit(DAY_ZERO))
+        both = F.array(F.when(c["high"].isNotNull(), edge(b, c["a"], c["high"], i, c)), F.when(c["low"].isNotNull(), edge(c["a"], b, -c["low"], i, c)))
+        return F.filter(both, lambda e: e.isNotNull() & ~c["clash"] & (c["a"] != b))
+
+    ordered = F.flatten(F.transform(F.filter("clauses", lambda c: c["b"].isNotNull() & (c["low"].isNotNull() | c["high"].isNotNull())), lambda c: F.array(c["a"], c["b"])))
+    kind = docs.schema[id_].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, verdicts, details = [], [], []
+            for row, edges in enumerate(batch.column(1).to_pylist()):
+                names = sorted({e[k] for e in edges for k in "uv"})
+                number = {x: i for i, x in enumerate(names)}
+                u, v = (np.array([number[e[k]] for e in edges], np.int64) for k in "uv")
+                clause = np.array([e["i"] for e in edges])
+                for gone in negative_cycles(u, v, np.array([e["w"] for e in edges]), clause, len(names)):
+                    on = [e for e in edges if e["i"] in gone]
+                    rows.append(row)
+                    verdicts.append(REFUSED if any(e["business"] for e in on) else CONTRADICTED)
+                    details.append(", ".join(sorted({e[k] for e in on for k in "uv"} - {DAY_ZERO})))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(verdicts, pa.string()), pa.array(details, pa.string())], [id_, "verdict", "detail"])
+
+    edges = x.select(id_, F.flatten(F.transform("clauses", edges_of)).alias("edges")).where("size(edges) > 1")
+    cycles = edges.mapInArrow(run, f"`{id_}` {kind}, verdict string, detail string")
+    open_ = F.filter("clauses", lambda c: c["clash"] | (c["undated"] & F.array_contains(F.col("ordered"), c["a"])))
+    refused = exploded(x.withColumn("ordered", ordered), open_, "c", id_).select(id_, F.lit(REFUSED).alias("verdict"), F.col("c.a").alias("detail"))
+    return cycles.unionByName(refused).select(id_, F.lit("time_conflict").alias("detector"), "verdict", "detail")
 
 
 CELL = r"\(?[$€£]?\s?\d[\d,]*(?:\.\d+)?\)?"

@@ -173,14 +173,14 @@ def altered_figures(pairs: DataFrame, a: str = "claim", b: str = "clause", least
     return x.withColumn("altered", F.when(near, F.array_sort(F.array_except("f", "g"))).otherwise(F.array().cast("array<string>"))).drop("f", "g")
 
 
-NEGATIONS, SWAPS = ("not", "never", "no"), (("cannot", "can"), ("without", "with"))
+NEGATIONS, RHETORICAL, SWAPS = ("not", "never", "no"), ("only", "just", "merely"), (("cannot", "can"), ("without", "with"))
 
 
 def flips(claims: DataFrame, sentences: DataFrame, scope: str) -> DataFrame:
-    """Scope, claim_id, sentence_id, kind of pairs whose words are the same but for one run.
+    """Scope, claim_id, sentence_id, kind, name (the claim's words of the run) of pairs whose words are the same but for one run.
 
     Such a pair shares its first or its last four words (all, if fewer), which is the key they meet by. restated: no
-    difference; negation: one side has a negation more, or a pair like with and without; name: capitalized words against
+    difference; negation: one side has a negation more, the prefix un- or non-, or a pair like with and without; name: capitalized words against
     others, not at the start; else other.
     """
     side = lambda df, id_, text: df.select(scope, id_, X.edge_tokens(text).alias("t")).where("size(t) > 0")
@@ -195,14 +195,18 @@ def flips(claims: DataFrame, sentences: DataFrame, scope: str) -> DataFrame:
     run = lambda t: F.slice(t, F.col("p") + 1, F.greatest(F.size(t) - F.col("p") - F.col("q"), F.lit(0)))
     j = j.withColumn("u", run("x")).withColumn("v", run("y")).where((F.col("p") + F.col("q") > 0) & (F.col("p") + F.col("q") >= 0.5 * m))
     text = lambda t: F.lower(F.array_join(t, " "))
-    negated = (F.size("u") + F.size("v") == 1) & F.concat(text("u"), text("v")).isin(*NEGATIONS)
-    swapped = F.lit(False)
+    # "not only", "not just" and "not merely" deny nothing
+    follows = F.lower(F.coalesce(F.when(F.size("u") == 1, F.get("x", F.col("p") + 1)).otherwise(F.get("y", F.col("p") + 1)), F.lit("")))
+    negated = (F.size("u") + F.size("v") == 1) & F.concat(text("u"), text("v")).isin(*NEGATIONS) & ~follows.isin(*RHETORICAL)
+    bare = lambda t: F.when((F.size(t) == 2) & F.lower(F.get(t, F.lit(0))).isin("a", "an"), F.slice(t, 2, 1)).otherwise(F.col(t))
+    prefixed = lambda t, r: (F.size(bare(t)) == 1) & (F.size(bare(r)) == 1) & (F.length(text(bare(r))) >= 4) & text(bare(t)).isin(F.concat(F.lit("un"), text(bare(r))), F.concat(F.lit("non-"), text(bare(r))))
+    swapped = prefixed("u", "v") | prefixed("v", "u")
     for one, two in SWAPS:
         swapped = swapped | ((text("u") == one) & (text("v") == two)) | ((text("u") == two) & (text("v") == one))
     capital = lambda t: (F.size(t) > 0) & F.forall(t, lambda w: w.rlike("^[A-Z]"))
     name = capital("u") & capital("v") & (F.col("p") > 0) & ~F.startswith(text("u"), text("v")) & ~F.startswith(text("v"), text("u"))
     kind = F.when((F.size("u") == 0) & (F.size("v") == 0), "restated").when(negated | swapped, "negation").when(name, "name").otherwise("other")
-    return j.select(scope, "claim_id", "sentence_id", kind.alias("kind"))
+    return j.select(scope, "claim_id", "sentence_id", kind.alias("kind"), F.array_join("u", " ").alias("name"))
 
 
 # --- quotes, placement, grounding ------------------------------------------------------------------------------------
@@ -215,14 +219,21 @@ def quote_states(claims: DataFrame, sources: DataFrame, scope: str) -> DataFrame
     source and all sources are complete; else could_not_check.
     """
     q = claims.select(scope, "claim_id", F.explode(F.array_distinct(X.quoted_spans(normal("claim")))).alias("quote")).withColumn("phrases", X.quote_phrases("quote")).where("size(phrases) > 0")
-    src = sources.select(scope, "source_id", "complete", normal("text").alias("body"))
-    holds = lambda p: F.exists(X.first_letter_variants(p), lambda v: F.contains(F.col("body"), v))
-    met = q.join(src, scope, "left").withColumn("held", F.transform("phrases", lambda p: F.coalesce(holds(p), F.lit(False)).cast("int")))
-    # How often each phrase is held: sums by place, no text is gathered.
-    n = met.select(scope, "claim_id", "quote", "source_id", "complete", F.forall("held", lambda h: h == 1).alias("all"), F.posexplode("held").alias("i", "h"))
-    per = n.groupBy(scope, "claim_id", "quote", "i").agg(F.sum("h").alias("h"), F.max("all").alias("all"), F.min(F.coalesce("complete", F.lit(False))).alias("complete"), F.count("source_id").alias("sources"))
-    g = per.groupBy(scope, "claim_id", "quote").agg(F.min("h").alias("least"), F.max("all").alias("all"), F.min("complete").alias("complete"), F.max("sources").alias("sources"))
-    return g.select(scope, "claim_id", "quote", F.when(F.col("all") & (F.col("sources") > 0), VERIFIED).when((F.col("least") == 0) & F.col("complete") & (F.col("sources") > 0), ALTERED).otherwise(OPEN).alias("state"))
+    bodies = sources.select(scope, "source_id", normal("text").alias("body"))
+    # A word inside a phrase, between spaces, is a whole word of any source that holds the phrase: the longest one is the
+    # key they meet by. Phrases of one or two words have none and are compared with all sources of their scope.
+    words = F.split("phrase", " ")
+    inner = F.transform(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    ph = q.select(scope, "claim_id", "quote", F.size("phrases").alias("n"), F.posexplode("phrases").alias("i", "phrase")).withColumn("key", F.array_max(inner)["w"])
+    has = exploded(bodies, F.array_distinct(F.split("body", " ")), "key", scope, "source_id").join(ph.where("key IS NOT NULL").select(scope, "key").distinct(), [scope, "key"], "left_semi")
+    met = ph.join(has, [scope, "key"]).drop("key").unionByName(ph.where("key IS NULL").drop("key").join(bodies.select(scope, "source_id"), scope))
+    held = met.join(bodies, [scope, "source_id"]).where(F.exists(X.first_letter_variants(F.col("phrase")), lambda v: F.contains(F.col("body"), v)))
+    whole = held.groupBy(scope, "claim_id", "quote", "n", "source_id").agg(F.countDistinct("i").alias("k")).groupBy(scope, "claim_id", "quote").agg(F.max(F.col("k") == F.col("n")).alias("all"))
+    found = held.groupBy(scope, "claim_id", "quote").agg(F.countDistinct("i").alias("found"))
+    pool = sources.groupBy(scope).agg(F.min(F.coalesce("complete", F.lit(False))).alias("complete"))
+    g = q.select(scope, "claim_id", "quote", F.size("phrases").alias("n")).join(whole, [scope, "claim_id", "quote"], "left").join(found, [scope, "claim_id", "quote"], "left").join(pool, scope, "left")
+    absent = F.coalesce("found", F.lit(0)) < F.col("n")
+    return g.select(scope, "claim_id", "quote", F.when(F.col("all"), VERIFIED).when(absent & F.col("complete"), ALTERED).otherwise(OPEN).alias("state"))
 
 
 def placed(claims: DataFrame, drafts: DataFrame, scope: str) -> DataFrame:
@@ -258,26 +269,6 @@ def best_spans(claims: DataFrame, sentences: DataFrame, scope: str, least: float
     return best.select(scope, "claim_id", "m.sentence_id", (-F.col("m.minus")).alias("jaccard"))
 
 
-def attest_drafts(claims: DataFrame, sentences: DataFrame, scope: str, most: int = MOST_CANDIDATES, most_in_all: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame]:
-    """(scope, claim_id, state), (scope, n_claims, n_verified, state).
-
-    A claim with figures is decided by the sentences of its skeleton (V10); one without is decided by near copies (V11):
-    a negation or another name is altered, a restatement verified, both together open. Over bounds (V14), or without
-    either, it could not be checked. Contradictions need shared words by construction of the keys.
-    """
-    bounds = over_bounds(claims, sentences, scope, most, most_in_all).where("refused").select(scope, "claim_id")
-    fine = claims.join(bounds, [scope, "claim_id"], "left_anti")
-    by_figures = residue(fine, sentences, scope)
-    f = flips(fine, sentences, scope).groupBy(scope, "claim_id").agg(F.max(F.col("kind") == "restated").alias("same"), F.max(F.col("kind").isin("negation", "name")).alias("flip"))
-    by_words = f.select(scope, "claim_id", F.when(F.col("same") & F.col("flip"), OPEN).when(F.col("flip"), ALTERED).when(F.col("same"), VERIFIED).otherwise(OPEN).alias("words"))
-    out = claims.select(scope, "claim_id").join(by_figures, [scope, "claim_id"], "left").join(by_words, [scope, "claim_id"], "left")
-    state = F.coalesce("state", "words", F.lit(OPEN))
-    per = out.select(scope, "claim_id", state.alias("state"))
-    rank = F.max(F.when(F.col("state") == ALTERED, 2).when(F.col("state") == OPEN, 1).otherwise(0))
-    whole = per.groupBy(scope).agg(F.count("*").alias("n_claims"), F.count_if(F.col("state") == VERIFIED).alias("n_verified"), F.when(rank == 2, ALTERED).when(rank == 1, OPEN).otherwise(VERIFIED).alias("state"))
-    return per, whole
-
-
 def quote_repairs(pairs: DataFrame, quote: str, source: str) -> DataFrame:
     """Pairs with repaired: the source's own text for a quote, found by its normal form (NFKC, plain marks, case
     and spaces folded), else by the longest common run of 95 % and 40 characters; null if neither."""

@@ -104,7 +104,7 @@ def C5_clashing_definitions(s, d):
     return detect.clashing_definitions(t(s, d, "customer").select("c_custkey", text.alias("s")), "c_custkey", "s")
 
 
-@q(f"SELECT o_orderkey, 'time_conflict' AS detector, '{C}' AS verdict, 'Audit' AS detail FROM orders WHERE day(o_orderdate) + o_custkey % 5 > o_custkey % 31")
+@q(f"SELECT o_orderkey, 'time_conflict' AS detector, '{C}' AS verdict, 'Audit, Closing, Filing' AS detail FROM orders WHERE day(o_orderdate) + o_custkey % 5 > o_custkey % 31")
 def C6_J18_time_conflicts(s, d):
     text = say(
         "Closing shall occur at least ", F.dayofmonth("o_orderdate"), " days after Filing. Audit must occur at least ", F.col("o_custkey") % 5, " days after Closing. Audit must occur no later than ", F.col("o_custkey") % 31, " days after Filing. Filing shall occur before Release.",
@@ -112,6 +112,20 @@ def C6_J18_time_conflicts(s, d):
     return detect.time_conflicts(t(s, d, "orders").select("o_orderkey", text.alias("s")), "o_orderkey", "s")
 
 
+@q(f"""
+SELECT o_orderkey, 'time_conflict' AS detector, CASE WHEN o_orderkey % 3 = 2 THEN '{R}' ELSE '{C}' END AS verdict, CASE o_orderkey % 3 WHEN 0 THEN 'Closing Date, Signing' WHEN 1 THEN 'Delivery, Signing' ELSE 'Closing Date' END AS detail
+FROM orders WHERE o_orderkey % 3 <> 1 OR o_custkey % 4 > 1
+""")
+def C6_dated_time_conflicts(s, d):
+    # a date a day too late for two weeks (0), months that can't be so few days (1), a date that can be read in two ways (2)
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 3
+    late = F.date_format(F.date_add("o_orderdate", 15), "yyyy-MM-dd")
+    text = F.when(k == 0, say("The Signing is on ", day, ". The Closing Date shall be held on ", late, ". The Closing Date must occur within two (2) weeks after the Signing.")).when(
+        k == 1, say("The Delivery shall occur at least ", F.col("o_custkey") % 4, " months after the Signing. The Delivery must take place no later than 55 days after the Signing.")
+    ).otherwise("The Closing Date is due on 03/04/2021. The Closing Date must fall before the Signing.")
+    return detect.time_conflicts(t(s, d, "orders").select("o_orderkey", text.alias("s")), "o_orderkey", "s")
+
+
 @q(f"""
 WITH x AS (SELECT l_orderkey, count(*) AS n, sum(CAST(l_extendedprice AS DECIMAL(15, 2))) AS total FROM lineitem GROUP BY 1 HAVING count(*) > 1)
 SELECT l_orderkey, 'footing' AS detector, '{C}' AS verdict, 'Total ' || CAST(CAST(total + 10 AS DECIMAL(34, 4)) AS VARCHAR) || ' items ' || CAST(CAST(total AS DECIMAL(34, 4)) AS VARCHAR) AS detail FROM x WHERE l_orderkey % 3 = 0

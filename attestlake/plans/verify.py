@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestlake.functions import text as X
+from attestlake.operators import claims as C
 from attestlake.operators import verify as V
 from attestlake.plans.base import Book, t
 from attestlake.plans.detectors import say
@@ -70,7 +71,7 @@ SELECT o_orderkey, 1 AS claim_id, 2 AS sentence_id, CASE WHEN o_orderkey % 3 = 0
 UNION ALL SELECT o_orderkey, 0, 0, CASE WHEN o_orderkey % 3 = 0 THEN 'other' ELSE 'restated' END FROM orders WHERE o_orderkey % 3 < 2
 """)
 def V11_J15_near_copies(s, d):
-    return V.flips(claims(s, d), sentences(s, d), "o_orderkey")
+    return V.flips(claims(s, d), sentences(s, d), "o_orderkey").drop("name")
 
 
 _STATES = """(SELECT o_orderkey, 0 AS claim_id, CASE WHEN o_orderkey % 3 = 1 THEN 'verified' ELSE 'altered' END AS state FROM orders UNION ALL
@@ -79,14 +80,74 @@ _STATES = """(SELECT o_orderkey, 0 AS claim_id, CASE WHEN o_orderkey % 3 = 1 THE
 
 @q(f"SELECT * FROM {_STATES}")
 def V12_claim_states(s, d):
-    return V.attest_drafts(claims(s, d), sentences(s, d), "o_orderkey")[0]
+    return C.attested(claims(s, d), C.source_index(sentences(s, d), "o_orderkey"))
 
 
 @q(f"""
 SELECT o_orderkey, count(*) AS n_claims, count(*) FILTER (WHERE state = 'verified') AS n_verified, CASE WHEN bool_or(state = 'altered') THEN 'altered' WHEN bool_or(state = 'could_not_check') THEN 'could_not_check' ELSE 'verified' END AS state FROM {_STATES} GROUP BY 1
 """)
 def V13_A8_attested_drafts(s, d):
-    return V.attest_drafts(claims(s, d), sentences(s, d), "o_orderkey")[1]
+    return C.folded(C.attested(claims(s, d), C.source_index(sentences(s, d), "o_orderkey")), "o_orderkey")
+
+
+_LEGS = ["verified", "altered", "could_not_check", "altered", "altered", "altered", "altered", "altered", "could_not_check", "altered", "altered", "verified", "altered", "could_not_check", "could_not_check", "could_not_check", "could_not_check"]
+
+
+def one_leg_each(s, d):
+    """(claims, sentences, sources): for each order a claim that one leg alone decides, by its key modulo 17, in the order of _LEGS."""
+    o, k = t(s, d, "orders"), F.col("o_orderkey") % 17
+    n = (F.floor("o_totalprice").cast("long") + 10_000).cast("string")
+    more = (F.floor("o_totalprice").cast("long") + 10_001).cast("string")
+    by_case = lambda rows: F.element_at(F.array(*rows), (k + 1).cast("int"))
+    lit = F.lit
+    claim = by_case([
+        say("The deposit of $", n, " is held by the bank."),  # 0: restated
+        say("A deposit of $", n, " goes to the bank."),  # 1: another amount, other words
+        say("A deposit of $", n, " goes to the bank."),  # 2: as 1, but another sentence carries the amount
+        say("The parcel of Order K", K(), " leaves on 2021-05-06."),  # 3: another date
+        say("For Order K", K(), " the northern warehouse keeps 12 boxes and 13 crates at $", n, " in all."),  # 4: a near copy with several figures
+        lit("Widgets come under an exclusive license."),  # 5: polarity
+        lit("This sale is governed by the laws of Texas."),  # 6: law
+        say("The tank holds ", n, " liters of oil."),  # 7: residue
+        say("The tank holds ", n, " liters of oil."),  # 8: residue, confirmed and denied
+        lit("the parcel shall not be returned to the old northern store"),  # 9: a near copy without anchors
+        lit("They say “paid in full by the second buyer” there."),  # 10: a quote in no source
+        lit("They say “paid in full by the second buyer” there."),  # 11: a quote in a sentence
+        lit("The fee is 5% Interest and 7% Commission."),  # 12: percentages by subject
+        say("The break fee is $", n, "."),  # 13: another amount of another matter
+        say("A deposit of $", n, " goes to the bank."),  # 14: the amount alone is located
+        lit("the parcel goes to Rotterdam by the old northern road"),  # 15: another name, which stands elsewhere
+        lit("nobody remembers that winter afternoon"),  # 16: nothing to check
+    ])
+    first = by_case([
+        say("The deposit of $", n, " is held by the bank."), say("The deposit at signing: $", more, "."), say("The deposit at signing: $", more, "."), lit("The parcel leaves the dock on 2021-05-07."),
+        say("For Order K", K(), " the northern warehouse keeps 12 boxes and 13 crates at $", more, " in all."), lit("Widgets come under a non-exclusive license of some kind."), lit("The laws of Ohio govern this sale."),
+        say("The tank holds ", more, " liters of oil."), say("The tank holds ", more, " liters of oil."), lit("the parcel shall be returned to the old northern store"), lit("It was never paid."),
+        lit("The clerk wrote that it was paid in full by the second buyer."), lit("The fee: 6% Interest and 7% Commission."), say("Marketing budget: $", more, "."), say("The deposit at signing: $", n, "."),
+        lit("the parcel goes to Hamburg by the old northern road"), lit("The fee is due."),
+    ])
+    second = by_case([lit("It rains.")] * 2 + [say("Later the bank had $", n, " in store.")] + [lit("It rains.")] * 5 + [say("The tank holds ", n, " liters of oil.")] + [lit("It rains.")] * 6 + [lit("Some rooms in Rotterdam are free.")] + [lit("It rains.")])
+    sentences_ = o.select("o_orderkey", F.posexplode(F.array(first, second)).alias("sentence_id", "sentence"))
+    sources = o.select("o_orderkey", lit(0).alias("source_id"), F.concat_ws(" ", first, second).alias("text"), lit(True).alias("complete"))
+    return o.select("o_orderkey", lit(0).alias("claim_id"), claim.alias("claim")), sentences_, sources
+
+
+@q(f"SELECT o_orderkey, 0 AS claim_id, ({_LEGS})[o_orderkey % 17 + 1] AS state FROM orders")
+def V12_one_leg_decides(s, d):
+    c, x, sources = one_leg_each(s, d)
+    return C.attested(c, C.source_index(x, "o_orderkey"), sources)
+
+
+@q("""
+SELECT CASE WHEN starts_with(key, 't:') THEN 't' ELSE 's' END AS kind, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_postings FROM (
+  SELECT o_orderkey, 't:' || w AS key, 1 AS n FROM (SELECT o_orderkey, unnest(['order', 'placed', 'customer']) AS w FROM orders)
+  UNION ALL SELECT o_orderkey, 's:' || i, 1 FROM (SELECT o_orderkey, unnest([0, 1, 2]) AS i FROM orders)
+) GROUP BY 1
+""")
+def V1_source_index(s, d):
+    # the lists of the words of each order's first sentence, and of the skeletons of all
+    keys = C.source_index(sentences(s, d), "o_orderkey").lengths.where("key IN ('t:order', 't:placed', 't:customer') OR startswith(key, 's:')")
+    return keys.groupBy(F.substring("key", 1, 1).alias("kind")).agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_postings"))
 
 
 _CASE = "o_orderkey % 8"

@@ -1,5 +1,6 @@
 """Detectors on small texts: what contradicts, what has to be refused, what is silent."""
 
+import numpy as np
 import pytest
 
 from attestlake.operators import attest, detect
@@ -31,6 +32,11 @@ TEXTS = {
         ("Closing shall occur before Filing. Filing shall occur before Closing.", C), ("Closing shall occur before Filing. Filing shall occur before Audit.", None),
         ("Audit shall occur at least 10 days after Closing. Audit shall occur no later than 5 days after Closing.", C), ("Audit shall occur at least 5 days after Closing. Audit shall occur no later than 5 days after Closing.", None),
         ("Audit must occur exactly 3 days after Closing. Closing must occur exactly 3 days after Filing. Audit must occur no later than 5 days after Filing.", C),
+        ("The Closing is on 2021-01-10. The Filing is on 2021-01-01. The Closing shall be no later than seven (7) days after the Filing.", C), ("The Closing is on 2021-01-10. The Filing is on 2021-01-01. The Closing shall be no later than nine (9) days after the Filing.", None),
+        ("The Closing shall occur at least 2 weeks after the Filing. The Closing shall occur within 10 days of the Filing.", C), ("The Closing shall occur 2 months after the Filing. The Closing shall occur no later than 60 days after the Filing.", None),
+        ("The Closing shall occur 3 months after the Filing. The Closing shall occur no later than 80 days after the Filing.", C), ("Audit shall occur at least 10 business days after Closing. Audit shall occur no later than 5 days after Closing.", R),
+        ("Audit shall occur at least ten (12) days after Closing.", R), ("The Closing is on 01/02/2021. The Closing shall occur before Filing.", R), ("The Closing is on 01/02/2021. Audit shall occur before Filing.", None),
+        ("The Closing is on May 5. Filing shall occur after the Closing.", R), ("Closing shall occur within 5 days before Filing. Filing shall occur before Closing.", None), ('"Long Stop" shall occur before the Closing. The Closing shall occur prior to the Long Stop.', C),
     ],
     "footing": [
         ("Rent 100.00\nWater 20.50\nTotal 120.50", None), ("Rent 100.00\nWater 20.50\nTotal 121.50", C), ("Rent $1,000\nRebate (200)\nTotal $800", None), ("Rent 1,00\nWater 20\nTotal 120", R), ("Rent 100\nTotal 90", None),
@@ -70,3 +76,22 @@ def test_facts_across_documents(spark):
 def test_scan_unites(spark):
     got = detect.scan(docs(spark, ["Pay five (6) times. A fee of at least $500 and at most $400 applies.", "Nothing."]), "id", "text").collect()
     assert {(r.id, r.detector) for r in got} == {(0, "words_figures"), (0, "bound_pair")}
+
+
+def test_long_chains_and_cycles_of_clauses(spark):
+    """5 000 chained clauses are silent; closed to a cycle they are one finding. Random clauses against shortest paths by force."""
+    chain = " ".join(f"E{i} shall occur before E{i + 1}." for i in range(5000))
+    got = detect.time_conflicts(docs(spark, [chain, chain + " E5000 shall occur before E0."]), "id", "text").collect()
+    assert [(r.id, r.verdict) for r in got] == [(1, C)] and got[0].detail.count("E") == 5001
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n, m = 6, int(rng.integers(3, 14))
+        u, v, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(-2, 6, m)
+        dist = np.full((n, n), 10**6)
+        np.minimum.at(dist, (u, v), w)
+        for k in range(n):
+            dist = np.minimum(dist, dist[:, k : k + 1] + dist[k : k + 1])
+        cycles = detect.negative_cycles(u, v, w, np.arange(m), n)
+        assert bool(len(cycles)) == bool((np.diag(dist) < 0).any())
+        for gone in cycles:
+            assert w[gone].sum() < 0 and sorted(u[gone]) == sorted(v[gone])
