@@ -106,6 +106,31 @@ def sentence_spans(x: Column | str) -> Column:
     return F.filter(spans, lambda s: s["sentence"] != "")
 
 
+#: A sentence that has come to its end, and a line that stands alone: numbered, marked, or a few capitalized words.
+ENDED = rf"(?<!(?i:\b(?:{ABBREVIATIONS})))(?<!\b[A-Z])[.!?:]+[\"'\u201d\u2019)\]]*$"
+ALONE = r"^(?:#+\s|[-*\u2022]\s|\(?[a-z0-9]{1,3}[.)]\s|(?:(?:Section|Article|Clause|Schedule|Exhibit)\s+)?\d+(?:\.\d+)*\.?\s+[A-Z])|^[A-Z0-9][\w'-]*(?:\s+(?:[A-Z0-9][\w'-]*|of|the|and|for|to|in|on)){0,11}$"
+
+
+def logical_sentences(x: Column | str) -> Column:
+    """Array of group, start, sentence. A line that wraps, having neither ended nor standing alone, shares its group with the next one.
+
+    A blank line, a heading and a list item always part groups. Starts are those of sentence_spans: they slice the text.
+    """
+    text = F.coalesce(_c(x), F.lit(""))
+
+    def grouped(s: Column) -> Column:
+        def opens(one: Column, i: Column) -> Column:
+            before = F.get(s, i - 1)
+            end = before["start"] + F.length(before["sentence"])
+            gap = F.substring(text, end + 1, one["start"] - end)
+            wraps = F.contains(gap, F.lit("\n")) & ~gap.rlike(r"\n\s*\n") & ~before["sentence"].rlike(ENDED) & ~before["sentence"].rlike(ALONE) & ~one["sentence"].rlike(ALONE)
+            return F.when((i > 0) & F.coalesce(wraps, F.lit(False)), 0).otherwise(1)
+
+        return F.zip_with(s, running(F.transform(s, opens)), lambda one, g: F.struct((g - 1).alias("group"), one["start"].alias("start"), one["sentence"].alias("sentence")))
+
+    return let(sentence_spans(x), grouped)
+
+
 def strip_footnotes(x: Column | str) -> Column:
     """A number of one or two digits that is glued to the end of a word or closing mark goes."""
     return F.regexp_replace(_c(x), r"(?<=[a-z.,;:!?)\u201d\"])\d{1,2}(?=\s|$)", "")

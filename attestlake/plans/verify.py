@@ -150,6 +150,48 @@ def V1_source_index(s, d):
     return keys.groupBy(F.substring("key", 1, 1).alias("kind")).agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_postings"))
 
 
+@q("""
+WITH x AS (SELECT c_custkey, 'Dr. Who of ' || c_name || ' said it' AS a, 'was paid.' AS b, 'It rained.' AS c, 'Terms of Sale' AS h, 'all sales of' AS e, c_mktsegment || ' goods stand. Bye.' AS f FROM customer)
+SELECT c_custkey, grp, n, CAST(start AS INT) AS start, true AS sliced FROM (
+  SELECT c_custkey, 0 AS grp, 2 AS n, 0 AS start FROM x UNION ALL SELECT c_custkey, 1, 1, length(a) + 1 + length(b) + 1 FROM x
+  UNION ALL SELECT c_custkey, 2, 1, length(a) + length(b) + length(c) + 4 FROM x UNION ALL SELECT c_custkey, 3, 2, length(a) + length(b) + length(c) + length(h) + 5 FROM x
+  UNION ALL SELECT c_custkey, 4, 1, length(a) + length(b) + length(c) + length(h) + length(e) + length(f) + 2 FROM x)
+""")
+def X9_logical_sentences(s, d):
+    """A wrapped sentence, one more on its line, a heading after a blank line, again a wrapped one and a last one."""
+    text = F.concat(F.lit("Dr. Who of "), "c_name", F.lit(" said it\nwas paid. It rained.\n\nTerms of Sale\nall sales of\n"), "c_mktsegment", F.lit(" goods stand. Bye."))
+    c = t(s, d, "customer").select("c_custkey", text.alias("body"))
+    x = c.select("c_custkey", "body", F.explode(X.logical_sentences("body")).alias("s"))
+    same = F.substr("body", F.col("s.start") + 1, F.length("s.sentence")) == F.col("s.sentence")
+    g = x.groupBy("c_custkey", F.col("s.group").alias("grp"))
+    return g.agg(F.count("*").cast("int").alias("n"), F.min("s.start").alias("start"), F.min(same).alias("sliced"))
+
+
+@q("""
+WITH x AS (SELECT l_orderkey, count(*) AS n, l_orderkey % 3 AS m FROM lineitem GROUP BY 1)
+SELECT l_orderkey, route, state, count(*) AS n FROM (
+  SELECT l_orderkey, 'none' AS route, 'untreated' AS state FROM x
+  UNION ALL SELECT l_orderkey, 'anchors', CASE m WHEN 0 THEN 'altered' WHEN 1 THEN 'verified' ELSE 'could_not_check' END FROM x
+  UNION ALL SELECT l_orderkey, 'citation', CASE WHEN l_orderkey % 5 = 0 THEN 'altered' ELSE 'verified' END FROM x
+  UNION ALL SELECT l_orderkey, 'citation', CASE WHEN l_orderkey % 5 = 0 THEN 'altered' ELSE 'verified' END FROM x
+  UNION ALL SELECT l_orderkey, 'quote', CASE WHEN m = 1 THEN 'altered' ELSE 'verified' END FROM x
+) GROUP BY ALL
+""")
+def V20_envelope(s, d):
+    """Drafts of five sentences on each order of lineitem: nothing to check, an amount, a quote that wraps onto its citation, and a quote."""
+    g = t(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    k, n = F.col("l_orderkey"), F.col("n")
+    amount = say("The buyer owes $", k + 1000 + F.when(k % 3 == 0, 1).otherwise(0), " for the lines.")
+    cite = say(k % 40, " F.3d ", k % 5 + 1)
+    draft = say("nobody remembers that winter.\n", amount, "\nThe court wrote “paid in full by the buyer” as it\nsays in ", cite, " of that year.\nThe clerk said “", F.when(k % 3 == 1, "sent on time to the wrong place").otherwise("sent on time to the right place"), "” that day.")
+    body = [F.when(k % 3 == 2, F.lit("The buyer owes a sum for the lines.")).otherwise(say("The buyer owes $", k + 1000, " for the lines.")), F.lit("It was sent on time to the right place as agreed.")]
+    x = g.select("l_orderkey", F.posexplode(F.array(*body)).alias("sentence_id", "sentence"))
+    src = g.select("l_orderkey", F.lit(0).alias("source_id"), F.concat_ws(" ", *body).alias("text"), F.lit(True).alias("complete"))
+    cases = g.where(k % 5 > 0).select(cite.alias("cite"))
+    out = C.envelope(g.select("l_orderkey", draft.alias("draft")), x, src, cases, "l_orderkey", complete=True)
+    return out.groupBy("l_orderkey", "route", "state").agg(F.count("*").alias("n"))
+
+
 _CASE = "o_orderkey % 8"
 
 
