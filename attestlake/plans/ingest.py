@@ -36,14 +36,17 @@ def S1_parser_registry(s, d):
 
 
 @q("""
-WITH c AS (SELECT c_custkey, c_mktsegment AS seg, CASE WHEN c_acctbal > 0 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) ELSE '' END AS bal FROM customer)
-SELECT c_custkey, 2 AS row, 1 AS col, 'cell' AS kind, 'segment: ' || seg AS value FROM c UNION ALL SELECT c_custkey, 2, 2, 'cell', 'balance: ' || bal FROM c WHERE bal <> ''
-UNION ALL SELECT c_custkey, 2, 0, 'row', 'segment: ' || seg || CASE WHEN bal <> '' THEN '; balance: ' || bal ELSE '' END FROM c
-UNION ALL SELECT c_custkey, 3, 1, 'cell', 'segment: ' || c_custkey FROM c UNION ALL SELECT c_custkey, 3, 0, 'row', 'segment: ' || c_custkey FROM c
+WITH c AS (SELECT c_custkey, lower(c_mktsegment) AS seg, CASE WHEN c_acctbal > 0 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) ELSE '' END AS bal FROM customer),
+x AS (
+  SELECT c_custkey, 1 AS row, 1 AS col, 'segment, "kind": segment, "kind"' AS value FROM c UNION ALL SELECT c_custkey, 1, 2, 'balance: balance' FROM c
+  UNION ALL SELECT c_custkey, 2, 1, 'segment, "kind": ' || seg || ', ' || c_custkey FROM c UNION ALL SELECT c_custkey, 2, 2, 'balance: ' || bal FROM c WHERE bal <> ''
+  UNION ALL SELECT c_custkey, 4, 1, 'segment, "kind": two lines of ' || c_custkey FROM c UNION ALL SELECT c_custkey, 4, 3, 'Column 3: x"y' FROM c)
+SELECT c_custkey, row, col, 'cell' AS kind, value FROM x UNION ALL SELECT c_custkey, row, 0, 'row', string_agg(value, chr(10) ORDER BY col) FROM x GROUP BY 1, 2
 """)
 def S3_csv_elements(s, d):
-    bal = F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("long").cast("string")).otherwise("")
-    text = F.concat(F.lit("segment,balance\n"), "c_mktsegment", F.lit(" , "), bal, F.lit("\n\n"), F.col("c_custkey").cast("string"), F.lit(","))
+    """A header with quotes in a cell, a row with a comma in one, an empty row, and a row with a line break in a cell and one cell too many."""
+    bal, k = F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("long").cast("string")).otherwise(""), F.col("c_custkey").cast("string")
+    text = F.concat(F.lit('"segment, ""kind""",balance\r\n"'), F.lower("c_mktsegment"), F.lit(", "), k, F.lit('", '), bal, F.lit("\n\n\"two\nlines of "), k, F.lit('",,x"y'))
     return S.csv_elements(t(s, d, "customer").select("c_custkey", text.alias("csv")), "c_custkey", "csv")
 
 
@@ -58,7 +61,7 @@ for _t in ("script", "style", "nav", "footer", "header"):
 
 @q(f"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_BODY}, '(?i)<(h[1-3]|p|li|table|caption)(?:\\s[^>]*)?>', chr(1) || '\\1' || chr(2), 'g'), '(?i)</(?:h[1-3]|p|li|table|caption)>', chr(1) || 'div' || chr(2), 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages),
-e AS (SELECT page_id, unnest(string_split(x, chr(1))[2:]) AS e, generate_subscripts(string_split(x, chr(1))[2:], 1) AS p FROM b),
+e AS (SELECT page_id, replace(replace(unnest(string_split(x, chr(1))[2:]), '&quot;', '"'), '&amp;', '&') AS e, generate_subscripts(string_split(x, chr(1))[2:], 1) AS p FROM b),
 v AS (SELECT page_id, p, lower(split_part(e, chr(2), 1)) AS kind, trim(regexp_replace(split_part(e, chr(2), 2), '[ \\t\\n\\r]+', ' ', 'g')) AS value FROM e), w AS (SELECT * FROM v WHERE value <> '' AND kind <> 'div')
 SELECT page_id, row_number() OVER o AS place, kind, value, last_value(CASE WHEN kind LIKE 'h_' THEN value END IGNORE NULLS) OVER (o ROWS UNBOUNDED PRECEDING) AS section FROM w WINDOW o AS (PARTITION BY page_id ORDER BY p)
 """)
@@ -83,9 +86,9 @@ def S6_text_elements(s, d):
     return S.text_elements(_markdown(s, d), "doc_id", "md").withColumn("value", F.md5("value"))
 
 
-@q(r"SELECT c_custkey, 'Dear ' || c_name || chr(10) || c_mktsegment || chr(9) || '.' AS plain FROM customer")
+@q(r"SELECT c_custkey, 'Dear ' || c_name || chr(10) || c_mktsegment || chr(9) || '.' || '€é€' || chr(128512) || '{' AS plain FROM customer")
 def S10_rtf_text(s, d):
-    rtf = F.concat(F.lit(r"{\rtf1\ansi{\fonttbl{\f0 Times;}}{\*\generator x;}\f0\fs24 Dear "), "c_name", F.lit(r"\par "), "c_mktsegment", F.lit(r"\tab \b .\b0 }"))
+    rtf = F.concat(F.lit(r"{\rtf1\ansi{\fonttbl{\f0 Times;}}{\*\generator x;}\f0\fs24 Dear "), "c_name", F.lit(r"\par "), "c_mktsegment", F.lit(r"\tab \b .\b0 \'80\'e9\u8364?\u-10179 ?\u-8704\'3f\{}"))
     return t(s, d, "customer").select("c_custkey", S.rtf_text(rtf).alias("plain"))
 
 
