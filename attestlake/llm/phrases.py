@@ -6,7 +6,8 @@ level:
 
 1. mappers bincount the keys into hashed cells, whose arrays are summed as a tree; a phrase in a cell below min_count
    can't be frequent;
-2. mappers give the distinct keys of the other cells: the candidates, of which both parts are frequent and the cell is;
+2. mappers give the distinct keys of the other cells: the candidates, of which both parts are frequent and the cell is
+   (a phrase that no task meets min_count / tasks times can't be frequent either);
 3. candidates get a minimal perfect hash, with the keys themselves stored by slot to tell members from strangers;
    mappers bincount slots, the arrays are summed as a tree;
 4. what is frequent gets an id, which replaces its slot, and the texts become ids of this level.
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window
 
 from attestlake.llm.common import Scratch, binary_lists
 
-MOST_CELLS, PART, FAN_IN, BLOCK = 1 << 24, 1 << 21, 32, 1 << 15
+MOST_CELLS, PART, FAN_IN, BLOCK, KEY_BLOCKS = 1 << 24, 1 << 21, 32, 1 << 15, 64
 #: Distinct words that a task counts before it hands them on.
 HELD_WORDS = 300_000
 _BREAK = b"."
@@ -140,28 +141,48 @@ def pair_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 # ---- arrays, summed as a tree ----------------------------------------------------------------------------------------
 
 
-def tree_sum(arrays: DataFrame, n_tasks: int, dtype: str, most: int | None = None) -> DataFrame:
-    """block, part, data: the sum of each block over all parts; sums stop at `most`."""
+def as_tree(arrays: DataFrame, n_tasks: int, dtype: str, join: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """block, part, data: what `join` makes of each block's arrays of all parts, FAN_IN at a time."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = 0
-        for data in table.column("data").to_pylist():
-            total = total + np.frombuffer(zlib.decompress(data), dtype).astype(np.int64)
-        total = total if most is None else np.minimum(total, most)
-        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "data": pa.array([zlib.compress(total.astype(dtype).tobytes(), 1)])})
+    def once(table: pa.Table) -> pa.Table:
+        whole = join([np.frombuffer(zlib.decompress(data), dtype) for data in table.column("data").to_pylist()])
+        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "data": pa.array([packed(whole, dtype)])})
 
     while n_tasks > 1:
-        arrays = arrays.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "part").applyInArrow(add, arrays.schema)
+        arrays = arrays.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "part").applyInArrow(once, arrays.schema)
         n_tasks = -(-n_tasks // FAN_IN)
     return arrays
 
 
+def tree_sum(arrays: DataFrame, n_tasks: int, dtype: str, most: int | None = None) -> DataFrame:
+    """block, part, data: the sum of each block over all parts; sums stop at `most`."""
+
+    def add(some: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(some[0]), np.int64)
+        for x in some:
+            total += x
+        return total if most is None else np.minimum(total, most)
+
+    return as_tree(arrays, n_tasks, dtype, add)
+
+
+def packed(x: np.ndarray, dtype: str) -> bytes:
+    return zlib.compress(x.astype(dtype).tobytes(), 1)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, as a row's words take several arrays."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def blocks(counts: np.ndarray, dtype: str) -> Iterator[pa.RecordBatch]:
     """A task's array, a row a block; blocks without counts are left out."""
     part = TaskContext.get().partitionId()
     for i in range(0, len(counts), BLOCK):
         if (some := counts[i : i + BLOCK]).any():
-            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(some.astype(dtype).tobytes(), 1)])], ["block", "part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(some, dtype)])], ["block", "part", "data"])
 
 
 ARRAYS = "block int, part int, data binary"
@@ -186,7 +207,7 @@ def full_cells(rows: DataFrame, read: Keys, cells: int, min_count: int) -> np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(cells, dtype)
-        for batch in batches:
+        for batch in slices(batches):
             keys, fine, _ = read(batch)
             at, n = np.unique((mixed(keys[fine], 99) % np.uint64(cells)).astype(np.int64), return_counts=True)
             held[at] = np.minimum(held[at] + n, min_count)
@@ -195,18 +216,40 @@ def full_cells(rows: DataFrame, read: Keys, cells: int, min_count: int) -> np.nd
     return gathered(tree_sum(rows.mapInArrow(count, ARRAYS), tasks(rows), dtype, min_count), cells, dtype) >= min_count
 
 
-def candidates(rows: DataFrame, read: Keys, full: np.ndarray) -> DataFrame:
-    """key: distinct keys of full cells."""
-    bits, cells = np.packbits(full, bitorder="little"), len(full)
+def candidates(rows: DataFrame, read: Keys, full: np.ndarray, min_count: int) -> DataFrame:
+    """key: the distinct keys of full cells that some task has met often enough.
+
+    A key that occurs min_count times in n tasks occurs min_count / n times, rounded up, in one of them at least; tasks leave
+    out what they have met less often. Keys travel as sorted arrays in blocks by hash, united as a tree.
+    """
+    bits, cells, n_tasks = np.packbits(full, bitorder="little"), len(full), tasks(rows)
+    least = -(-min_count // n_tasks)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in slices(batches):
             keys, fine, _ = read(batch)
-            keys = np.unique(keys[fine])
+            keys, n = np.unique(keys[fine], return_counts=True)
             at = (mixed(keys, 99) % np.uint64(cells)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[(bits[at >> 3] >> (at & 7) & 1).astype(bool)])], ["key"])
+            some = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+            both, n = np.concatenate([held, keys[some]]), np.concatenate([times, n[some]])
+            held, at = np.unique(both, return_inverse=True)
+            times = np.bincount(at, n, len(held)).astype(np.int64)
+        held = held[times >= least]
+        block = (mixed(held, 7) % np.uint64(KEY_BLOCKS)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        cut = np.searchsorted(block[order], np.arange(KEY_BLOCKS + 1))
+        part = TaskContext.get().partitionId()
+        for b in np.flatnonzero(np.diff(cut)):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(held[order[cut[b] : cut[b + 1]]], "int64")])], ["block", "part", "data"])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(zlib.decompress(data), np.int64))], ["key"])
 
-    return rows.mapInArrow(find, "key long").distinct()
+    united = as_tree(rows.mapInArrow(find, ARRAYS), n_tasks, "int64", lambda some: np.unique(np.concatenate(some)))
+    return united.mapInArrow(opened, "key long")
 
 
 def slot_counts(spark: SparkSession, rows: DataFrame, read: Keys, perfect: PerfectHash) -> np.ndarray:
@@ -216,7 +259,7 @@ def slot_counts(spark: SparkSession, rows: DataFrame, read: Keys, perfect: Perfe
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perfect = shared.value
         held = np.zeros(perfect.n, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             keys, fine, _ = read(batch)
             slots = perfect.slots(keys[fine])
             held += np.bincount(slots[slots >= 0], minlength=perfect.n)
@@ -239,7 +282,7 @@ def relabelled(spark: SparkSession, rows: DataFrame, read: Keys, parts: list[tup
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last, names=names) -> Iterator[pa.RecordBatch]:
             perfect, given = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 keys, fine, ends = read(batch)
                 found = np.full(len(keys), -1, np.int64) if first else batch.column("found").flatten().to_numpy().astype(np.int64)
                 slots = perfect.slots(keys[fine])
@@ -300,7 +343,7 @@ def phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, part: int =
     for k in range(1, longest + 1):
         if k > 1:
             full = full_cells(rows, read, cells, min_count)
-            keys = scratch.save(candidates(rows, read, full))
+            keys = scratch.save(candidates(rows, read, full, min_count))
         n = keys.count()
         n_parts = max(1, -(-n // part))
         parts, tables, base = [], [], 0
