@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
@@ -259,13 +260,25 @@ def fabricated_terms(drafts: DataFrame, sources: DataFrame, scope: str) -> DataF
 
 
 def best_spans(claims: DataFrame, sentences: DataFrame, scope: str, least: float = 0.1) -> DataFrame:
-    """Scope, claim_id, sentence_id, jaccard of the sentence whose words are nearest, if they are least alike."""
+    """Scope, claim_id, sentence_id, jaccard of the sentence whose words are nearest, if they are least alike.
+
+    Of texts that are `least` alike, the rarest words of both (all but least of them, and one) share one: only these make
+    texts meet, so the words that most texts hold bring none together. The likeness is that of all words.
+    """
     tok = lambda c: F.array_distinct(X.tokens(c))
     c, s = claims.select(scope, "claim_id", tok("claim").alias("a")), sentences.select(scope, "sentence_id", tok("sentence").alias("b"))
-    met = c.select(scope, "claim_id", F.explode("a").alias("w")).join(s.select(scope, "sentence_id", F.explode("b").alias("w")), [scope, "w"]).groupBy(scope, "claim_id", "sentence_id").agg(F.count("*").alias("n"))
-    j = met.join(c.select(scope, "claim_id", F.size("a").alias("x")), [scope, "claim_id"]).join(s.select(scope, "sentence_id", F.size("b").alias("y")), [scope, "sentence_id"])
-    jac = F.round(F.col("n") / (F.col("x") + F.col("y") - F.col("n")), 6)
-    best = j.where(jac >= least).groupBy(scope, "claim_id").agg(F.min(F.struct((-jac).alias("minus"), "sentence_id")).alias("m"))
+    each = lambda df, id_, words: df.select(scope, id_, F.size(words).alias("size"), F.explode(words).alias("w"))
+    mine, theirs = each(c, "claim_id", "a"), each(s, "sentence_id", "b")
+    often = theirs.join(mine.select(scope, "w").distinct(), [scope, "w"], "left_semi").groupBy(scope, "w").agg(F.count("*").alias("df"))
+
+    def rare(df: DataFrame, id_: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(scope, id_).orderBy(F.coalesce("df", F.lit(0)), "w"))
+        return df.join(often, [scope, "w"], "left").withColumn("place", rank).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-9)) + 1).select(scope, id_, "w")
+
+    met = rare(mine, "claim_id").join(rare(theirs, "sentence_id"), [scope, "w"]).select(scope, "claim_id", "sentence_id").distinct()
+    j = met.join(c, [scope, "claim_id"]).join(s, [scope, "sentence_id"])
+    jac = F.round(X.jaccard("a", "b"), 6)
+    best = j.withColumn("jac", jac).where(F.col("jac") >= least).groupBy(scope, "claim_id").agg(F.min(F.struct((-F.col("jac")).alias("minus"), "sentence_id")).alias("m"))
     return best.select(scope, "claim_id", "m.sentence_id", (-F.col("m.minus")).alias("jaccard"))
 
 

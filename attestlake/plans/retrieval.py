@@ -17,17 +17,14 @@ from attestlake.plans.base import Book, t
 q = Book()
 QUERIES, ORACLE = q.queries, q.oracle
 
-#: Words of an item that make its query.
-_Q = 8
-
 
 def asked(s, d):
-    return t(s, d, "benchmark").select("item_id", F.slice(X.matches(F.lower("text"), "[a-z]{3,}"), 1, _Q).alias("words"))
+    return t(s, d, "benchmark").select("item_id", X.matches(F.lower("text"), "[a-z]{3,}").alias("words"))
 
 
 def _bm25(text, k, where="TRUE"):
     return f"""
-terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')[1:{_Q}]) AS w FROM benchmark),
+terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM benchmark),
 tok AS (SELECT doc_id, regexp_extract_all(lower({text}), '[a-z]{{3,}}') AS t FROM documents WHERE {where}),
 st AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM tok),
 tf AS (SELECT doc_id, len, w, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS w FROM tok) WHERE w IN (SELECT w FROM terms) GROUP BY ALL),
@@ -93,7 +90,7 @@ _KEYS = ", ".join(f"('{k}', '{v}')" for k, v in KEYWORDS)
 
 
 @q(f"""
-WITH terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')[1:{_Q}]) AS w FROM benchmark), k(w, type) AS (VALUES {_KEYS}),
+WITH terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM benchmark), k(w, type) AS (VALUES {_KEYS}),
 x AS (SELECT item_id, type FROM terms JOIN k USING (w) UNION SELECT item_id, unnest(['body', 'list_item']) FROM benchmark)
 SELECT item_id, list_sort(list(DISTINCT type)) AS types FROM x GROUP BY 1
 """)
@@ -155,7 +152,7 @@ def R6_rerank_blend(s, d):
 
 
 @q(f"""
-WITH terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')[1:{_Q}]) AS w FROM benchmark),
+WITH terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM benchmark),
 tok AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{3,}}')) AS w FROM documents) GROUP BY ALL),
 o AS (SELECT item_id, doc_id, sum(n)::BIGINT AS overlap FROM terms JOIN tok USING (w) GROUP BY 1, 2),
 sc AS (SELECT item_id, doc_id, overlap, overlap * 5 + 3 * (SELECT count(*) FROM terms t WHERE t.item_id = o.item_id AND contains(source, w)) + 2 * (SELECT count(*) FROM terms t WHERE t.item_id = o.item_id AND w = lang) + CASE WHEN n_chars > 1000 THEN 0.5 ELSE 0 END AS score
@@ -165,8 +162,10 @@ SELECT item_id, doc_id, overlap, CAST(score AS DOUBLE) AS score, row_number() OV
 def R7_grounding_rank(s, d):
     # documents without a shared word never meet a query, which is the rule unless no document shares one
     terms = asked(s, d).select("item_id", F.array_distinct("words").alias("words"))
-    tok = t(s, d, "documents").select("doc_id", F.explode(X.matches(F.lower("text"), "[a-z]{3,}")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    o = tok.join(terms.select("item_id", F.explode("words").alias("w")), "w").groupBy("item_id", "doc_id").agg(F.sum("n").alias("overlap"))
+    of = terms.select("item_id", F.explode("words").alias("w"))
+    # words that no item asks for go before anything is shuffled
+    tok = t(s, d, "documents").select("doc_id", F.explode(X.matches(F.lower("text"), "[a-z]{3,}")).alias("w")).join(of.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    o = tok.join(of, "w").groupBy("item_id", "doc_id").agg(F.sum("n").alias("overlap"))
     j = o.join(t(s, d, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id").join(terms, "item_id")
     hits = lambda f: F.size(F.filter("words", f))
     score = F.col("overlap") * 5 + 3 * hits(lambda w: F.contains("source", w)) + 2 * hits(lambda w: w == F.col("lang")) + F.when(F.col("n_chars") > 1000, 0.5).otherwise(0.0)
@@ -175,7 +174,7 @@ def R7_grounding_rank(s, d):
 
 
 @q(f"""
-WITH terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')[1:{_Q}]) AS w FROM benchmark),
+WITH terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM benchmark),
 tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{3,}}')) AS w FROM documents), o AS (SELECT item_id, doc_id, count(*) AS overlap FROM terms JOIN tok USING (w) GROUP BY 1, 2),
 n AS (SELECT item_id, min(w) AS name, max(w) AS summary FROM terms GROUP BY 1),
 sc AS (SELECT item_id, doc_id, overlap * 4 + CASE WHEN contains(lower(text), name) THEN 3 ELSE 0 END + CASE WHEN contains(lower(text), summary) THEN 3 ELSE 0 END AS score FROM o JOIN n USING (item_id) JOIN documents USING (doc_id))
@@ -184,7 +183,7 @@ SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY
 def R8_supporting_chunks(s, d):
     terms = asked(s, d).select("item_id", F.explode(F.array_distinct("words")).alias("w"))
     tok = t(s, d, "documents").select("doc_id", F.explode(F.array_distinct(X.matches(F.lower("text"), "[a-z]{3,}"))).alias("w"))
-    o = terms.join(tok, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
+    o = terms.join(tok.join(terms.select("w").distinct(), "w", "left_semi"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     j = o.join(terms.groupBy("item_id").agg(F.min("w").alias("name"), F.max("w").alias("summary")), "item_id").join(t(s, d, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id")
     score = F.col("overlap") * 4 + F.when(F.contains("text", "name"), 3).otherwise(0) + F.when(F.contains("text", "summary"), 3).otherwise(0)
     return R.topk_per_key(j.select("item_id", "doc_id", score.cast("long").alias("score")), ["item_id"], [F.desc("score"), F.col("doc_id")], 4).withColumn("rank", F.col("rank").cast("long"))

@@ -411,12 +411,6 @@ def W11_nth_occurrence(s, d):
     return t(s, d, "events").select("user_id", "event_type", "event_id", F.row_number().over(w).alias("occurrence"))
 
 
-@q("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders) ORDER BY o_orderdate NULLS LAST, o_orderkey LIMIT 50")
-def T3_nulls_last_sort(s, d):
-    o = t(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("o_orderdate"))
-    return o.orderBy(F.asc_nulls_last("o_orderdate"), "o_orderkey").limit(50)
-
-
 @q("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders ORDER BY 2 NULLS LAST, 1")
 def T3_nulls_last_all(s, d):
     # all orders, those without a date at the end; T3_nulls_last_sort stops after 50
@@ -483,17 +477,6 @@ def U4_shared_and_own_tokens(s, d):
     return g.select("conv_id", F.slice(F.array_sort(F.array_intersect("a", "b")), 1, 4).alias("shared"), F.slice(F.array_sort(F.array_except("a", "b")), 1, 4).alias("only_a"))
 
 
-@q("""
-WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON b.item_id = a.item_id + 1
-WHERE len(a.w) + len(b.w) > 0
-""")
-def U5_jaccard(s, d):
-    w = t(s, d, "benchmark").select("item_id", F.array_distinct(F.expr("regexp_extract_all(lower(text), '[a-z]{3,}', 0)")).alias("w"))
-    j = w.select(F.col("item_id").alias("a"), F.col("w").alias("wa")).join(w.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("w").alias("wb")), "a")
-    return j.where("size(wa) + size(wb) > 0").select("a", "b", F.round(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")), 6).alias("jaccard"))
-
-
 @q("""
 WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard

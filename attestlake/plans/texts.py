@@ -62,12 +62,6 @@ def X7_sentences(s, d):
     return t(s, d, "benchmark").select("item_id", X.simple_sentences("text").alias("sentences"))
 
 
-@q("SELECT a.item_id, contains(lower(regexp_replace(b.text, '\\s+', ' ', 'g')), lower(regexp_replace(a.text, '\\s+', ' ', 'g'))) AS present FROM benchmark a JOIN documents b ON b.doc_id = a.item_id")
-def X14_verbatim_presence(s, d):
-    j = t(s, d, "benchmark").withColumnRenamed("text", "run").join(t(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
-    return j.select("item_id", X.contains_folded("text", "run").alias("present"))
-
-
 @q(r"""
 WITH a AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS run FROM benchmark),
 b AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS body FROM documents)
@@ -355,16 +349,6 @@ def F12_valid_sentence(s, d):
     return _lines(s, d).select("doc_id", (F.col("pos") + 1).cast("long").alias("pos"), ((n >= 28) & (F.length(F.regexp_replace("line", r"[^\p{L}]", "")) >= 20) & (n <= 340) & ~F.contains("line", F.lit("?"))).alias("valid"))
 
 
-@q("""
-SELECT a.doc_id, regexp_matches(a.text, '[0-9]') OR len(list_intersect(list_distinct(regexp_extract_all(lower(a.text), '[a-z]{4,}')), list_distinct(regexp_extract_all(lower(b.text), '[a-z]{4,}')))) > 0 AS relevant
-FROM documents a JOIN benchmark b ON b.item_id = a.doc_id % 40
-""")
-def F14_relevance_prefilter(s, d):
-    b = t(s, d, "benchmark").select("item_id", X.matches(F.lower("text"), "[a-z]{4,}").alias("w"))
-    a = t(s, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), F.col("text").rlike("[0-9]").alias("digit"), X.matches(F.lower("text"), "[a-z]{4,}").alias("v"))
-    return a.join(b, "item_id").select("doc_id", (F.col("digit") | F.arrays_overlap("v", "w")).alias("relevant"))
-
-
 @q("""
 WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark),
 h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents) WHERE w IN (SELECT w FROM v))
@@ -390,13 +374,6 @@ def F16_citation_in_retrieved(s, d):
     return li.join(got, ["l_partkey", "l_suppkey"], "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@q("SELECT conv_id, turn, instr(text, substr(text, 5, 20)) > 0 AS found, instr(text, upper(substr(text, 5, 20))) > 0 AS found_upper FROM conversations WHERE length(text) > 30")
-def F17_exact_quote(s, d):
-    x = t(s, d, "conversations").where("length(text) > 30")
-    quote = F.substring("text", 5, 20)
-    return x.select("conv_id", "turn", F.contains("text", quote).alias("found"), F.contains("text", F.upper(quote)).alias("found_upper"))
-
-
 @q(rf"""
 WITH c AS (SELECT DISTINCT item_id, quote FROM (SELECT item_id, unnest(string_split(regexp_replace({attestation._N}, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS quote FROM benchmark) WHERE quote <> ''),
 s AS (SELECT conv_id, turn, {attestation._N} AS body FROM conversations)
