@@ -139,6 +139,53 @@ def clashing_definitions(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return out.select(id_, F.lit("clashing_definition").alias("detector"), F.lit(CONTRADICTED).alias("verdict"), F.col("term").alias("detail"))
 
 
+#: Words of numbering, which make no defined term.
+NUMBERING = ("Section", "Clause", "Article", "Schedule", "Exhibit", "Appendix", "Annex")
+#: Unquoted uses that make a capitalized phrase look like a defined term.
+LEAST_USES = 2
+
+
+def term_uses(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """Id, term (folded), shown, sites (its definitions), quoted and bare (its other uses in the style of a defined term): the term-use index.
+
+    Bare uses are runs of two or more capitalized words inside a sentence. Uses that another text defines ("as defined in")
+    don't count, nor do headings' numbering words.
+    """
+    elsewhere = r"(?!\s+(?:as\s+)?(?:defined|set\s+forth)\s+in)"
+    site, said = X.matches(text, A.DEFINED, 1), X.matches(text, rf'["“]([A-Z][A-Za-z ]{{1,40}}?)["”]{elsewhere}', 1)
+    bare = X.matches(text, rf"(?<=[a-z,;] )([A-Z][a-z]+(?: [A-Z][a-z]+)+)\b(?! [A-Z]){elsewhere}", 1)
+    bare = F.filter(bare, lambda p: ~p.rlike(rf"\b(?:{'|'.join(NUMBERING)})\b"))
+    of = lambda a, kind: F.transform(a, lambda v: F.struct(v.alias("shown"), F.lit(kind).alias("kind")))
+    rows = exploded(docs.where(F.col(text).rlike(A.DEFINED)), F.concat(of(site, "site"), of(said, "quoted"), of(bare, "bare")), "u", id_).select(id_, X.fold("u.shown").alias("term"), "u.*")
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    g = rows.groupBy(id_, "term").agg(F.min("shown").alias("shown"), n("site").alias("sites"), n("quoted").alias("quoted"), n("bare").alias("bare"))
+    return g.withColumn("quoted", F.greatest(F.col("quoted") - F.col("sites"), F.lit(0)))
+
+
+def undefined_terms(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """Terms that a text with definitions uses, quoted or as often as LEAST_USES, and doesn't define: always left open."""
+    u = term_uses(docs, id_, text).where((F.col("sites") == 0) & ((F.col("quoted") > 0) | (F.col("bare") >= LEAST_USES)))
+    return u.select(id_, F.lit("undefined_term").alias("detector"), F.lit(REFUSED).alias("verdict"), F.col("shown").alias("detail"))
+
+
+def unused_terms(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """Terms that a text defines and never uses again, in any case and number: always left open. Terms defined in two ways are reported as that alone.
+
+    Words are compared by their stems, the text with each of its own terms; nothing is shuffled but the clashes.
+    """
+    stems = lambda x: F.array_join(F.transform(X.matches(F.lower(x), "[a-z]+"), lambda w: X.simple_stem(w)), " ")
+    x = docs.where(F.col(text).rlike(A.DEFINED)).select(id_, F.concat(F.lit(" "), stems(F.col(text)), F.lit(" ")).alias("body"), X.matches(text, A.DEFINED, 1).alias("sites"))
+
+    def used(term: Column) -> Column:
+        needle = F.concat(F.lit(" "), stems(term), F.lit(" "))
+        times = (F.length("body") - F.length(F.replace("body", needle, F.lit(" ")))) / (F.length(needle) - 1)
+        return times > F.size(F.filter("sites", lambda s: X.fold(s) == X.fold(term)))
+
+    rows = exploded(x, F.filter(F.array_distinct("sites"), lambda v: ~used(v)), "detail", id_)
+    clash = clashing_definitions(docs, id_, text).select(id_, "detail")
+    return rows.join(clash, [id_, "detail"], "left_anti").select(id_, F.lit("unused_term").alias("detector"), F.lit(REFUSED).alias("verdict"), "detail")
+
+
 NAME = r'(?:"[^"\n]{1,60}"|[A-Z]\w+(?: [A-Z]\w+){0,3})'
 #: A clause that orders two events: name, how, count in words, count (in brackets or bare), kind of day, unit, side, name.
 ORDERED = (
@@ -364,6 +411,6 @@ def scan(docs: DataFrame, id_: str, text: str) -> DataFrame:
     docs = spread(docs)
     s = attest.sentences(docs.where(F.col(text).rlike(r"\d")), id_, text)  # the three need a number
     out = words_figures(s, id_)
-    for more in (date_durations(s, id_), bound_pairs(s, id_), *(f(docs, id_, text) for f in (list_counts, dangling_references, clashing_definitions, time_conflicts, footing, facts))):
+    for more in (date_durations(s, id_), bound_pairs(s, id_), *(f(docs, id_, text) for f in (list_counts, dangling_references, clashing_definitions, undefined_terms, unused_terms, time_conflicts, footing, facts))):
         out = out.unionByName(more)
     return out

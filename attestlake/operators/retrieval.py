@@ -49,3 +49,24 @@ def first_level(levels: Sequence[DataFrame], key: str) -> DataFrame:
         tagged = x if tagged is None else tagged.unionByName(x)
     best = tagged.groupBy(key).agg(F.min("level").alias("level"))
     return tagged.join(best, [key, "level"], "left_semi")
+
+
+def evaluation(rows: DataFrame, cases: DataFrame, k: int) -> DataFrame:
+    """Grp, cases, hits, hit_rate, citation_precision, citation_recall, quote_validity, drop_rate, repair_rate.
+
+    rows: case, rank, expected, cited, dropped, repaired, valid, one for each source that a case retrieved. A case hits if an
+    expected source is among its first k. Precision and recall are means over cases (0 where nothing was cited or expected);
+    the rates are over all attempts. cases: case, grp; cases without rows count as misses.
+    """
+    n = lambda c: F.count_if(c)
+    per = rows.groupBy("case").agg(
+        F.count("*").alias("tried"), F.max(F.col("expected") & (F.col("rank") <= k)).alias("hit"), n("expected").alias("wanted"), n("cited").alias("cited"), n(F.col("cited") & F.col("expected")).alias("both"), n("dropped").alias("dropped"),
+        n("repaired").alias("repaired"), n("valid").alias("valid"),
+    )
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    over = lambda c: F.round(F.sum(c) / F.sum("tried"), 4)
+    x = cases.join(per, "case", "left").na.fill(0).withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return x.groupBy("grp").agg(
+        F.count("*").alias("cases"), n("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 4).alias("hit_rate"), F.round(F.avg(share("both", "cited")), 4).alias("citation_precision"),
+        F.round(F.avg(share("both", "wanted")), 4).alias("citation_recall"), over("valid").alias("quote_validity"), over("dropped").alias("drop_rate"), over("repaired").alias("repair_rate"),
+    )

@@ -121,7 +121,7 @@ def I13_deck(s, d):
 
 
 @q("""
-SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'match' WHEN 1 THEN 'match' WHEN 2 THEN 'unconfirmed' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'unconfirmed' WHEN 5 THEN 'match' WHEN 6 THEN 'match' ELSE 'unconfirmed' END AS state FROM part
+SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'match' WHEN 1 THEN CASE WHEN length(p_type) > 5 THEN 'match' ELSE 'unconfirmed' END WHEN 2 THEN 'unconfirmed' WHEN 3 THEN 'mismatch' WHEN 4 THEN 'unconfirmed' WHEN 5 THEN 'match' WHEN 6 THEN 'match' ELSE 'unconfirmed' END AS state FROM part
 """)
 def V16_caption_state(s, d):
     k, word = F.col("p_partkey") % 8, F.initcap(F.substring_index("p_name", " ", 1))
@@ -133,6 +133,20 @@ def V16_caption_state(s, d):
     return t(s, d, "part").select("p_partkey", C.caption_state(plaintiff, defendant, name).alias("state"))
 
 
+@q("""
+SELECT p_partkey, '12 f.3d ' || (p_partkey + 100) AS cite, (['match', 'match', 'mismatch', 'unconfirmed', 'missing', 'match'])[p_partkey % 6 + 1] AS state FROM part
+""")
+def V16_V24_captions_in_texts(s, d):
+    """Captions within sentences: the case's name, its abbreviations and initials, other parties, one of two, an unknown citation, after a signal."""
+    k, word = F.col("p_partkey") % 6, F.initcap(F.substring_index("p_name", " ", 1))
+    side = F.get(F.array(F.concat(word, F.lit(" Manufacturing Co. v. National Labor Board")), F.concat(word, F.lit(" Mfg. Co. v. NLB")), F.lit("Zyx Qwv v. Ostrich of Rome"), F.concat(word, F.lit(" Manufacturing v. Ostrich of Rome")), F.lit("Any v. Other"), F.concat(F.lit("See also "), word, F.lit(" v. National Bd."))), k.cast("int"))
+    cite = F.concat(F.lit("12  F.3d "), (F.col("p_partkey") + 100).cast("string"))
+    text = F.concat(F.when(k == 5, "").otherwise("as the court held in "), side, F.lit(", "), cite, F.lit(", costs are shared."))
+    p = t(s, d, "part")
+    cases = p.where(k != 4).select(cite.alias("cite"), F.concat(word, F.lit(" Manufacturing Company v. National Labor Board")).alias("name"))
+    return C.caption_states(p.select("p_partkey", text.alias("body")), "p_partkey", "body", cases).select("p_partkey", "cite", "state")
+
+
 @q(f"""
 WITH {_SENTS}, f AS (SELECT doc_id, s FROM sent WHERE pos = 1), quotes AS (SELECT doc_id AS grp, 0 AS quote_id, s FROM f UNION ALL SELECT doc_id - 1, 1, s FROM f WHERE doc_id > 0),
 c AS (SELECT doc_id AS grp, doc_id FROM documents UNION ALL SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 3 = 0),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestlake.functions import text as X
 from attestlake.operators import attest, detect
+from attestlake.operators.retrieval import evaluation
 from attestlake.plans.base import Book, t
 
 q = Book()
@@ -165,8 +166,54 @@ def C9_J17_facts_across(s, d):
     return detect.facts_across(p.select("p_brand", "p_partkey", text.alias("s")), "p_brand", "p_partkey", "s")
 
 
+_PLANTED = [
+    ("Pay five (6) times.", "words_figures", C), ("It runs from 2021-01-01 to 2021-01-31, or 45 days.", "date_duration", C), ("A fee of at least $500 and at most $400 applies.", "bound_pair", C),
+    ("Deliver the following three items: (a) one; (b) two.", "list_count", C), ("1. Scope\nAs in Section 3 above.\n2. Terms", "dangling_reference", C), ('"Fee" means the price. Later "Fee" means the cost.', "clashing_definition", C),
+    ("Closing shall occur before Filing. Filing shall occur before Closing.", "time_conflict", C), ("Rent 100.00\nWater 20.50\nTotal 121.50", "footing", C), ('"Cap" means $500. The "Cap" is $600.', "fact", C),
+    ('"Fee" means the price. The Fee is due. We pay the Late Charge and then the Late Charge again.', "undefined_term", R), ('"Fee" means the price.', "unused_term", R), ("All is well and 5 (5) of 5 agree.", None, None),
+]
+
+
+@q("SELECT o_orderkey, detector, verdict FROM orders JOIN (VALUES " + ", ".join(f"({i}, '{n}', '{v}')" for i, (_, n, v) in enumerate(_PLANTED) if n) + f") AS p(i, detector, verdict) ON i = o_orderkey % {len(_PLANTED)}")
+def C1_C8_planted_contradictions(s, d):
+    """Each order's text holds the defect of one detector, or none."""
+    text = F.get(F.array(*[F.lit(x) for x, _, _ in _PLANTED]), (F.col("o_orderkey") % len(_PLANTED)).cast("int"))
+    return detect.scan(t(s, d, "orders").select("o_orderkey", text.alias("s")), "o_orderkey", "s").select("o_orderkey", "detector", "verdict")
+
+
+@q("""
+WITH c AS (SELECT l_orderkey, count(*) AS lines, bool_or(l_returnflag = 'R' AND l_linenumber <= 3) AS hit, count(*) FILTER (WHERE l_returnflag = 'R') AS expected, count(*) FILTER (WHERE l_discount > 0.05) AS cited,
+  count(*) FILTER (WHERE l_discount > 0.05 AND l_returnflag = 'R') AS agreed, count(*) FILTER (WHERE l_tax > 0.06) AS dropped, count(*) FILTER (WHERE l_tax < 0.02) AS repaired, count(*) FILTER (WHERE l_linestatus = 'F') AS valid FROM lineitem GROUP BY 1)
+SELECT o_orderpriority AS grp, count(*) AS cases, count(*) FILTER (WHERE hit) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(avg(CASE WHEN cited > 0 THEN agreed::DOUBLE / cited ELSE 0 END), 4) AS citation_precision,
+  round(avg(CASE WHEN expected > 0 THEN agreed::DOUBLE / expected ELSE 0 END), 4) AS citation_recall, round(sum(valid)::DOUBLE / sum(lines), 4) AS quote_validity, round(sum(dropped)::DOUBLE / sum(lines), 4) AS drop_rate, round(sum(repaired)::DOUBLE / sum(lines), 4) AS repair_rate
+FROM orders LEFT JOIN c ON o_orderkey = l_orderkey GROUP BY 1
+""")
+def A16_evaluation_metrics(s, d):
+    """Orders as cases: lines in their order are what was retrieved, returned ones what was expected, discounted ones what was cited."""
+    li, o = t(s, d, "lineitem"), t(s, d, "orders").select(F.col("o_orderkey").alias("case"), F.col("o_orderpriority").alias("grp"))
+    rows = li.select(
+        F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("rank"), (F.col("l_returnflag") == "R").alias("expected"), (F.col("l_discount") > 0.05).alias("cited"), (F.col("l_tax") > 0.06).alias("dropped"),
+        (F.col("l_tax") < 0.02).alias("repaired"), (F.col("l_linestatus") == "F").alias("valid"),
+    )
+    return evaluation(rows, o, 3)
+
+
+@q("""
+SELECT o_orderkey, type, canonical FROM (SELECT o_orderkey, o_orderkey % 40 + 1 AS a, o_custkey % 900 + 100 AS b FROM orders) x, LATERAL (VALUES
+  ('citation', a || ' f.3d ' || b), ('slip_op', 'slip op.'), ('quote', NULL), ('magnitude', b || '000000'), ('money', CAST(a * 500 AS VARCHAR)), ('money', '50000000'), ('quantity', b || '000000000'), ('count', '12' || b), ('party', 'acme corp'), ('duration', CAST(a * 30 AS VARCHAR))) AS v(type, canonical)
+""")
+def E_planted_anchors(s, d):
+    """One sentence of each order with ten typed values."""
+    a, b = F.col("o_orderkey") % 40 + 1, F.col("o_custkey") % 900 + 100
+    text = say(
+        "as held in ", a, " F.3d ", b, " and slip op. there, “no words” cost ", b, " million units and $", a * 5, " or five hundred thousand dollars for ", b, " kg of 12,", b, " grains from Acme Corp. within ", a, " months",
+    )
+    return attest.anchor_rows(t(s, d, "orders").select("o_orderkey", text.alias("s")), "o_orderkey", "s").select("o_orderkey", "type", "canonical")
+
+
 @q(f"""
 SELECT o_orderkey, '{C}' AS verdict, CAST((o_orderkey % 3 = 0) AS INT)::BIGINT + (o_custkey % 2)::BIGINT AS n FROM orders WHERE o_orderkey % 3 = 0 OR o_custkey % 2 = 1
+UNION ALL SELECT o_orderkey, '{R}', 1 FROM orders
 """)
 def C10_findings_by_verdict(s, d):
     text = say(

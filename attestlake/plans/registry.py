@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ("tables", "texts", "attestation", "folds", "detectors", "app", "retrieval", "ingest", "verify", "scalars", "concepts")
+MODULES: tuple[str, ...] = ("tables", "texts", "attestation", "folds", "detectors", "app", "retrieval", "ingest", "verify", "scalars", "concepts", "streams")
 
 #: Names kept from queries that looked at a part of the rows: they do the whole job now.
 SAME = {

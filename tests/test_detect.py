@@ -28,6 +28,15 @@ TEXTS = {
         ("1. Scope\nAs in Section 2.1 above.\n2. Terms\nAs in Section 1.", None), ("1. Scope\nAs in Section 3 above.\n2. Terms", C), ("1. Scope\nAs in Section 9 of the Act.", None), ("As in Section 3 above.", None), ("2.1 Scope\nAs in Section 2.", None),
     ],
     "clashing_definition": [('"Fee" means the price. "Fee" means the  Price.', None), ('"Fee" means the price. Later "Fee" means the cost.', C)],
+    "undefined_term": [
+        ('"Fee" means the price. The Fee is due. We pay the Late Charge and then the Late Charge again.', R), ('"Fee" means the price. The Fee is due. We pay the Late Charge.', None), ("We pay the Late Charge and then the Late Charge again.", None),
+        ('"Fee" means the price. The Fee and a "Bonus" are due.', R), ('"Fee" means the price. The Fee and a "Bonus" as defined in the Act are due.', None), ('"Fee" means the price. As in Section Two the Fee, and in Section Two more.', None),
+        ('"Late Charge" means a sum. We pay the Late Charge and then the Late Charge again.', None),
+    ],
+    "unused_term": [
+        ('"Fee" means the price.', R), ('"Fee" means the price. Two fees are due.', None), ('"Fee" means the price. Later "Fee" means the cost.', None), ('The price (the "Fee") is low. It is due.', R), ('The price (the "Fee") is low. The fee is due.', None),
+        ('"Late Charge" means a sum. A late day is no charge.', R), ("No terms.", None),
+    ],
     "time_conflict": [
         ("Closing shall occur before Filing. Filing shall occur before Closing.", C), ("Closing shall occur before Filing. Filing shall occur before Audit.", None),
         ("Audit shall occur at least 10 days after Closing. Audit shall occur no later than 5 days after Closing.", C), ("Audit shall occur at least 5 days after Closing. Audit shall occur no later than 5 days after Closing.", None),
@@ -57,7 +66,7 @@ def docs(spark, rows):
 def test_verdicts(spark, name):
     df = docs(spark, [t for t, _ in TEXTS[name]] + [None, ""])
     per_sentence = {"words_figures": detect.words_figures, "date_duration": detect.date_durations, "bound_pair": detect.bound_pairs}
-    per_text = {"list_count": detect.list_counts, "dangling_reference": detect.dangling_references, "clashing_definition": detect.clashing_definitions, "time_conflict": detect.time_conflicts, "footing": detect.footing, "fact": detect.facts}
+    per_text = {"list_count": detect.list_counts, "dangling_reference": detect.dangling_references, "clashing_definition": detect.clashing_definitions, "undefined_term": detect.undefined_terms, "unused_term": detect.unused_terms, "time_conflict": detect.time_conflicts, "footing": detect.footing, "fact": detect.facts}
     got = per_sentence[name](attest.sentences(df, "id", "text"), "id") if name in per_sentence else per_text[name](df, "id", "text")
     found = {r.id: (r.detector, r.verdict) for r in got.collect()}
     wrong = [(t, want, found.get(i)) for i, (t, want) in enumerate(TEXTS[name]) if found.get(i, (name, None)) != (name, want)]
