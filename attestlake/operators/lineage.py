@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read from there: what several jobs read is made once."""
+    at = folder(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where its files give fewer partitions than there are cores: a table of one small file. Larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -17,6 +17,7 @@ from attestlake.functions import anchors as A
 from attestlake.functions import text as X
 from attestlake.kernel.sentences import quote_segments, repair_quote
 from attestlake.operators.attest import normal
+from attestlake.operators.lineage import spread
 from attestlake.operators.relational import exploded
 
 #: Candidates of one claim, and of all claims of a draft, above which a draft is refused.
@@ -187,8 +188,10 @@ def flips(claims: DataFrame, sentences: DataFrame, scope: str) -> DataFrame:
     side = lambda df, id_, text: df.select(scope, id_, X.edge_tokens(text).alias("t")).where("size(t) > 0")
     ends = lambda c: F.array_distinct(F.array(F.concat(F.lit("a:"), F.array_join(F.slice(F.transform(c, F.lower), 1, 4), " ")), F.concat(F.lit("z:"), F.array_join(F.slice(F.reverse(F.transform(c, F.lower)), 1, 4), " "))))
     c = side(claims, "claim_id", "claim").select(scope, "claim_id", F.col("t").alias("x"), F.explode(ends(F.col("t"))).alias("key"))
-    s = side(sentences, "sentence_id", "sentence").select(scope, "sentence_id", F.col("t").alias("y"), F.explode(ends(F.col("t"))).alias("key"))
-    j = c.join(s, [scope, "key"]).drop("key").dropDuplicates([scope, "claim_id", "sentence_id"])
+    s = side(spread(sentences), "sentence_id", "sentence").select(scope, "sentence_id", F.col("t").alias("y"), F.explode(ends(F.col("t"))).alias("key"))
+    # dealt by number, so that adaptive execution leaves the work on the pairs to all tasks
+    n = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = c.join(s, [scope, "key"]).drop("key").repartition(n, scope, "claim_id", "sentence_id").dropDuplicates([scope, "claim_id", "sentence_id"])
     m = F.least(F.size("x"), F.size("y"))
     low = lambda t: F.transform(t, F.lower)
     same = lambda p, q, most: F.aggregate(F.zip_with(p, q, lambda v, w: F.coalesce(v == w, F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, e: F.struct(F.when(a["on"] & e, a["n"] + 1).otherwise(a["n"]).alias("n"), (a["on"] & e).alias("on")), lambda a: F.least(a["n"], most))
