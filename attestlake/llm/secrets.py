@@ -1,8 +1,9 @@
 """Secret scans, with DataFrame functions only; a random forest removes false positives.
 
 Candidates are all values assigned to secret-like names (quoted ones whole, else up to the next space, of any length),
-values of 12 or more key characters assigned to other names, and bare runs of as many with a digit, found with their
-place in code points. A candidate's features are its length, the changes between kinds of character, the part that
+values of 12 or more key characters assigned to other names, bare runs of as many with a digit, and private keys between
+their BEGIN and END marks, found with their place in code points. Names, values, the spaces around = and the escapes in
+quotes may be as long and as many as they are; of "Bearer x" (Basic, Digest) the value is x. A candidate's features are its length, the changes between kinds of character, the part that
 dictionary words cover, the kind of file that its path tells, and the words beside it. A random forest, trained here on
 labelled findings (a fixed generator of real key formats and of things that look like keys), gives the share of its
 trees that call the candidate a secret. Trees are flattened into literal arrays, which an aggregate expression walks.
@@ -23,19 +24,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: An optional name with = or : and quote, then the candidate; both captured.
-CANDIDATE = r"""(?:([A-Za-z_][A-Za-z0-9_]{1,30}+)[ \t]{0,3}+[:=][ \t]{0,3}+["']?+)?+([A-Za-z0-9+/_.@~-]{12,}+=*+)"""
+#: A name (digits before it left out) with = or :, spaces and a quote, or no such name; then the candidate; name and candidate captured.
+#: Both start where no name goes on, so a name is read once, however long it is.
+_NAME = r"(?<![A-Za-z0-9_])[0-9]*+([A-Za-z_][A-Za-z0-9_]++)[ \t]*+[:=][ \t]*+"
+CANDIDATE = rf"""(?:{_NAME}["']?+|(?<![A-Za-z0-9_])(?!{_NAME.replace("([A-Za-z_]", "(?:[A-Za-z_]")}))([A-Za-z0-9+/_.@~-]{{12,}}+=*+)"""
+#: A whole private key, between its marks.
+BLOCK = r"(-----BEGIN [A-Z0-9 ]*+(?<=PRIVATE KEY)-----(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*+-----)"
 #: Key characters before the : or = of a secret-like name belong to it; so does a closing quote.
 _KEY, _SPACE = r"A-Za-z0-9+/_.@~-", r" \t\n\r\f\x0b"
 #: Short words are taken in a uniform case only, since base64 holds the others by chance.
 SECRET_LIKE = r"(?:(?i:password|passwd|secret|apikey|bearer|credential|private|access)|token|Token|TOKEN|pwd|Pwd|PWD|key|Key|KEY|(?:auth|Auth|AUTH)(?!(?i:ors?\b)))"
 #: A secret-like name, then its value: in double quotes, in single quotes, or up to a space; all four captured.
 ASSIGNED = (
-    rf"""(?<![{_KEY}])(?=[{_KEY}]++["']?+[ \t]*+[:=])(?:[{_KEY}]*[+/@~])?(?=[A-Za-z0-9_.-]*?{SECRET_LIKE})([A-Za-z0-9_.-]++)["']?+[ \t]*+[:=]{{1,3}}+>?+[ \t]*+"""
-    rf"""(?:"((?!")[^"\\\n]*+(?:\\.[^"\\\n]*+){{0,100}}+)"|'((?!')[^'\\\n]*+(?:\\.[^'\\\n]*+){{0,100}}+)'"""
+    rf"""(?<![{_KEY}])(?=[{_KEY}]++["']?+[ \t]*+[:=])(?:[{_KEY}]*[+/@~])?(?=[A-Za-z0-9_.-]*?{SECRET_LIKE})([A-Za-z0-9_.-]++)["']?+[ \t]*+[:=]{{1,3}}+>?+[ \t]*+(?:(?i:bearer|basic|digest)[ \t]++)?+"""
+    rf"""(?:"((?!")[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'((?!')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'"""
     rf"""|["']?+(?![,;"']*+(?![^{_SPACE}]))([^{_SPACE}]+?)(?=[,;"']*+(?![^{_SPACE}])))"""
 )
-SCAN = f"{ASSIGNED}|{CANDIDATE}"
+SCAN = f"{ASSIGNED}|{CANDIDATE}|{BLOCK}"
 #: Common English words, and words that go with secrets, with placeholders and with other long tokens.
 DICTIONARY = (
     "able about above account action active add address after again all allow also always amount another answer any app area array article ask author back base because before begin best better between big "
@@ -63,21 +68,21 @@ def candidates(docs: DataFrame, text: str = "text", path: Column | None = None)
     """docs' doc_id with start, name, value, before (up to 40 code points to the left) and path of each candidate."""
     path = F.lit(None).cast("string") if path is None else path.cast("string")
     base = docs.select(F.col("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), path.alias("path"))
-    base = base.where(F.col("t").rlike("[0-9=:]"))
+    base = base.where(F.col("t").rlike("[0-9=:]|-----BEGIN "))
     # Candidates get marks around them; cut at the marks, every second piece is one. Names and values are found again in these.
     marked = F.regexp_replace(F.translate("t", "\u0001\u0002", "\ufffd\ufffd"), F.lit(SCAN), F.lit("\u0001$0\u0002"))
     cut = base.select("doc_id", "path", F.split(marked, "[\u0001\u0002]", -1).alias("pieces"))
 
     def part(w: Column) -> Column:
-        g = [F.regexp_extract(w, SCAN, k) for k in range(1, 7)]
-        value = F.concat(g[1], g[2], g[3], g[5])
+        g = [F.regexp_extract(w, SCAN, k) for k in range(1, 8)]
+        value = F.concat(g[1], g[2], g[3], g[5], g[6])
         closed = ((g[1] != "") | (g[2] != "")).cast("int")
         named = F.struct(F.concat(g[0], g[4]).alias("name"), value.alias("value"), (F.length(value) + closed).alias("back"))
         return F.when(w.rlike("[:=]"), named).otherwise(F.struct(F.lit("").alias("name"), w.alias("value"), F.length(w).alias("back")))
 
     odd = F.when(F.size("pieces") > 1, F.sequence(F.lit(1), F.size("pieces") - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
     parts = F.transform(odd, lambda i: F.struct(i.alias("i"), part(F.get("pieces", i)).alias("p")))
-    found = cut.select("doc_id", "path", "pieces", F.filter(parts, lambda x: (x["p"]["name"] != "") | x["p"]["value"].rlike("[0-9]")).alias("parts"))
+    found = cut.select("doc_id", "path", "pieces", F.filter(parts, lambda x: (x["p"]["name"] != "") | x["p"]["value"].rlike("[0-9]|^-----BEGIN ")).alias("parts"))
     found = found.select("*", running(F.transform("pieces", lambda x: F.length(x))).alias("ends"))
     one = F.transform(
         "parts",
@@ -125,7 +130,7 @@ def features(found: DataFrame) -> DataFrame:
         n, F.length(kinds).cast("double") - 1, 1 - left(_any(" ".join(DICTIONARY)), low) / n, flag(F.lower("path").rlike("test|spec|example|fixture|mock|sample|doc")),
         flag(F.lower("name").rlike(_any(SECRET_NAMES))), flag(F.lower("name").rlike(_any(HARMLESS_NAMES))), flag(F.col("name") != ""),
         1 - left("[0-9]") / n, 1 - left("[A-Z]") / n, F.size(F.array_distinct(F.split(v, ""))).cast("double") / n, 1 - left("[.@]") / n, 1 - left("[-/]") / n,
-        flag(v.rlike("^[0-9a-f]+$") & v.rlike("[a-f]")), flag(v.rlike("^(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|sk_live_|eyJ|AIza|glpat-)")), flag(low.rlike(PLACEHOLDERS)),
+        flag(v.rlike("^[0-9a-f]+$") & v.rlike("[a-f]")), flag(v.rlike("^(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk-|sk_live_|eyJ|AIza|glpat-|-----BEGIN )")), flag(low.rlike(PLACEHOLDERS)),
         flag(near.rlike(_any(SECRET_NAMES))), flag(near.rlike(_any(HARMLESS_NAMES))),
     )
     return found.withColumn("x", x)

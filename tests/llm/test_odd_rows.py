@@ -1,5 +1,8 @@
 """Nulls, repeats, empty tables, very long texts and clashing names for the operators whose own tests hold none of these."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from attestlake.llm import bpe, linededup, quality, queries, secrets
 from attestlake.llm.common import Scratch, release
 
@@ -78,3 +81,26 @@ def test_scratch_tables_go(spark):
     assert df.count() == 5
     release(spark, before)
     assert len(Scratch.live) == before
+
+
+def test_secrets_without_bounds(spark):
+    """Escapes, names, spaces and blocks of any length; the scheme before a token is no value; linear on long names."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "MIIabcd+/EF\n" * 40 + "gh==\n-----END RSA PRIVATE KEY-----"
+    many, long = "a\\n b" * 150, "n" * 45
+    want = {
+        f'password = "{many}"': ("password", many), f"password = '{'x' + chr(92) * 2 * 60_000}'": ("password", "x" + chr(92) * 2 * 60_000), f"{long} = abcdefghijklmnop": (long, "abcdefghijklmnop"), "config     =     abcdefghijklmnop": ("config", "abcdefghijklmnop"),
+        "12config = abcdefghijklmnop": ("config", "abcdefghijklmnop"), "Authorization: Bearer abcDEFghiJKLmnopQRS": ("Authorization", "abcDEFghiJKLmnopQRS"), '"auth": "Basic YWxhZGRpbg=="': ("auth", "Basic YWxhZGRpbg=="), f"x\n{key}\ny": ("", key),
+    }
+    none = ["k" * 200_000 + "1 = x", "-----BEGIN PRIVATE KEY-----\nopen", "short_name1 = abc"]
+    texts = dict(enumerate([*want, *none]))
+    got = {(r.doc_id, r.start, r.name, r.value) for r in secrets.candidates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == {(i, texts[i].rindex(v), n, v) for i, (n, v) in enumerate(want.values())}
+    found = secrets.scan(spark.createDataFrame([(1, f"x\n{key}\ny"), (2, "Authorization: Bearer abcDEFghiJKLmnopQRS")], "doc_id long, text string"), secrets.train(spark)).collect()
+    assert [r.doc_id for r in found if r.secret and r.value == key] == [1]
+
+
+def test_forest_expression_is_the_plain_walk(spark):
+    model = secrets.train(spark)
+    docs = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(secrets.labelled_findings(300, seed=5))], "doc_id long, text string, path string")
+    rows = secrets.features(secrets.candidates(docs, path=docs["path"])).withColumn("score", model.expression(F.col("x"))).select("x", "score").collect()
+    assert len(rows) > 200 and np.allclose([r.score for r in rows], model.predict(np.array([r.x for r in rows])), atol=6e-7)  # scores have six places
