@@ -154,10 +154,34 @@ WITH v AS (
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
 QUALIFY rank <= 5
+""",
+    "op12_periodic_runs": r"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(1, 9)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tbl FROM (SELECT unnest(range(0, 256)) AS i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (
+  SELECT rid, doc_id, w, len(w) AS n,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(tbl[xor(c, b) % 256 + 1], c // 256))) AS h
+  FROM d, tab
+), a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n END AS a FROM c),
+x AS (
+  SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // (3 + h // 10 % 8)) + 1])) END AS w FROM a
+), per AS (
+  SELECT rid, n, w, unnest(list_filter(range(1, n // 4 + 1), lambda p: len(list_filter(range(0, (n - 1) // p - 2),
+    lambda j: w[j * p + 1] = w[(j + 1) * p + 1] AND w[(j + 1) * p + 1] = w[(j + 2) * p + 1] AND w[(j + 2) * p + 1] = w[(j + 3) * p + 1])) > 0)) AS p FROM x
+), same AS (SELECT rid, p, unnest(list_filter(range(0, n - p), lambda i: w[i + 1] = w[i + p + 1])) AS i FROM per),
+isl AS (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS g FROM same),
+cand AS (SELECT rid, p, min(i) AS s, count(*) + p AS len FROM isl GROUP BY rid, p, g HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT rid, s, len, min(p) AS p FROM cand GROUP BY ALL),
+g AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS runs, first({'s': s, 'l': len, 'p': p} ORDER BY len DESC, s, p) AS top FROM r GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + p, s + len)) AS i FROM r),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS t FROM (SELECT rid, unnest(w) AS w, unnest(range(0, n)) AS i FROM x) ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.p AS period, 1000 * top.l // top.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM x LEFT JOIN g USING (rid) LEFT JOIN kept USING (rid)
 """,
     "op13_collocations": rf"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM t),
 totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
 g AS (
