@@ -208,12 +208,23 @@ def time_clauses(docs: DataFrame, id_: str, text: str) -> DataFrame:
     get = lambda c, pattern, i: F.regexp_extract(c, f"^(?:{pattern})$", i)
     name = lambda x: F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), "^[Tt]he ", "")
 
-    def read(c: Column) -> Column:
-        how, side, unit, kind = (get(c, ORDERED, i) for i in (2, 8, 7, 6))
+    def parts(c: Column) -> Column:
+        """What the patterns give, each once: a lambda reads a pattern again wherever its value is used."""
+        side = get(c, ORDERED, 8)
         n = F.coalesce(get(c, ORDERED, 4).try_cast("int"), get(c, ORDERED, 5).try_cast("int"))
-        said = A.cardinal(F.nullif(get(c, ORDERED, 3), F.lit("")))
-        least, most = (n * F.element_at(F.create_map(*[F.lit(v) for u, d in UNIT_DAYS.items() for v in (u, d[i])]), F.nullif(unit, F.lit(""))) for i in (0, 1))
-        side = F.when(side == "prior to", "before").when(side == "following", "after").otherwise(side)
+        day = F.unix_date(F.to_date(X.unambiguous_date(F.nullif(get(c, DATED, 2), F.lit("")))))
+        return F.struct(
+            get(c, ORDERED, 2).alias("how"), F.when(side == "prior to", "before").when(side == "following", "after").otherwise(side).alias("side"), get(c, ORDERED, 7).alias("unit"), get(c, ORDERED, 6).alias("kind"), n.alias("n"),
+            F.nullif(get(c, ORDERED, 3), F.lit("")).alias("said"), get(c, ORDERED, 1).alias("a"), get(c, ORDERED, 9).alias("b"), get(c, DATED, 1).alias("of"), day.alias("day"),
+        )
+
+    def sums(p: Column) -> Column:
+        ends = [F.element_at(F.create_map(*[F.lit(v) for u, d in UNIT_DAYS.items() for v in (u, d[i])]), F.nullif(p["unit"], F.lit(""))) for i in (0, 1)]
+        return F.struct(p.alias("p"), (p["n"] * ends[0]).alias("least"), (p["n"] * ends[1]).alias("most"), A.cardinal(p["said"]).alias("said"))
+
+    def read(x: Column) -> Column:
+        p, least, most, said = x["p"], x["least"], x["most"], x["said"]
+        how, side, kind, n, day, dated = p["how"], p["side"], p["kind"], p["n"], p["day"], p["of"] != ""
         plain, none = (how == "") & n.isNull(), F.lit(None).cast("int")
         counted = lambda h, v: n.isNotNull() & (how == h) & (side == v)
         low = (
@@ -224,15 +235,13 @@ def time_clauses(docs: DataFrame, id_: str, text: str) -> DataFrame:
             F.when(plain & (side == "before"), -1).when(plain & side.isin("on or before", "no later than"), 0).when(counted("", "before"), -least).when(counted("", "after"), most).when(counted("", "of") | counted("within", "of"), most)
             .when(counted("at least", "before"), -least).when(counted("no later than", "after") | counted("within", "after"), most).otherwise(none)
         )
-        dated = c.rlike(f"^(?:{DATED})$")
-        day = F.unix_date(F.to_date(X.unambiguous_date(get(c, DATED, 2))))
         return F.struct(
-            name(F.when(dated, get(c, DATED, 1)).otherwise(get(c, ORDERED, 1))).alias("a"), F.when(~dated, name(get(c, ORDERED, 9))).alias("b"), F.when(dated, day).otherwise(low).cast("int").alias("low"), F.when(dated, day).otherwise(high).cast("int").alias("high"),
+            name(F.when(dated, p["of"]).otherwise(p["a"])).alias("a"), F.when(~dated, name(p["b"])).alias("b"), F.when(dated, day).otherwise(low).cast("int").alias("low"), F.when(dated, day).otherwise(high).cast("int").alias("high"),
             (~dated & kind.isin("business", "working", "court")).alias("business"), F.coalesce(~dated & (said != n), F.lit(False)).alias("clash"), (dated & day.isNull()).alias("undated"),
         )
 
     some = docs.where(F.col(text).rlike(r"\b(?:before|after|prior to|following|of|later|earlier)\b") & flat.rlike(ORDERED))
-    return some.select(id_, F.transform(X.matches(flat, f"{DATED}|{ORDERED}"), read).alias("clauses"))
+    return some.select(id_, F.transform(F.transform(F.transform(X.matches(flat, f"{DATED}|{ORDERED}"), parts), sums), read).alias("clauses"))
 
 
 def negative_cycles(u: np.ndarray, v: np.ndarray, w: np.ndarray, clause: np.ndarray, n: int) -> list[np.ndarray]:
