@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html import unescape
 
 import pytest
@@ -93,6 +94,28 @@ def test_all_pages_of_the_table(spark):
         assert got[r.page_id].text == text and got[r.page_id].n_chars == len(text)
 
 
+@pytest.mark.parametrize("block", ['<p class="alert">Warning of frost.</p>', '<p id="notice">Notice period.</p>', '<h2 id="search">Search</h2>', '<h2 class="header">Head</h2>'])
+def test_blocks_of_an_article_name_their_own_text(block):
+    inner = re.sub("<[^>]+>", "", block)
+    assert html.main_text(f"<article><p>{LONG}</p>{block}<p>{LONG}</p></article>") == f"{LONG.strip()}\n{inner}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("wrap", ["<ul>{}</ul>", "<div>{}</div>", "<section><div>{}</div></section>"])
+def test_link_blocks_without_class_words_go_by_the_ratio(monkeypatch, wrap):
+    links = "".join(f'<li><a href="/{i}">River stone</a>' if "ul" in wrap else f'<div><a href="/{i}">River stone</a></div>' for i in range(8))
+    source = f"<article><h1>T</h1><p>{LONG}</p>{wrap.format(links)}<p>{LONG}</p><ul><li>One.<li>Two <a href='/'>x</a> and more.</ul></article>"
+    assert html.main_text(source) == f"T\n{LONG.strip()}\n{LONG.strip()}\nOne.\nTwo x and more."
+    monkeypatch.setattr(html, "content_lines", lambda lines: [True] * len(lines))
+    assert html.main_text(source).count("River stone") == 8
+
+
+@pytest.mark.parametrize("part", ["<div>some words here", '<div class="ad">some words', "<ul><li><ul><div><li>x</li>", "<div><h1>a</h1>", "<div>x</section>"])
+def test_deep_pages_take_linear_time(part):
+    start = time.perf_counter()
+    html.main_text(part * 40_000)
+    assert time.perf_counter() - start < 15
+
+
 def test_null_rows_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "<p>a</p>", "y"), (1, "<p>a</p>", "y")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html.extract(df).collect()) == [(1, "", 0), (1, "a", 1), (1, "a", 1)]
