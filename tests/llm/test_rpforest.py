@@ -46,17 +46,57 @@ def test_recall_on_the_whole_table(spark, monkeypatch, shard_rows):
     assert hit / total >= 0.9
 
 
-def test_share_reranked():
-    x = np.random.default_rng(1).standard_normal((8192, 64))
-    forest = rpforest.Forest(np.arange(8192), x, 20)
-    hit, seen = 0, 0
-    for q in range(0, 8192, 160):
-        ids, _, reranked = forest.search(q, x[q], 20, rpforest.SHARE)
+def measured(x, step=160, **how):
+    """Recall, and the mean share of the rows that the opened leaves held, each of which was reranked."""
+    forest = rpforest.Forest(np.arange(len(x)), x, 20)
+    hit = seen = n = 0
+    for q in range(0, len(x), step):
+        ids, score, reranked = forest.search(q, x[q], 20, **how)
         s = (x * x[q]).sum(1)
         s[q] = -np.inf
-        hit, seen = hit + len(set(ids) & set(np.argsort(-s)[:20])), seen + reranked
-        assert len(set(forest.leaves_near(x[q], 512))) == 512
-    assert hit >= 0.9 * 20 * 52 and seen / 52 < 0.2 * 8192
+        assert (score == s[ids]).all()
+        hit, seen, n = hit + len(set(ids) & set(np.argsort(-s)[:20])), seen + reranked, n + 1
+    return hit / (20 * n), seen / n / len(x)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("unit", [True, False])
+def test_random_vectors_open_part_of_the_leaves(unit, seed):
+    x = np.random.default_rng(seed).standard_normal((8192, 64))
+    recall, share = measured(x / np.linalg.norm(x, axis=1)[:, None] if unit else x)
+    assert recall >= 0.9 and share < 0.75
+
+
+def test_clustered_vectors_open_few_leaves():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((200, 64))[r.integers(0, 200, 8192)] + 0.1 * r.standard_normal((8192, 64))
+    recall, share = measured(x / np.linalg.norm(x, axis=1)[:, None])
+    assert recall >= 0.95 and share < 0.3
+
+
+def test_every_candidate_of_an_opened_leaf_is_reranked():
+    x = np.random.default_rng(4).standard_normal((3000, 16))
+    forest = rpforest.Forest(np.arange(3000), x, 20)
+    q = np.append(x[7] / np.linalg.norm(x[7]), 0.0)
+    rows, near = forest.candidates(q, 20, 0.25)
+    held, limit = set(), sorted(near)[-21]
+    for cost, leaf in forest.leaves_near(q):
+        if cost > 0.25 * (2 - 2 * limit) / 16:
+            break
+        held |= set(forest.leaves[leaf].tolist()) - {3000}
+    assert held <= set(rows.tolist()) and len(rows) == len(set(rows.tolist()))
+    costs = [c for c, _ in forest.leaves_near(q)]
+    assert costs == sorted(costs) and len(costs) == 16 * 2**forest.depth
+    assert measured(x, reach=float("inf")) == (1.0, 1.0)
+
+
+def test_lengths_of_vectors_from_tiny_to_huge():
+    r = np.random.default_rng(5)
+    x = r.standard_normal((500, 8)) * 10.0 ** r.integers(-150, 150, (500, 1))
+    forest = rpforest.Forest(np.arange(500), x, 20)
+    for q in range(0, 500, 25):
+        ids, score, _ = forest.search(q, x[q], 20)
+        assert len(set(ids)) == 20 and np.isfinite(score).all() and (np.diff(score) <= 0).all()
 
 
 def test_odd_vectors_ties_and_repeats(spark, monkeypatch):
