@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from difflib import SequenceMatcher
@@ -46,10 +47,22 @@ def repair_quote(quote: str, source: str) -> str | None:
         return source[got[0] : got[1]]
     s, at = match_form(source)
     q, _ = match_form(quote)
-    m = SequenceMatcher(None, q, s, autojunk=False).find_longest_match()
-    if m.size and m.size >= 0.95 * len(q) and m.size >= min(40, len(q)):
-        return source[at[m.b] : at[m.b + m.size - 1] + 1]
-    return None
+    least = max(math.ceil(0.95 * len(q)), min(40, len(q)))
+    if not q:
+        return None
+    # Any common run of that length holds the middle of the quote, so the source is only searched for that.
+    lo, hi = len(q) - least, least
+    size, start = 0, 0
+    i = s.find(q[lo:hi])
+    while i >= 0:
+        a, b = lo, hi
+        while a > 0 and i - (lo - a) > 0 and q[a - 1] == s[i - (lo - a) - 1]:
+            a -= 1
+        while b < len(q) and i + b - lo < len(s) and q[b] == s[i + b - lo]:
+            b += 1
+        size, _, start = max((size, -len(q), start), (b - a, -a, i - (lo - a)), key=lambda x: x[:2])
+        i = s.find(q[lo:hi], i + 1)
+    return source[at[start] : at[start + size - 1] + 1] if size >= least else None
 
 
 def quote_segments(quote: str, source: str) -> list[tuple[str, str]]:

@@ -13,8 +13,9 @@ from attestlake.functions import text as X
 from attestlake.operators.lineage import spread
 from attestlake.operators.relational import exploded
 
-#: Words of the key that a claim and its sources share, and the largest set of texts that is broadcast (about 100 MB).
-WINDOW, MOST_NEEDLES = 4, 200_000
+#: Words of the key that a claim and its sources share, characters of the key of a needle without inner words, and the
+#: largest set of texts that is broadcast.
+WINDOW, GRAM, MOST_NEEDLES, MOST_BYTES = 4, 4, 200_000, 50_000_000
 
 
 def normal(text: str | Column) -> Column:
@@ -33,14 +34,15 @@ def claims_of(drafts: DataFrame, id_: str, text: str) -> DataFrame:
 def _held(own: DataFrame, src: DataFrame, whole_words: bool) -> DataFrame:
     """src's columns but body, with each needle of own (needle, n, head: n of its words) that body holds, once a row of src.
 
-    Needles are few as a rule: a counted set of at most MOST_NEEDLES is broadcast by head, the windows of a text are
+    Needles are few as a rule: a counted set of at most MOST_NEEDLES, with at most MOST_BYTES, is broadcast by head, the windows of a text are
     looked up where it is read, and only hits leave the task. A larger set meets the hashed windows in a join; the text
     is met again by candidates only.
     """
     keep = [c for c in src.columns if c != "body"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "body")
     lengths = sorted(r.n for r in own.select("n").distinct().collect())  # at most WINDOW values
-    if own.count() <= MOST_NEEDLES:
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("needle") + F.octet_length("head")), F.lit(0)).alias("bytes")).first()
+    if size.n <= MOST_NEEDLES and size.bytes <= MOST_BYTES:
         heads: dict[str, list[str]] = {}
         for r in own.collect():
             heads.setdefault(r.head, []).append(r.needle)
@@ -75,6 +77,35 @@ def _held(own: DataFrame, src: DataFrame, whole_words: bool) -> DataFrame:
     return src.join(pairs, "of").where(F.concat(edge, "body", edge).contains(F.concat(edge, "needle", edge))).select(*keep, "needle")
 
 
+def gram_rows(bodies: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """keep, key: the distinct substrings of these lengths inside the words of each body (column body); length 0 gives one empty key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
+                words = set(text.split(" "))
+                keys = list({w[k : k + n] for w in words for n in lengths for k in range(len(w) - n + 1)})
+                at = pa.array([i] * len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(keep)]), pa.array(keys, pa.string())], [*keep, "key"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in bodies.select(*keep).schema.fields)
+    return bodies.select(*keep, F.coalesce("body", F.lit("")).alias("body")).mapInArrow(run, f"{kinds}key string")
+
+
+def _held_short(own: DataFrame, src: DataFrame) -> DataFrame:
+    """As _held, for needles that have no word between their first and last: their first word lies inside a word of each
+    body that holds them, so the GRAM characters it begins with are the key, and the text is met again by candidates only."""
+    first = F.filter(F.split("needle", " "), lambda w: w != "")
+    own = own.select("needle", F.coalesce(F.substring(F.try_element_at(first, F.lit(1)), 1, GRAM), F.lit("")).alias("key"))
+    keep = [c for c in src.columns if c != "body"]
+    lengths = sorted(r.n for r in own.select(F.length("key").alias("n")).distinct().collect())  # at most GRAM + 1 values
+    if not lengths:
+        return src.where("false").select(*keep, F.lit("").alias("needle"))
+    src = src.withColumn("of", F.xxhash64("body"))
+    pairs = gram_rows(src.select("of", "body").distinct(), lengths, "of").join(own, "key").select("of", "needle").distinct()
+    return src.join(pairs, "of").where(F.contains("body", "needle")).select(*keep, "needle")
+
+
 def found_verbatim(claims: DataFrame, sources: DataFrame, claim: str, text: str, source_id: str) -> DataFrame:
     """Claim texts and the number of sources that hold them whole, at word boundaries; equal claims are looked up once."""
     w = F.split("needle", " ")
@@ -89,15 +120,14 @@ def containment(needles: DataFrame, sources: DataFrame, needle: str, body: str)
 
     Both texts come normalized, with one space between words. The first and last word of a needle may be parts of
     words, so it is looked up by the WINDOW words after its first (those before its last, if fewer); needles of one or
-    two words, and empty ones, are compared with all sources.
+    two words by the characters that their first word begins with. The empty needle is in every source.
     """
     keep = [c for c in sources.columns if c != body]
     words = F.split("needle", " ")
     own = needles.select(F.col(needle).alias("needle")).where("needle IS NOT NULL").distinct().withColumn("n", F.least(F.size(words) - 2, F.lit(WINDOW)))
     src = sources.select(*keep, F.coalesce(F.col(body), F.lit("")).alias("body"))
     held = _held(own.where("n > 0").withColumn("head", F.array_join(F.slice(words, F.lit(2), F.col("n")), " ")), src, False)
-    short = src.join(own.where("n <= 0").select("needle"), F.contains("body", "needle")).select(*keep, "needle")
-    return held.unionByName(short).withColumnRenamed("needle", needle)
+    return held.unionByName(_held_short(own.where("n <= 0"), src)).withColumnRenamed("needle", needle)
 
 
 def fold_states(claims: DataFrame, id_: str, state: str) -> DataFrame:

@@ -12,6 +12,23 @@ from pyspark.sql.window import Window
 
 #: Rows and queries that a task holds against each other.
 ROWS, QUERIES = 65_536, 4_096
+#: Queries of one matrix product (32 MB of squares for ROWS rows).
+STEP = 64
+
+
+def close(x: np.ndarray, asked: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each row of asked the rows of x that can be among its k nearest: one matrix product for STEP rows at a time,
+    and all rows within its rounding error of the kth. Where lengths overflow that is every row."""
+    norms, length = (x * x).sum(1), (asked * asked).sum(1)
+    for a in range(0, len(asked), STEP):
+        with np.errstate(all="ignore"):
+            squares = norms - 2 * (asked[a : a + STEP] @ x.T) + length[a : a + STEP, None]
+        for d, own in zip(squares, length[a : a + STEP], strict=True):
+            slack = 1e-12 * x.shape[1] * (norms.max() + own)
+            if len(d) <= k or not np.isfinite(d).all() or not np.isfinite(slack):
+                yield np.arange(len(d))
+            else:
+                yield np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + slack)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, rows_per_task: int = ROWS, queries_per_task: int = QUERIES) -> DataFrame:
@@ -48,14 +65,13 @@ def nearest(rows: DataFrame, queries: DataFrame, id_: str, vector: str, k: int,
                         continue
                     if ids is None and held:
                         ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                    for q, y in zip(key[at], m, strict=True) if held else ():
-                        dist = np.sqrt(((x - y) ** 2).sum(1))
-                        dist[ids == q] = np.inf
-                        best = np.argpartition(dist, min(k, len(dist) - 1))[: k + 1]
-                        best = np.flatnonzero(dist <= dist[best].max())
-                        best = best[np.lexsort((ids[best], dist[best]))][:k]
-                        best = best[np.isfinite(dist[best])]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(ids[best]), pa.array(dist[best])], ["query_id", "id", "distance"])
+                    for q, y, rows in zip(key[at], m, close(x, m, k + 1), strict=True) if held else ():
+                        rows = rows[ids[rows] != q]
+                        dist = np.sqrt(((x[rows] - y) ** 2).sum(1))
+                        order = np.lexsort((ids[rows], dist))[:k]
+                        order = order[np.isfinite(dist[order])]
+                        best, dist = rows[order], dist[order]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(ids[best]), pa.array(dist)], ["query_id", "id", "distance"])
 
     found = dealt.mapInArrow(run, "query_id long, id long, distance double")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
 from attestlake.kernel.sentences import quote_segments, repair_quote
-from attestlake.operators.attest import normal
+from attestlake.operators.attest import GRAM, gram_rows, normal
 from attestlake.operators.lineage import spread
 from attestlake.operators.relational import exploded
 
@@ -225,12 +225,20 @@ def quote_states(claims: DataFrame, sources: DataFrame, scope: str) -> DataFrame
     q = claims.select(scope, "claim_id", F.explode(F.array_distinct(X.quoted_spans(normal("claim")))).alias("quote")).withColumn("phrases", X.quote_phrases("quote")).where("size(phrases) > 0")
     bodies = sources.select(scope, "source_id", normal("text").alias("body"))
     # A word inside a phrase, between spaces, is a whole word of any source that holds the phrase: the longest one is the
-    # key they meet by. Phrases of one or two words have none and are compared with all sources of their scope.
+    # key they meet by. Phrases of one or two words have none: the last of two words begins a word of the source, and one
+    # word lies inside one; what follows its first letter, which stands in either case, is the key.
     words = F.split("phrase", " ")
     inner = F.transform(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     ph = q.select(scope, "claim_id", "quote", F.size("phrases").alias("n"), F.posexplode("phrases").alias("i", "phrase")).withColumn("key", F.array_max(inner)["w"])
     has = exploded(bodies, F.array_distinct(F.split("body", " ")), "key", scope, "source_id").join(ph.where("key IS NOT NULL").select(scope, "key").distinct(), [scope, "key"], "left_semi")
-    met = ph.join(has, [scope, "key"]).drop("key").unionByName(ph.where("key IS NULL").drop("key").join(bodies.select(scope, "source_id"), scope))
+    said = F.filter(words, lambda w: w != "")
+    gram = F.when(F.size(said) > 1, F.substring(F.element_at(said, -1), 1, GRAM)).otherwise(F.substring(F.try_element_at(said, F.lit(1)), 2, GRAM))
+    short = ph.where("key IS NULL").withColumn("key", F.coalesce(gram, F.lit("")))
+    lengths = sorted(r.n for r in short.select(F.length("key").alias("n")).distinct().collect())  # at most GRAM + 1 values
+    met = ph.join(has, [scope, "key"]).drop("key")
+    if lengths:
+        inside = gram_rows(bodies, lengths, scope, "source_id").join(short.select(scope, "key").distinct(), [scope, "key"], "left_semi")
+        met = met.unionByName(short.join(inside, [scope, "key"]).drop("key"))
     held = met.join(bodies, [scope, "source_id"]).where(F.exists(X.first_letter_variants(F.col("phrase")), lambda v: F.contains(F.col("body"), v)))
     whole = held.groupBy(scope, "claim_id", "quote", "n", "source_id").agg(F.countDistinct("i").alias("k")).groupBy(scope, "claim_id", "quote").agg(F.max(F.col("k") == F.col("n")).alias("all"))
     found = held.groupBy(scope, "claim_id", "quote").agg(F.countDistinct("i").alias("found"))
