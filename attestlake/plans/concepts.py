@@ -27,6 +27,23 @@ def I3_element_chunks(s, d):
     return C.element_chunks(S.text_elements(_markdown(s, d), "doc_id", "md"), "doc_id")
 
 
+@q(f"""
+WITH {_BLOCKS.format(_MD)}, p AS (SELECT *, CASE WHEN place % 5 <> 0 THEN CAST(place // 20 + 1 AS INT) END AS page, CASE WHEN place % 3 = 0 THEN 'S' || CAST(place // 50 AS BIGINT) END AS sheet FROM k),
+a AS (SELECT *, last_value(page IGNORE NULLS) OVER o AS at_page, last_value(sheet IGNORE NULLS) OVER o AS at_sheet, last_value(CASE WHEN kind <> 'body' THEN value END IGNORE NULLS) OVER o AS section FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT *, kind <> 'body' OR coalesce(page <> lag(at_page) OVER o, false) OR coalesce(sheet <> lag(at_sheet) OVER o, false) AS opens FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+e AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS seg FROM n),
+g AS (SELECT doc_id, seg, arg_min(section, place) AS section, list({{'open': length(value), 'l': [{{'first': CAST(place AS INT), 'elements': 1, 'size': length(value), 'page': at_page, 'sheet': at_sheet}}]}} ORDER BY place) AS l FROM e GROUP BY 1, 2),
+c AS (SELECT doc_id, section, list_reduce(l, lambda a, b: CASE WHEN a.open + b.open + 2 > 1200 THEN {{'open': b.open, 'l': list_concat(a.l, b.l)}}
+  ELSE {{'open': a.open + b.open + 2, 'l': list_concat(a.l[:-2], [{{'first': a.l[-1].first, 'elements': a.l[-1].elements + 1, 'size': a.open + b.open + 2, 'page': b.l[1].page, 'sheet': b.l[1].sheet}}])}} END).l AS l FROM g)
+SELECT doc_id, substr(coalesce(section, 'Overview'), 1, 180) AS section, x.first AS first, x.elements AS elements, x.size AS size, x.page AS page, x.sheet AS sheet FROM (SELECT doc_id, section, unnest(l) AS x FROM c)
+""")
+def I3_pages_and_sheets(s, d):
+    # twenty blocks are a page, fifty a sheet; some blocks know neither
+    e = S.text_elements(_markdown(s, d), "doc_id", "md")
+    page, sheet = F.when(F.col("place") % 5 != 0, F.floor(F.col("place") / 20).cast("int") + 1), F.when(F.col("place") % 3 == 0, F.concat(F.lit("S"), F.floor(F.col("place") / 50)))
+    return C.element_chunks(e.withColumn("page", page).withColumn("sheet", sheet), "doc_id")
+
+
 # every third line of a document is a heading, one to three deep in turn
 _NODES = """
 n AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS place, trim(unnest(l)) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
@@ -81,6 +98,34 @@ def I9_concept_phrases(s, d):
     return C.concepts(sentences(s, d), "doc_id")
 
 
+_VERBS, _BOTH = "['" + "', '".join(C.VERBS) + "']", "['" + "', '".join(C.STOP + C.VERBS) + "']"
+_LABEL = "array_to_string(list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda v: NOT list_contains(" + _STOP + ", v)), ' ')"
+_MINED = f"""
+v AS (SELECT doc_id, pos, w, list_min(list_filter(range(1, len(w) + 1), lambda i: list_contains({_VERBS}, w[i]))) AS v FROM w),
+z AS (SELECT doc_id, pos, list_filter(w[1:v - 1], lambda x: NOT list_contains({_STOP}, x)) AS before, w[v + 1:] AS after FROM v WHERE v IS NOT NULL),
+y AS (SELECT *, list_min(list_filter(range(1, len(after) + 1), lambda i: NOT list_contains({_BOTH}, after[i]))) AS a FROM z),
+o AS (SELECT *, coalesce(list_min(list_filter(range(1, len(after) + 1), lambda i: i > a AND list_contains({_BOTH}, after[i]))), len(after) + 1) AS b FROM y),
+cl AS (SELECT doc_id, array_to_string(before[greatest(len(before) - 2, 1):], ' ') AS label, {C.SUBJECT} AS bonus FROM o UNION ALL SELECT doc_id, array_to_string(after[a:least(b, a + 3) - 1], ' '), {C.OBJECT} FROM o WHERE a IS NOT NULL),
+sd AS (SELECT doc_id, label, count(*) AS n, sum(bonus) AS bonus FROM cl WHERE length(label) BETWEEN 4 AND 60 GROUP BY 1, 2),
+hd AS (SELECT DISTINCT doc_id, {_LABEL.format('h')} AS label FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS h FROM documents) WHERE len(string_split(h, ' ')) <= 8 AND NOT regexp_matches(h, '[.!?:;,]$')),
+nm AS (SELECT DISTINCT doc_id, {_LABEL.format("replace(source || '_' || lang, '_', ' ')")} AS label FROM documents),
+al AS (SELECT doc_id, label, CAST(round(score * 10) AS BIGINT) AS p, 0 AS h, 0 AS n, 0 AS bonus, 0 AS named FROM phrases UNION ALL SELECT doc_id, label, 0, 0, n, bonus, 0 FROM sd
+  UNION ALL SELECT doc_id, label, 0, 1, 0, 0, 0 FROM hd WHERE length(label) BETWEEN 4 AND 60 UNION ALL SELECT doc_id, label, 0, 0, 0, 0, {C.NAMED} FROM nm WHERE length(label) BETWEEN 4 AND 60),
+am AS (SELECT doc_id, label, sum(p) AS p, max(h) AS h, sum(n) AS n, sum(bonus) AS bonus, sum(named) AS named FROM al GROUP BY 1, 2),
+aw AS (SELECT doc_id, label, sum(c) AS c FROM (SELECT doc_id, label, unnest(string_split(label, ' ')) AS word FROM am) JOIN f USING (doc_id, word) GROUP BY 1, 2),
+av AS (SELECT doc_id, label, h, p + bonus + n * c * 10 + h * (c * 10 + {C.HEADING}) + named AS tenths FROM am JOIN aw USING (doc_id, label)),
+ao AS (SELECT *, -row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, tenths DESC, label) AS score FROM av),
+ap AS (SELECT doc_id, generate_subscripts(l, 1) AS rank, unnest(l) AS label FROM (SELECT doc_id, {greedy('label')} AS l FROM ao GROUP BY 1))"""
+
+
+@q(f"WITH {_SENTS}, {_PHRASES}, {_MINED} SELECT doc_id, rank, label, CAST(tenths / 10 AS DOUBLE) AS score, h = 1 AS heading FROM ap JOIN av USING (doc_id, label)")
+def I9_mined_concepts(s, d):
+    docs = t(s, d, "documents")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("heading")).withColumn("heading", F.trim("heading"))
+    lines = lines.where((F.size(F.split("heading", " ")) <= 8) & ~F.col("heading").rlike("[.!?:;,]$"))
+    return C.mined(sentences(s, d), lines, docs.select("doc_id", F.concat("source", F.lit("_"), "lang", F.lit(".txt")).alias("name")), "doc_id")
+
+
 _RELEVANT = """
 lw AS (SELECT DISTINCT doc_id, label, unnest(regexp_extract_all(lower(label), '[a-z]{3,}')) AS word FROM chosen), sw AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(lower(s), '[a-z]{3,}')) AS word FROM sent),
 rel AS (SELECT doc_id, label, pos, s, overlap FROM (SELECT doc_id, label, pos, count(*) AS overlap FROM lw JOIN sw USING (doc_id, word) GROUP BY 1, 2, 3) JOIN sent USING (doc_id, pos))"""
