@@ -281,6 +281,38 @@ def F15_privacy_filter(s, d):
     return t(s, d, "customer").select("c_custkey", privacy_filter(props).alias("kept"))
 
 
+def typed_properties(props):
+    """F15, whole: as privacy_filter, but values keep their types: numbers that are finite, true, false, null, strings of up to 120
+    without the space around them. Lists and objects go, broken JSON and what isn't an object give {}. Names come in order."""
+    # Several objects of one text or a name that comes twice are no JSON object here: none of it is recorded.
+    entries = F.map_entries(F.try_parse_json(F.when(F.trim(props).startswith("{"), props)).cast("map<string,variant>"))
+    kind = lambda e: F.schema_of_variant(e["value"])
+    said = lambda e: F.trim(F.try_variant_get(e["value"], "$", "string"))
+    number = lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "double"), F.lit(0.0))
+
+    def stays(e):
+        value = F.when(kind(e) == "STRING", F.length(said(e)) <= 120).when(kind(e).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.abs(number(e)) < float("inf")).otherwise(kind(e).isin("BOOLEAN", "VOID"))
+        return e["key"].rlike("^[a-z][a-z0-9_]{0,63}$") & ~e["key"].rlike("|".join(DENIED)) & value
+
+    kept = F.transform(F.filter(entries, stays), lambda e: F.struct(e["key"].alias("key"), F.when(kind(e) == "STRING", said(e).cast("variant")).otherwise(e["value"]).alias("value")))
+    out = F.to_json(F.map_from_entries(kept))
+    return F.coalesce(F.when(F.octet_length(out) <= 4000, out), F.lit("{}"))
+
+
+@q("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 9 THEN '{}' ELSE '{"count":' || o_orderkey || ',"gone":null,"late":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || CASE WHEN o_orderkey % 3 = 0 THEN ',"ratio":0.5' ELSE '' END
+  || ',"state":"' || o_orderstatus || '"}' END AS kept FROM orders
+""")
+def F15_typed_properties(s, d):
+    # lists, objects, numbers beyond doubles, names that are denied or not plain, and broken JSON among what every order sends
+    k = F.col("o_orderkey")
+    props = F.concat(
+        F.lit('{"state": " '), "o_orderstatus", F.lit(' ", "count": '), k.cast("string"), F.lit(', "late": '), (k % 2 == 0).cast("string"), F.lit(', "ratio": '), F.when(k % 3 == 0, "0.5").otherwise("1e999"),
+        F.lit(', "gone": null, "list": [1], "object": {"a": 1}, "email_sent": true, "Upper": 1, "long": "'), F.repeat("o_orderstatus", F.lit(121)), F.lit('"'), F.when(k % 10 == 9, "").otherwise("}"),
+    )
+    return t(s, d, "orders").select("o_orderkey", typed_properties(props).alias("kept"))
+
+
 LINES = "(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
