@@ -1,7 +1,7 @@
 """Small cases that queries over a part of the rows would miss."""
 
 from attestlake.operators import attest
-from attestlake.plans import tables, texts
+from attestlake.plans import tables, texts, verify
 
 
 def test_relevance_meets_every_item(spark):
@@ -47,3 +47,19 @@ def test_anchor_rows_hold_defined_terms_quantities_and_counts(spark):
     assert all(text[r.start : r.end] == r.text for r in rows)
     assert {(r.type, r.text) for r in rows} >= {("defined_term", "Cargo"), ("quantity", "20 kg"), ("count", "12,500"), ("money", "$30")}
     assert [r.start for r in rows if r.type == "defined_term"] == [text.index("Cargo"), text.rindex("Cargo")]
+
+
+def test_citations_meet_the_clusters_of_suppliers_and_parts(spark, tmp_path):
+    tables_of = {
+        "supplier": ([(2,), (42,), (43,), (2,), (None,)], "s_suppkey long"),
+        "part": ([(4,), (5,), (6,), (5,), (1234567,), (None,)], "p_partkey long"),
+        # orders that 3 divides cite no cluster by that
+        "lineitem": ([(1, 1, 2, 5), (1, 2, 43, 4), (3, 1, 2, 4), (3, 2, 2, 6), (4, 1, 82, 5), (4, 2, 42, 6), (6, 1, 3, 7), (7, 1, 43, 1234567)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long"),
+    }
+    for name, (rows, schema) in tables_of.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.l_orderkey, r.l_linenumber): (r.cite, r.known) for r in verify.QUERIES["V24_J22_citation_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {
+        (1, 1): ("2 F.3d 5", True), (1, 2): ("3 F.3d 4", True), (3, 1): ("2 F.3d 4", False), (3, 2): ("2 F.3d 6", True), (4, 1): ("2 F.3d 5", True),
+        (4, 2): ("2 F.3d 6", True), (6, 1): ("3 F.3d 7", False), (7, 1): ("3 F.3d 1234567", True),
+    }
