@@ -2,7 +2,8 @@
 
 Merges of one pre-token are taken from a priority queue over merge ranks: a bucket per rank holds the positions of
 its pairs, a three-level bitmap of 64-bit words tells the lowest rank that has a bucket (find first set), and the
-pre-token's parts form a doubly linked list. An entry whose pair has changed meanwhile is stale and is skipped, so a
+pre-token's parts form a doubly linked list. A pair is queued as soon as neither pair beside it would be merged before
+it: the lowest of all always is one of these. An entry whose pair has changed meanwhile is stale and is skipped, so a
 pre-token of n bytes costs O(n log n) however long it is. Ids of frequent pre-tokens are kept in a bounded table.
 
 Null text is the empty text: no tokens. Texts are encoded whole; special tokens don't exist, their strings are text.
@@ -21,7 +22,7 @@ import regex
 import re
 from pyspark.sql import DataFrame
 
-#: Ids of so many pre-tokens are kept; then the table starts anew.
+#: Ids of so many pre-tokens are kept, in two halves: a full half becomes the older one, what is met there moves to the new.
 CACHE_ENTRIES = 700_000
 #: Longer pre-tokens are not kept.
 CACHE_BYTES = 64
@@ -38,6 +39,8 @@ class RankQueue:
         self.blocks = [0] * ((n_ranks >> 12) + 1)
 
 
+#: More than any rank.
+NONE = 1 << 40
 #: 1 << i.
 BIT = [1 << i for i in range(64)]
 
@@ -75,7 +78,9 @@ class Codec(dict):
         super().__init__()
         self.ranks = ranks
         self.split = splitter(pattern)
+        self.older: dict[str, tuple[int, ...]] = {}
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.pair_ranks = [[ranks.get(bytes((a, b)), NONE) for b in range(256)] for a in range(256)]
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self.bytes_of[v] = k
@@ -89,60 +94,68 @@ class Codec(dict):
             return (known,)
         n = len(piece)
         get, words, blocks, top = ranks.get, self.queue.words, self.queue.blocks, 0
-        buckets: dict[int, list[int]] = {}
-        pair = [-1] * (n + 1)  # rank of the pair that starts here; -1: none, or merged away
+        first: dict[int, int] = {}  # the leftmost position of a bucket
+        more: dict[int, list[int]] = {}  # its other positions
+        rows = self.pair_ranks
+        pair = [rows[a][b] for a, b in zip(piece, piece[1:])]  # rank of the pair that starts here; NONE: none, or merged away
+        pair += (NONE, NONE)
         end = list(range(1, n + 2))  # part i spans piece[i:end[i]]
         left = list(range(-1, n))
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                if r in buckets:
-                    buckets[r].append(i)
+        # A pair waits until neither neighbour goes first; pair[-1] is NONE.
+        due = [(i, r) for i, r in enumerate(pair[:-1]) if pair[i - 1] > r <= pair[i + 1]]
+        while True:
+            for at, r in due:
+                if r in first:
+                    heappush(more.setdefault(r, []), max(at, first[r]))
+                    first[r] = min(at, first[r])
                 else:
-                    buckets[r] = [i]
+                    first[r] = at
                     w = r >> 6
                     words[w] |= BIT[r & 63]
                     blocks[w >> 6] |= BIT[w & 63]
                     top |= BIT[w >> 6]
-        while top:
+            if not top:
+                break
             b = (top & -top).bit_length() - 1
             x = blocks[b]
             w = (b << 6) + (x & -x).bit_length() - 1
-            x = words[w]
-            rank = (w << 6) + (x & -x).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
-            if not bucket:
-                del buckets[rank]
-                words[w] = x = x & (x - 1)
-                if not x:
-                    blocks[b] &= blocks[b] - 1
-                    if not blocks[b]:
+            y = words[w]
+            rank = (w << 6) + (y & -y).bit_length() - 1
+            i = first.pop(rank)
+            if rank in more:
+                first[rank] = heappop(more[rank])
+                if not more[rank]:
+                    del more[rank]
+            else:
+                words[w] = y = y & (y - 1)
+                if not y:
+                    blocks[b] = x = x & (x - 1)
+                    if not x:
                         top &= top - 1
+            due = []
             if pair[i] != rank:
                 continue  # stale
             mid = end[i]
             end[i] = stop = end[mid]
-            pair[mid] = -1
-            changed = ((i, get(piece[i : end[stop]]) if stop < n else None),)
+            gone, pair[mid] = pair[mid], NONE
+            new = after = NONE
             if stop < n:
                 left[stop] = i
+                new, after = get(piece[i : end[stop]], NONE), pair[stop]
+                if gone <= after < new and after <= pair[end[stop]]:
+                    due.append((stop, after))
+            pair[i] = new
             if (p := left[i]) >= 0:
-                changed += ((p, get(piece[p:stop])),)
-            for at, r in changed:
-                if r is None:
-                    pair[at] = -1
-                    continue
-                pair[at] = r
-                if r in buckets:
-                    heappush(buckets[r], at)
-                else:
-                    buckets[r] = [at]
-                    w = r >> 6
-                    words[w] |= BIT[r & 63]
-                    blocks[w >> 6] |= BIT[w & 63]
-                    top |= BIT[w >> 6]
+                old, before = pair[p], pair[left[p]]
+                pair[p] = r = get(piece[p:stop], NONE)
+                if before > r <= new:
+                    due.append((p, r))
+                elif old < before <= r and before < pair[left[left[p]]]:
+                    due.append((left[p], before))
+                if r > new <= after:
+                    due.append((i, new))
+            elif NONE > new <= after:
+                due.append((i, new))
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
@@ -150,9 +163,12 @@ class Codec(dict):
         return tuple(out)
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        ids = self.merge(token.encode())
+        ids = self.older.get(token)
+        if ids is None:
+            ids = self.merge(token.encode())
         if len(token) <= CACHE_BYTES:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.older = dict(self)
                 self.clear()
             self[token] = ids
         return ids

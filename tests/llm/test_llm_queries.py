@@ -48,6 +48,23 @@ def test_bpe_hard_texts():
         assert c.decode(c.encode(text)) == text.encode()
 
 
+def test_bpe_queue_and_table(monkeypatch):
+    path = public_tokenizers.path(queries.TOKENIZER)
+    c = bpe.Codec(bpe.load_ranks(path), public_tokenizers.PATTERN)
+    pushed, merged, push, merge = [], [], bpe.heappush, c.merge
+    monkeypatch.setattr(bpe, "heappush", lambda h, x: (pushed.append(x), push(h, x)))
+    # of equal pairs in a row only the first waits
+    c.merge(b"z" * 1001)
+    assert len(pushed) < 100
+    # a frequent pre-token is merged once, however many rare ones pass
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 8)
+    monkeypatch.setattr(c, "merge", lambda piece: (merged.append(piece), merge(piece))[1])
+    for i in range(100):
+        assert c.decode(c.encode(f"zqxwvk rare{i}q")).decode() == f"zqxwvk rare{i}q"
+        assert len(c) + len(getattr(c, "older", ())) <= 8
+    assert merged.count(b"zqxwvk") == 1
+
+
 def test_neighbours_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, SF, "embeddings").collect()]
     rows = [(i, np.array(v, np.float64)) for i, v in rows if v and None not in v]
