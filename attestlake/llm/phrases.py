@@ -141,21 +141,27 @@ def pair_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 # ---- arrays, summed as a tree ----------------------------------------------------------------------------------------
 
 
-def as_tree(arrays: DataFrame, n_tasks: int, dtype: str, join: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
-    """block, part, data: what `join` makes of each block's arrays of all parts, FAN_IN at a time."""
+def as_tree(arrays: DataFrame, n_tasks: int, dtype: str, join: Callable[[list[np.ndarray]], np.ndarray], bits_from: int | None = None) -> DataFrame:
+    """block, part, data: what `join` makes of each block's arrays of all parts, FAN_IN at a time; of the last, bits for numbers of bits_from or more."""
 
-    def once(table: pa.Table) -> pa.Table:
-        whole = join([np.frombuffer(zlib.decompress(data), dtype) for data in table.column("data").to_pylist()])
-        return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "data": pa.array([packed(whole, dtype)])})
+    def once(as_bits: bool) -> Callable[[pa.Table], pa.Table]:
+        def joined(table: pa.Table) -> pa.Table:
+            whole = join([np.frombuffer(zlib.decompress(data), dtype) for data in table.column("data").to_pylist()])
+            data = packed(np.packbits(whole >= bits_from, bitorder="little"), "uint8") if as_bits else packed(whole, dtype)
+            return pa.table({"block": table.column("block")[:1], "part": table.column("part")[:1], "data": pa.array([data])})
 
-    while n_tasks > 1:
-        arrays = arrays.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "part").applyInArrow(once, arrays.schema)
+        return joined
+
+    while True:
         n_tasks = -(-n_tasks // FAN_IN)
-    return arrays
+        added = once(n_tasks == 1 and bits_from is not None)
+        arrays = arrays.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "part").applyInArrow(added, arrays.schema)
+        if n_tasks == 1:
+            return arrays
 
 
 def tree_sum(arrays: DataFrame, n_tasks: int, dtype: str, most: int | None = None) -> DataFrame:
-    """block, part, data: the sum of each block over all parts; sums stop at `most`."""
+    """block, part, data: the sum of each block over all parts; with `most`, the bits of the sums that reach it."""
 
     def add(some: list[np.ndarray]) -> np.ndarray:
         total = np.zeros(len(some[0]), np.int64)
@@ -163,7 +169,7 @@ def tree_sum(arrays: DataFrame, n_tasks: int, dtype: str, most: int | None = Non
             total += x
         return total if most is None else np.minimum(total, most)
 
-    return as_tree(arrays, n_tasks, dtype, add)
+    return as_tree(arrays, n_tasks, dtype, add, most)
 
 
 def packed(x: np.ndarray, dtype: str) -> bytes:
@@ -188,12 +194,12 @@ def blocks(counts: np.ndarray, dtype: str) -> Iterator[pa.RecordBatch]:
 ARRAYS = "block int, part int, data binary"
 
 
-def gathered(arrays: DataFrame, n: int, dtype: str) -> np.ndarray:
-    """The summed array of n numbers on the driver: at most MOST_CELLS bits or PART counts."""
-    out = np.zeros(n, dtype)
-    for block, _, data in arrays.toLocalIterator():
-        part = np.frombuffer(zlib.decompress(data), dtype)
-        out[block * BLOCK : block * BLOCK + len(part)] = part
+def gathered(arrays: DataFrame, n: int, dtype: str, block_size: int = BLOCK) -> np.ndarray:
+    """The array of n numbers on the driver, by one job for all blocks: at most MOST_CELLS bits or PART counts."""
+    out, got = np.zeros(n, dtype), arrays.select("block", "data").toArrow()
+    for block, data in zip(got.column("block").to_pylist(), got.column("data").to_pylist(), strict=True):
+        some = np.frombuffer(zlib.decompress(data), dtype)
+        out[block * block_size : block * block_size + len(some)] = some
     return out
 
 
@@ -202,7 +208,7 @@ def tasks(df: DataFrame) -> int:
 
 
 def full_cells(rows: DataFrame, read: Keys, cells: int, min_count: int) -> np.ndarray:
-    """Of the hashed cells, those that min_count or more keys fall into. Sums stop at min_count."""
+    """Of the hashed cells, those that min_count or more keys fall into, as bits. Sums stop at min_count."""
     dtype = "uint8" if min_count < 256 else "uint16" if min_count < 65536 else "int64"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,16 +219,16 @@ def full_cells(rows: DataFrame, read: Keys, cells: int, min_count: int) -> np.nd
             held[at] = np.minimum(held[at] + n, min_count)
         yield from blocks(held, dtype)
 
-    return gathered(tree_sum(rows.mapInArrow(count, ARRAYS), tasks(rows), dtype, min_count), cells, dtype) >= min_count
+    return gathered(tree_sum(rows.mapInArrow(count, ARRAYS), tasks(rows), dtype, min_count), cells // 8, "uint8", BLOCK // 8)
 
 
-def candidates(rows: DataFrame, read: Keys, full: np.ndarray, min_count: int) -> DataFrame:
-    """key: the distinct keys of full cells that some task has met often enough.
+def candidates(rows: DataFrame, read: Keys, bits: np.ndarray, min_count: int) -> DataFrame:
+    """key: the distinct keys of full cells (their bits are set) that some task has met often enough.
 
     A key that occurs min_count times in n tasks occurs min_count / n times, rounded up, in one of them at least; tasks leave
     out what they have met less often. Keys travel as sorted arrays in blocks by hash, united as a tree.
     """
-    bits, cells, n_tasks = np.packbits(full, bitorder="little"), len(full), tasks(rows)
+    cells, n_tasks = 8 * len(bits), tasks(rows)
     least = -(-min_count // n_tasks)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,6 +71,26 @@ def test_colliding_words_take_another_seed(spark):
     assert found(phrases.collocations(df, min_count=15, hashed=lambda lang, w, seed: 5 if seed == 0 and w in (b"new", b"york") else plain(lang, w, seed))) == brute(rows, 15)
 
 
+def test_jobs_do_not_grow_with_partitions(spark):
+    """Summed arrays come to the driver by one job, not by one after another for each shuffle partition."""
+    rows = texts(4, 60)
+    df, sc, jobs = spark.createDataFrame(rows, "lang string, text string").repartition(40), spark.sparkContext, []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (3, 23):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            sc.setJobGroup(f"phrases-{n}", "")
+            assert found(phrases.collocations(df, min_count=15, longest=3)) == brute(rows, 15, longest=3)
+            jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"phrases-{n}")))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs[0] > 0 and jobs[1] < jobs[0] + 20, jobs
+
+
 def test_empty(spark):
     df = spark.createDataFrame([("en", "a b c")], "lang string, text string")
     assert phrases.collocations(df).count() == 0 and phrases.collocations(df.where("false")).count() == 0
