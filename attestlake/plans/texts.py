@@ -170,8 +170,8 @@ def N1_N5_D1_money_percent_date(s, d):
 
 @q("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey * 1000 + 7 AS DOUBLE) END AS n FROM supplier")
 def N3_grouped_number(s, d):
-    k = F.col("s_suppkey").cast("string")
-    raw = F.when(F.col("s_suppkey") % 2 == 0, F.concat(k, F.lit(",007"))).otherwise(F.concat(k, F.lit(",7")))
+    k = F.col("s_suppkey")
+    raw = F.when(k % 2 == 0, F.format_number(k * 1000 + 7, 0)).otherwise(F.concat(k.cast("string"), F.lit(",7")))
     return t(s, d, "supplier").select("s_suppkey", X.grouped_number(raw).cast("double").alias("n"))
 
 
