@@ -37,7 +37,7 @@ SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(n AS DOUBLE) WHEN 1 THEN C
 def N9_table_cells(s, d):
     k = F.col("c_custkey")
     n = F.format_number(k + 1000, 0)
-    cell = F.when(k % 4 == 0, F.concat(F.lit("USD "), n)).when(k % 4 == 1, F.concat(F.lit("($"), n, F.lit(")"))).when(k % 4 == 2, F.concat(n, F.lit(" million"))).otherwise(F.concat(F.lit("1,2"), n))
+    cell = F.when(k % 4 == 0, F.concat(F.lit("USD "), n)).when(k % 4 == 1, F.concat(F.lit("($"), n, F.lit(")"))).when(k % 4 == 2, F.concat(n, F.lit(" million"))).otherwise(F.concat(n, F.lit(",2")))
     return t(s, d, "customer").select("c_custkey", detect.cell_figure(cell).cast("double").alias("value"))
 
 
