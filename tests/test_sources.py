@@ -58,6 +58,12 @@ def test_html_elements(spark):
     assert documents.html_elements(df.where("false"), "id", "html").count() == 0
 
 
+def test_references_without_a_semicolon():
+    page = "<h1>a &amp; b &#8364; &amp</h1><p>x&ampy &lt;&#38;&#38 &; & &unknown; &quot"
+    assert [e[1] for e in markup.elements(page, closed=True)] == ["a & b € &amp", "x&ampy <&&#38 &; & &unknown; &quot"]
+    assert [e[1] for e in markup.elements(page)] == ["a & b € &", 'x&y <&& &; & &unknown; "']
+
+
 def test_deep_markup_is_linear():
     assert len(markup.elements("<div>" * 40_000 + "<p>x")) == 1
     assert len(markup.elements("<p>x" * 40_000)) == 40_000
