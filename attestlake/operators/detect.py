@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from attestlake.functions import anchors as A
 from attestlake.functions import text as X
 from attestlake.operators import attest
-from attestlake.operators.lineage import spread
+from attestlake.operators.lineage import once_per_text
 from attestlake.operators.relational import exploded
 
 CONTRADICTED, REFUSED = "contradicted", "could_not_verify"
@@ -194,6 +194,8 @@ ORDERED = (
 )
 #: A clause that dates an event: name, date (without a year in the last form).
 DATED = rf"({NAME}) (?:is|are|falls|occurs|takes place|(?:shall|must|will) (?:be|occur|fall|take place))(?: (?:scheduled|set|due|held|made|filed|completed))?(?: (?:on|for))? (\d{{4}}-\d\d-\d\d|\d{{1,2}}/\d{{1,2}}/\d{{4}}|(?:{'|'.join(A.MONTHS)}) \d{{1,2}}(?:, \d{{4}})?)"
+#: A text without any of these orders no events.
+TIMED = r"\b(?:before|after|prior to|following|of|later|earlier)\b"
 #: Least and most days of a unit.
 UNIT_DAYS = {"day": (1, 1), "week": (7, 7), "month": (28, 31)}
 MOST_CYCLES, DAY_ZERO = 32, "(day zero)"
@@ -240,7 +242,7 @@ def time_clauses(docs: DataFrame, id_: str, text: str) -> DataFrame:
             (~dated & kind.isin("business", "working", "court")).alias("business"), F.coalesce(~dated & (said != n), F.lit(False)).alias("clash"), (dated & day.isNull()).alias("undated"),
         )
 
-    some = docs.where(F.col(text).rlike(r"\b(?:before|after|prior to|following|of|later|earlier)\b") & flat.rlike(ORDERED))
+    some = docs.where(F.col(text).rlike(TIMED) & flat.rlike(ORDERED))
     return some.select(id_, F.transform(F.transform(F.transform(X.matches(flat, f"{DATED}|{ORDERED}"), parts), sums), read).alias("clauses"))
 
 
@@ -292,8 +294,13 @@ def time_conflicts(docs: DataFrame, id_: str, text: str) -> DataFrame:
     length, dates being distances from one day. A cycle with business days is left open, as are dates that can't be read
     of events that are ordered elsewhere, and counts whose words and figures differ. The detail names the events.
 
-    A text's clauses are in one row and are relaxed there: no shuffle, no rounds of jobs.
+    A text's clauses are in one row and are relaxed there: no rounds of jobs. Equal texts are read once.
     """
+    return once_per_text(docs.where(F.col(text).rlike(TIMED)), id_, text, _time_conflicts)
+
+
+def _time_conflicts(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """time_conflicts of texts that are distinct: no shuffle."""
     x = time_clauses(docs, id_, text)
     edge = lambda a, b, w, i, c: F.struct(a.alias("u"), b.alias("v"), w.cast("long").alias("w"), i.alias("i"), c["business"].alias("business"))
 
@@ -416,10 +423,13 @@ def facts_across(docs: DataFrame, set_id: str, id_: str, text: str, verbatim: st
 
 
 def scan(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """All findings of single texts."""
-    docs = spread(docs)
+    """All findings of single texts (C1 to C8). Equal texts are read once, and all detectors read them as written."""
+    return once_per_text(docs, id_, text, _scan)
+
+
+def _scan(docs: DataFrame, id_: str, text: str) -> DataFrame:
     s = attest.sentences(docs.where(F.col(text).rlike(r"\d")), id_, text)  # the three need a number
     out = words_figures(s, id_)
-    for more in (date_durations(s, id_), bound_pairs(s, id_), *(f(docs, id_, text) for f in (list_counts, dangling_references, clashing_definitions, undefined_terms, unused_terms, time_conflicts, footing, facts))):
+    for more in (date_durations(s, id_), bound_pairs(s, id_), *(f(docs, id_, text) for f in (list_counts, dangling_references, clashing_definitions, undefined_terms, unused_terms, _time_conflicts, footing, facts))):
         out = out.unionByName(more)
     return out

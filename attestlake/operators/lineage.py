@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -37,6 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def once_per_text(docs: DataFrame, id_: str, text: str, find: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """What find(texts, key, text) gives, with id_ for key: it reads each distinct text once, however many rows hold it.
+
+    find gives rows with the key, from one text each. Null texts give none. The texts are dealt out anew, as few bytes may be much work.
+    """
+    keyed = docs.where(F.col(text).isNotNull()).select(id_, F.unhex(F.sha2(F.col(text), 256)).alias("text_key"), text)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    found = find(written(keyed.select("text_key", text).distinct().repartition(n)), "text_key", text)
+    return keyed.select(id_, "text_key").join(found, "text_key").select(id_, *[c for c in found.columns if c != "text_key"])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where its files give fewer partitions than there are cores: a table of one small file. Larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

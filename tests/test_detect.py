@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from attestlake.operators import attest, detect
+from attestlake.operators.lineage import once_per_text
 
 C, R = "contradicted", "could_not_verify"
 TEXTS = {
@@ -104,3 +105,26 @@ def test_long_chains_and_cycles_of_clauses(spark):
         assert bool(len(cycles)) == bool((np.diag(dist) < 0).any())
         for gone in cycles:
             assert w[gone].sum() < 0 and sorted(u[gone]) == sorted(v[gone])
+
+
+def test_equal_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def find(texts, key, text):
+        def run(batches):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        return texts.mapInArrow(run, texts.schema)
+
+    docs = spark.createDataFrame([(i, f"text {i % 3}" if i % 4 else None) for i in range(1000)], "id long, s string")
+    got = once_per_text(docs, "id", "s", find).collect()
+    assert sorted((r.id, r.s) for r in got) == [(i, f"text {i % 3}") for i in range(1000) if i % 4] and read.value == 3
+
+
+def test_findings_come_back_for_every_row_of_a_text(spark):
+    clash = "Closing shall occur before Filing. Filing shall occur before Closing."
+    docs = spark.createDataFrame([(i, clash if i % 2 else "Closing shall occur before Filing.") for i in range(50)] + [(99, None)], "id long, s string")
+    for found in (detect.time_conflicts(docs, "id", "s"), detect.scan(docs, "id", "s")):
+        assert sorted((r.id, r.detector, r.detail) for r in found.collect()) == [(i, "time_conflict", "Closing, Filing") for i in range(1, 50, 2)]
